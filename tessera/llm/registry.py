@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .decontaminate import op9_decontaminate
+from .language import op4_language_id
 from .packing import op6_packing
 from .quality import op10_quality_rules
 from .secrets import op8_secret_scans
 from .simhash import op3_simhash
 from .token_counts import op5_token_counts
+from .warc import op1_warc_index
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op5_token_counts, op6_packing, op8_secret_scans, op9_decontaminate, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_warc_index, op3_simhash, op4_language_id, op5_token_counts, op6_packing, op8_secret_scans, op9_decontaminate, op10_quality_rules)}
 SQL: dict[str, str] = {}
