@@ -61,14 +61,14 @@ def spans_text(found: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in found)
 
 
-def redact(text: str) -> str:
+def redact(text: str, found: list[tuple[str, int, int]]) -> str:
     """text with a mark in place of each span; overlapping spans get one mark, of the first."""
     out, at = [], 0
-    for kind, a, b in scan(text):
+    for kind, a, b in found:
         if a >= at:
             out += [text[at:a], f"<{kind}>"]
         at = max(at, b)
-    return "".join(out) + text[at:] if out else text
+    return "".join(out) + text[at:]
 
 
 def scan_blobs(blobs: DataFrame) -> DataFrame:
@@ -110,6 +110,23 @@ def scan_versions(versions: DataFrame, ledger: str, text: str = "text", rule_ver
     return joined
 
 
+def redact_versions(docs: DataFrame, ledger: str, text: str = "text") -> DataFrame:
+    """docs with marks in place of secrets, by the ledger's findings; texts without any stay as they are."""
+    found = scan_versions(docs, ledger, text).select(*docs.columns, F.col("__spans").alias("__spans"))
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            for k, spans in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                if spans:
+                    texts[k] = redact(texts[k], [(kind, int(a), int(z)) for kind, a, z in (x.rsplit(":", 2) for x in spans.split(","))])
+            columns = [pa.array(texts, b.schema.field(k).type) if k == at else b.column(k) for k in range(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
+
+    return found.mapInArrow(run, docs.schema)
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = scan_versions(docs, shared_dir(spark, "ledger"))

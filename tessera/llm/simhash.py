@@ -15,11 +15,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, bounded_batches, table, texts_of, written
+from .common import B64, batch, bounded_batches, mix64, table, texts_of, written
 from .components import components, edge_batch, forest
 
 SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
@@ -32,24 +33,29 @@ _PRINTS = pa.schema([("doc_id", pa.int64()), ("print", pa.int64())])
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: bytes, size: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """The fingerprint of a whole text as a signed 64-bit integer; 0 for a text without words."""
+def shingle_hashes(text: bytes, size: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every shingle of a whole text, repeats included; of all words if they are fewer than a shingle."""
     words = text.translate(_LOWER).split()
-    if not words:
-        return 0
-    if len(words) < size:
-        shingles = [b" ".join(words)]
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.r_[0, ends[: len(words) - size] + 1].tolist()
-        shingles = [joined[a:z] for a, z in zip(starts, ends[size - 1 :].tolist())]
-    total, n = np.zeros(64, np.int64), len(shingles)
-    for at in range(0, n, 1 << 16):
-        part = shingles[at : at + (1 << 16)]
-        h = np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in part), "<u8", len(part))
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<i8")[0])
+    if len(words) <= size:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)] if words else [], np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.r_[0, ends[: len(words) - size] + 1].tolist()
+    return np.fromiter((xxhash.xxh64_intdigest(joined[a:z], seed) for a, z in zip(starts, ends[size - 1 :].tolist())), np.uint64, len(starts))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of h, as a signed 64-bit integer."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        part = h[at : at + (1 << 16)].astype("<u8")
+        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(h), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: bytes, size: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+    """The fingerprint of a whole text; 0 for a text without words."""
+    return majority(shingle_hashes(text, size, seed))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
@@ -82,93 +88,117 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def link_tiles(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two tiles (or within one), both sorted by population count."""
-    pops = np.bitwise_count(right)
+def counts_of(prints: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(prints).sum(axis=1, dtype=np.int64)
+
+
+def link_tiles(left: tuple, right: tuple, radius: int, same: bool) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two tiles (or within one).
+
+    A tile is (ids, fingerprints as rows of 64-bit words), sorted by population count.
+    """
+    (ids, x), (other_ids, y) = left, right
+    counts, other_counts = counts_of(x), counts_of(y)
     found: list[tuple[int, int]] = []
-    rows = max(1, CELLS // max(1, len(right)))
-    for at in range(0, len(left), rows):
-        part = left[at : at + rows]
-        pop = np.bitwise_count(part).astype(np.int64)
-        a = np.searchsorted(pops, max(0, int(pop[0]) - radius))
-        z = np.searchsorted(pops, min(255, int(pop[-1]) + radius), side="right")
-        near = np.bitwise_count(part[:, None] ^ right[None, a:z]) <= radius
-        i, j = np.nonzero(near)
+    rows = max(1, CELLS // max(1, len(y)))
+    for at in range(0, len(x), rows):
+        a = np.searchsorted(other_counts, counts[at] - radius)
+        z = np.searchsorted(other_counts, counts[min(len(x), at + rows) - 1] + radius, side="right")
+        if a == z:
+            continue
+        apart = np.bitwise_count(x[at : at + rows, None, 0] ^ y[None, a:z, 0])
+        for k in range(1, x.shape[1]):
+            apart = np.add(apart, np.bitwise_count(x[at : at + rows, None, k] ^ y[None, a:z, k]), dtype=np.uint16)
+        i, j = np.nonzero(apart <= radius)
         i, j = i + at, j + a
         if same:
             i, j = i[i < j], j[i < j]
         if len(i):
-            found = forest([*found, *zip(left[i].view(np.int64).tolist(), right[j].view(np.int64).tolist())])
+            found = forest([*found, *zip(ids[i].tolist(), other_ids[j].tolist())])
     return found
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): edges that connect exactly the fingerprints (column print, distinct) which chains of links connect."""
-    spark = prints.sparkSession
-    n = prints.count()
-    masks = [signed(m) for m in masks_of(blocks_for(n, radius), radius)]
-    keyed = prints.select("print", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("print").bitwiseAND(F.lit(m)).alias("v")) for t, m in enumerate(masks)))).alias("k")).select("print", "k.t", "k.v", F.bit_count("print").alias("pop"))
-    sizes = written(keyed.groupBy("t", "v").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    small, large = sizes.filter(F.col("n") <= TILE), sizes.filter(F.col("n") > TILE).select("t", "v")
-    n_small = (max(1, n) * len(masks)) // 200_000 + 2 * spark.sparkContext.defaultParallelism
+def tile_of(ids: np.ndarray, prints: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A tile from a column of ids and a column of lists of words."""
+    x = prints.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
+    order = np.argsort(counts_of(x), kind="stable")
+    return ids[order], x[order]
+
+
+def links(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): edges over ids that connect what chains of links between rows with a common key connect.
+
+    rows: id (long, distinct), print (array of longs), keys (array of longs).
+    """
+    spark = rows.sparkSession
+    pop = F.aggregate("print", F.lit(0), lambda n, x: n + F.bit_count(x))
+    keyed = rows.select("id", "print", pop.alias("pop"), F.explode(F.array_distinct("keys")).alias("key"))
+    sizes = written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    small, large = sizes.filter(F.col("n") <= TILE).select("key"), sizes.filter(F.col("n") > TILE).select("key")
+    held = small.join(sizes, "key").agg(F.sum("n")).first()[0] or 0
+    parts = held // 200_000 + 2 * spark.sparkContext.defaultParallelism
+
     def in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows arrive sorted by bucket; a bucket is a tile or less."""
-        rest: list[np.ndarray] = []
-        last = None
+        last, ids, prints = None, [], []
 
-        def done(values: list[np.ndarray]) -> list[tuple[int, int]]:
-            x = np.concatenate(values)
-            return link_tiles(x, x, radius, True) if len(x) > 1 else []
+        def done() -> list[tuple[int, int]]:
+            tile = tile_of(np.concatenate(ids), pa.concat_arrays(prints))
+            return link_tiles(tile, tile, radius, True)
 
         for b in batches:
-            t, v, p = (b.column(k).to_numpy() for k in ("t", "v", "print"))
-            cut = np.r_[0, np.flatnonzero((t[1:] != t[:-1]) | (v[1:] != v[:-1])) + 1, len(t)]
+            key, own = b.column("key").to_numpy(), b.column("id").to_numpy()
+            cut = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
             found: list[tuple[int, int]] = []
-            for a, z in zip(cut[:-1], cut[1:]):
+            for a, z in zip(cut[:-1].tolist(), cut[1:].tolist()):
                 if a == z:
                     continue
-                if last != (t[a], v[a]):
-                    if rest:
-                        found += done(rest)
-                    rest, last = [], (t[a], v[a])
-                rest.append(p[a:z].view(np.uint64))
+                if last != key[a]:
+                    if ids:
+                        found += done()
+                    last, ids, prints = key[a], [], []
+                ids.append(own[a:z])
+                prints.append(b.column("print").slice(a, z - a))
             if found:
                 yield edge_batch(found)
-        if rest and (found := done(rest)):
+        if ids and (found := done()):
             yield edge_batch(found)
 
-    by_bucket = keyed.join(small.select("t", "v"), ["t", "v"]).select("t", "v", "print", "pop")
-    first = by_bucket.repartition(n_small, "t", "v").sortWithinPartitions("t", "v", "pop").select("t", "v", "print").mapInArrow(in_buckets, "a long, b long")
+    by_bucket = keyed.join(small, "key").select("key", "id", "print")
+    first = by_bucket.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(in_buckets, "a long, b long")
     if large.isEmpty():
         return first
 
     # Large buckets: a population count's fingerprints are cut into tiles by hash; tiles meet in pairs, one task for each.
-    wide = keyed.join(large, ["t", "v"])
-    counts = wide.groupBy("t", "v", "pop").agg(F.count("*").alias("c"))
-    cut = F.pmod(F.xxhash64("print", F.lit(7)), F.ceil(F.col("c") * 2 / F.lit(TILE)))
-    tiled = wide.join(counts, ["t", "v", "pop"]).select("t", "v", "print", F.struct("pop", cut.alias("cut")).alias("tile"))
-    kinds = written(tiled.select("t", "v", "tile").distinct(), "tiles")
-    left, right = kinds.select("t", "v", F.col("tile").alias("x")), kinds.select("t", "v", F.col("tile").alias("y"))
+    wide = keyed.join(large, "key")
+    counts = wide.groupBy("key", "pop").agg(F.count("*").alias("c"))
+    cut = F.pmod(F.xxhash64("id", F.lit(7)), F.ceil(F.col("c") * 2 / F.lit(TILE)))
+    tiled = wide.join(counts, ["key", "pop"]).select("key", "id", "print", F.struct("pop", cut.alias("cut")).alias("tile"))
+    kinds = written(tiled.select("key", "tile").distinct(), "tiles")
+    left, right = kinds.select("key", F.col("tile").alias("x")), kinds.select("key", F.col("tile").alias("y"))
     # tile pairs, not rows: pairs of names whose counts lie within the radius
-    pairs = left.join(right, ["t", "v"]).filter((F.col("x") <= F.col("y")) & (F.col("y.pop") - F.col("x.pop") <= radius))
-    pairs = pairs.withColumn("job", F.xxhash64("t", "v", "x", "y"))
-    sides = pairs.select("t", "v", "job", F.col("x").alias("tile"), F.lit(0).alias("side"), (F.col("x") == F.col("y")).alias("same")).union(pairs.filter("x <> y").select("t", "v", "job", F.col("y").alias("tile"), F.lit(1).alias("side"), F.lit(False).alias("same")))
-    work = tiled.select("t", "v", "tile", "print").join(sides, ["t", "v", "tile"]).select("job", "side", "same", "print")
+    pairs = left.join(right, "key").filter((F.col("x") <= F.col("y")) & (F.col("y.pop") - F.col("x.pop") <= radius)).withColumn("job", F.xxhash64("key", "x", "y"))
+    sides = pairs.select("key", "job", F.col("x").alias("tile"), F.lit(0).alias("side"), (F.col("x") == F.col("y")).alias("same")).union(pairs.filter("x <> y").select("key", "job", F.col("y").alias("tile"), F.lit(1).alias("side"), F.lit(False).alias("same")))
+    work = tiled.join(sides, ["key", "tile"]).select("job", "side", "same", "id", "print")
 
     def in_pair(t: pa.Table) -> pa.Table:
-        side, p = t["side"].to_numpy(), t["print"].to_numpy().view(np.uint64)
-        x = p[side == 0]
-        x = x[np.argsort(np.bitwise_count(x), kind="stable")]
-        if t["same"][0].as_py():
-            found = link_tiles(x, x, radius, True)
-        else:
-            y = p[side == 1]
-            found = link_tiles(x, y[np.argsort(np.bitwise_count(y), kind="stable")], radius, False)
+        def side(k: int) -> tuple:
+            part = t.filter(pa.compute.equal(t["side"], k)).combine_chunks()
+            return tile_of(part["id"].to_numpy(), part["print"].combine_chunks())
+
+        x = side(0)
+        found = link_tiles(x, x, radius, True) if t["same"][0].as_py() else link_tiles(x, side(1), radius, False)
         return pa.Table.from_batches([edge_batch(found)])
 
     return first.union(work.groupBy("job").applyInArrow(in_pair, "a long, b long"))
 
 
+def pigeonhole_keys(n: int, radius: int) -> Column:
+    """Keys for a 64-bit column print: those of fingerprints within the radius have one in common."""
+    masks = [signed(m) for m in masks_of(blocks_for(n, radius), radius)]
+    return F.array(*(F.xxhash64(F.lit(t), F.col("print").bitwiseAND(F.lit(m))) for t, m in enumerate(masks)))
+
+
 def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
     """(doc_id, print, component_id) per input row; component_id is the smallest doc_id reachable through links.
 
@@ -178,13 +208,59 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     prints = written(fingerprints(docs, key, text, size, seed), "prints")
     least = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct")
-    linked = components(links(least.select("print"), radius))
-    root = least.join(linked.select(F.col("b").alias("print"), F.col("a").alias("root")), "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    named = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = root.select("print", "root").join(named, "root").select("print", "component_id")
-    return prints.join(ids, "print").select("doc_id", "print", "component_id")
+    rows = least.select(F.col("print").alias("id"), F.array("print").alias("print"), pigeonhole_keys(least.count(), radius).alias("keys"))
+    return prints.join(named(least.select(F.col("print").alias("id"), "least"), links(rows, radius)), F.col("print") == F.col("id")).select("doc_id", "print", "component_id")
+
+
+def named(least: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component_id): the smallest of the column least in the component of each id."""
+    found = components(edges)
+    root = least.join(found.select(F.col("b").alias("id"), F.col("a").alias("root")), "id", "left").select("id", "least", F.coalesce("root", "id").alias("root"))
+    ids = root.groupBy("root").agg(F.min("least").alias("component_id"))
+    return root.select("id", "root").join(ids, "root").select("id", "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Near copies by similarity: five-word shingles, fingerprints of so many 64-bit words, linked within NEAR_RADIUS bits.
+#: Texts of Jaccard similarity 0.8 differ in 39 bits of 256 on average, with a deviation of 6.
+NEAR_SHINGLE_WORDS, NEAR_PARTS, NEAR_RADIUS = 5, 4, 52
+#: Keys of a text: its so many least shingle hashes.  Texts of that similarity lack a common one once in 2 ** 18.
+NEAR_KEYS = 8
+
+
+def near_sketch(text: bytes) -> tuple[list[int], list[int]]:
+    """The wide fingerprint and the keys of a text; a text without words has zeros and the key 0."""
+    h = np.unique(shingle_hashes(text, NEAR_SHINGLE_WORDS))
+    parts = [majority(h if k == 0 else mix64(h + np.uint64(B64 * k % (1 << 64)))) for k in range(NEAR_PARTS)]
+    return parts, np.sort(mix64(h + np.uint64(1)))[:NEAR_KEYS].view(np.int64).tolist() or [0]
+
+
+def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id) per input row, as simhash_components, linking texts by wide fingerprints as well.
+
+    Two texts are linked if their 64-bit fingerprints are (4-word shingles, 4 bits), or if they share a key and their
+    wide fingerprints differ by NEAR_RADIUS bits or fewer.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("narrow", pa.int64()), ("wide", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            sketches = [near_sketch(x) for x in texts]
+            yield batch(schema, b.column(0), [fingerprint(x) for x in texts], [w for w, _ in sketches], [k for _, k in sketches])
+
+    bounded_batches(docs.sparkSession)
+    # one id for each pair of fingerprints
+    both = texts_of(docs, key, text).mapInArrow(run, "doc_id long, narrow long, wide array<long>, keys array<long>").withColumn("id", F.xxhash64("narrow", "wide"))
+    prints = written(both, "prints")
+    least = written(prints.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("narrow").alias("narrow"), F.first("wide").alias("wide"), F.first("keys").alias("keys")), "distinct")
+    narrow = least.groupBy(F.col("narrow").alias("print")).agg(F.min("id").alias("id"))
+    to_narrow = least.join(narrow.select(F.col("print").alias("narrow"), F.col("id").alias("a")), "narrow").select("a", F.col("id").alias("b"))
+    narrow_rows = narrow.select("id", F.array("print").alias("print"), pigeonhole_keys(narrow.count(), RADIUS).alias("keys"))
+    wide_rows = least.select("id", F.col("wide").alias("print"), "keys")
+    edges = links(narrow_rows, RADIUS).union(links(wide_rows, NEAR_RADIUS)).union(to_narrow)
+    return prints.select("doc_id", "id").join(named(least.select("id", "least"), edges), "id").select("doc_id", "component_id")

@@ -63,7 +63,8 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     rnd = random.Random(1)
     base = rnd.getrandbits(64)
     prints = sorted({S.signed(base ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 9)))) for _ in range(400)})
-    got = S.links(spark.createDataFrame([(p,) for p in prints], "print long"), 4)
+    rows = spark.createDataFrame([(p,) for p in prints], "print long")
+    got = S.links(rows.select(S.F.col("print").alias("id"), S.F.array("print").alias("print"), S.pigeonhole_keys(len(prints), 4).alias("keys")), 4)
     pairs = [(r.a, r.b) for r in got.collect()]
     assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 64 for a, b in pairs)
     want = forest((a, b) for a in prints for b in prints if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4)
@@ -86,7 +87,8 @@ def test_tiles_skip_only_what_cannot_link():
     x = rnd.integers(0, 1 << 14, 500).astype(np.uint64)
     x = x[np.argsort(np.bitwise_count(x), kind="stable")]
     pairs = [(int(a), int(b)) for a in x for b in x if a < b and int(a ^ b).bit_count() <= 2]
-    assert sorted(forest(S.link_tiles(x, x, 2, True))) == sorted(forest(pairs))
+    tile = x.view(np.int64), x[:, None]
+    assert sorted(forest(S.link_tiles(tile, tile, 2, True))) == sorted(forest(pairs))
 
 
 def test_components_of_a_long_chain(spark):
@@ -98,3 +100,25 @@ def test_components_of_a_long_chain(spark):
 
 def test_empty(spark):
     assert S.simhash_components(frame(spark, [])).count() == 0
+
+
+def test_near_components_catch_similar_texts(spark):
+    rnd = random.Random(9)
+    rows = [(1, None), (2, ""), (3, "solo words")]
+    for k in range(40):
+        words = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(rnd.choice([60, 200, 500]))]
+        rows.append((100 + k, " ".join(words)))
+        for _ in range(len(words) // 80):
+            words[rnd.randrange(len(words))] = "changed"
+        rows.append((500 + k, "\n".join(words)))
+    got = {r.doc_id: r.component_id for r in S.near_components(frame(spark, rows)).collect()}
+    assert got[1] == got[2] == 1 and got[3] == 3
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    texts = dict(rows)
+    for k in range(40):
+        a, b = shingles(texts[100 + k]), shingles(texts[500 + k])
+        assert got[100 + k] == 100 + k
+        if len(a & b) / len(a | b) >= 0.8:
+            assert got[500 + k] == 100 + k
+        else:
+            assert got[500 + k] in (100 + k, 500 + k)
