@@ -14,6 +14,8 @@ from .helpers import ODD, frame
 
 T = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
+WORDS = P.Words(public_tokenizers.path("word_bpe_49k.json"))
+
 
 def ids_of(text):
     return [*T.encode(text or "", add_special_tokens=False).ids, 1]
@@ -67,7 +69,7 @@ def test_empty(spark):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\x1c\x85 'abZé09.,<|>Ǻ"), st.characters(codec="utf-8")), max_size=40))
 def test_words_give_the_library_s_ids(text):
-    w = P.Words(T)
+    w = WORDS
     for x in (text, text + "<|endoftext|> naïve" + text):
         words = x.encode().split()
         w.learn(set(words))
@@ -94,3 +96,11 @@ def test_packer_is_bounded_and_whole(lengths, opened, window):
     for s in out:
         n = sum(len(x[2]) for x in s) // 4
         assert n == window or n & (n - 1) == 0
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="aeiouthnsrdlvméèßöžAIOéÀİ''.,!?0192|<>-_[]`{}~", min_size=1, max_size=24))
+def test_plain_words_encode_as_the_library(word):
+    WORDS.clear()
+    WORDS.learn({word.encode()})
+    assert np.frombuffer(WORDS[word.encode()], "<u4").tolist() == T.encode(word, add_special_tokens=False).ids
