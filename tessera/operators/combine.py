@@ -110,7 +110,10 @@ def _changes(a: tuple[Field, ...], b: tuple[Field, ...], prefix: str, report: In
 def combine_frames(frames: list[DataFrame], schema: Any = None, schemas: list[Schema] | None = None) -> DataFrame:
     """The rows of all frames, one after another, lazily; a union of projections that only narrow, widen and fill."""
     schemas = schemas or [Schema.from_spark(f.schema) for f in frames]
-    out = output_schema(schemas, schema)
+    return _union(frames, schemas, output_schema(schemas, schema))
+
+
+def _union(frames: list[DataFrame], schemas: list[Schema], out: Schema) -> DataFrame:
     target = out.to_spark()
 
     def shaped(df: DataFrame, mine: Schema) -> DataFrame:
@@ -154,7 +157,7 @@ def combine(spark: SparkSession, inputs: list[Any], target: str, schema: Any = N
                 report.rows = r.num_rows
             else:
                 own = f"{target}/.input-{k}"
-                report.rows = write_frame(combine_frames([r.read()], out, [r.schema]), own, out, options, strict=False)
+                report.rows = write_frame(_union([r.read()], [r.schema], out), own, out, options, strict=False)
                 for n, status in enumerate(sorted((s for s in fs.listStatus(jpath(own)) if s.getPath().getName().startswith("part-")), key=lambda s: s.getPath().getName())):
                     fs.rename(status.getPath(), jpath(f"{target}/part-{k:05d}-{n:05d}.parquet"))
                 fs.delete(jpath(own), True)

@@ -26,6 +26,14 @@ def _shown(v: Any) -> str | None:
     return None if v is None else v.hex() if isinstance(v, bytes) else str(v)
 
 
+def _bounds(s) -> tuple[Any, Any]:
+    """Least and greatest value of a chunk; unknown for kinds that have no order (INT96)."""
+    try:
+        return (s.min, s.max) if s is not None and s.has_min_max else (None, None)
+    except NotImplementedError:
+        return None, None
+
+
 class Inspector:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.files = spark, path, files_of(spark, path)
@@ -52,7 +60,7 @@ class Inspector:
                         for k in range(group.num_columns):
                             c = group.column(k)
                             s = c.statistics if c.is_stats_set else None
-                            low, high = (s.min, s.max) if s is not None and s.has_min_max else (None, None)
+                            low, high = _bounds(s)
                             rows.append((path, g, c.path_in_schema, c.physical_type, str(meta.schema.column(k).logical_type), c.compression, list(c.encodings), c.num_values, s.null_count if s is not None and s.has_null_count else None, c.total_compressed_size, c.total_uncompressed_size, c.data_page_offset, c.dictionary_page_offset, _shown(low), _shown(high), c.has_offset_index, group.num_rows, meta.created_by))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import json
 import zoneinfo
 from collections.abc import Iterator
 from typing import Any
@@ -78,6 +79,19 @@ def half_to_float(c: Column) -> Column:
     return (sign * value).cast("float")
 
 
+def declared(footer) -> Schema:
+    """The schema that a file was written with, where our sink left it in the footer; else the file's own."""
+    note = footer.metadata.get("org.apache.spark.sql.parquet.row.metadata")
+    if not note:
+        return footer.schema
+    try:
+        known = {f.name: f for f in Schema.from_spark(T.StructType.fromJson(json.loads(note))).fields}
+    except (ValueError, KeyError):
+        return footer.schema
+    same = lambda f: f.name in known and known[f.name].nullable == f.nullable and spark_type(known[f.name].type).simpleString() == spark_type(f.type).simpleString()
+    return Schema(known[f.name] if same(f) else f for f in footer.schema.fields)
+
+
 def needs_row_reader(footer) -> bool:
     """Whether a file uses an encoding that the vectorized reader lacks."""
     return any("BYTE_STREAM_SPLIT" in e.toString() for b in footer.blocks for c in b.getColumns() for e in c.getEncodings())
@@ -98,7 +112,8 @@ class Reader:
         if not self.files:
             raise FormatError(f"{path}: no Parquet file")
         with opened(spark, self.files[0]) as f:
-            self.schema = schema or f.schema
+            stored = f.schema
+            self.schema = schema or declared(f)
             self.metadata, self.encrypted = f.metadata, f.encrypted
             self._by_row = needs_row_reader(f)
             for b in f.blocks:
@@ -106,7 +121,8 @@ class Reader:
                     codec = c.getCodec().toString()
                     if codec in UNREADABLE:
                         raise UNREADABLE[codec](f"{path}: codec {codec.lower()} of column {c.getPath().toDotString()}")
-        self._logical = self.schema.fields
+        names = {x.name: x for x in stored.fields}
+        self._stored = [names.get(x.name, x) for x in self.schema.fields]
 
     def _footers(self):
         for f in self.files:
@@ -127,7 +143,7 @@ class Reader:
         conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
         if self._by_row:
             conf.set("spark.sql.parquet.enableVectorizedReader", "false")
-        fields = [T.StructField(f.name, physical(f), True) for f in self._logical]
+        fields = [T.StructField(f.name, physical(f), True) for f in self._stored]
         raw = self.spark.read.schema(T.StructType(fields)).parquet(*self.files)
         return raw
 
@@ -138,8 +154,8 @@ class Reader:
         return part.read()
 
     def _shaped(self, raw: DataFrame, names: list[str]) -> DataFrame:
-        meta = {s.name: s.metadata for s in self.schema.to_spark().fields}
-        return raw.select(*(logical(F.col(f"`{n}`"), self.schema[n]).alias(n, metadata=meta[n]) for n in names))
+        meta, stored = {s.name: s.metadata for s in self.schema.to_spark().fields}, {f.name: f for f in self._stored}
+        return raw.select(*(logical(F.col(f"`{n}`"), stored[n]).alias(n, metadata=meta[n]) for n in names))
 
     def read(self, columns: list[str] | None = None, where: dict | None = None, start: int = 0, limit: int | None = None) -> DataFrame:
         names = [str(c) for c in columns] if columns is not None else self.schema.names
@@ -150,9 +166,9 @@ class Reader:
         if start < 0 or limit is not None and limit < 0:
             raise ValueError("start and limit can't be negative")
         df = self.source()
-        plain = all(physical(f) == spark_type(f.type) for f in self._logical)
+        plain = all(physical(f) == spark_type(f.type) for f in self._stored)
         if not plain:  # conditions are on logical values
-            df = df.select(*(logical(F.col(f"`{f.name}`"), f).alias(f.name) for f in self._logical), F.col("_metadata"))
+            df = df.select(*(logical(F.col(f"`{f.name}`"), f).alias(f.name) for f in self._stored), F.col("_metadata"))
         condition = compile_where(where, self.schema)
         ordered = bool(start) or limit is not None
         if ordered:

@@ -192,17 +192,35 @@ def write_frame(df: DataFrame, path: str, schema: Schema | None = None, options:
     shaped = df.select(out)
     if files:
         shaped = shaped.coalesce(files) if files < shaped.rdd.getNumPartitions() else shaped
+    spark = df.sparkSession
+    conf, jpath = spark.conf, spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    fresh = not fs.exists(jpath)
+    before = conf.get("spark.sql.parquet.outputTimestampType")
+    conf.set("spark.sql.parquet.outputTimestampType", timestamp_form(schema))
     try:
         shaped.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode(mode).options(**options.spark_options(schema, distinct)).parquet(path)
     except Exception as e:
+        if fresh:
+            fs.delete(jpath, True)
         text = str(e)
         m = re.search(r"\[USER_RAISED_EXCEPTION\]\s*(.*)", text)
         if m:
             raise EncodeError(m[1].split("SQLSTATE")[0].strip()) from e
         raise
+    finally:
+        conf.set("spark.sql.parquet.outputTimestampType", before)
     return counted.get["rows"]
 
 
+def timestamp_form(schema: Schema) -> str:
+    """How Spark stores instants, which it decides for all columns alike: INT96 if one asks for it, milliseconds if all do."""
+    kinds = {t.kind if t.kind == "int96" else t.unit for _, t in leaf_paths(schema) if t.kind == "int96" or t.kind == "timestamp" and t.utc and t.unit != "nanos"}
+    if "int96" in kinds and len(kinds) > 1:
+        raise UnsupportedError("int96 and timestamp columns can't be in one file")
+    return "INT96" if "int96" in kinds else "TIMESTAMP_MILLIS" if kinds == {"millis"} else "TIMESTAMP_MICROS"
+
+
 def some_value(dt: T.DataType) -> Column:
     """A value that isn't null, which tells Spark that a column has none."""
     if isinstance(dt, T.StructType):
