@@ -131,12 +131,11 @@ def combine(spark: SparkSession, inputs: list[Any], target: str, schema: Any = N
     File names keep the order of the inputs.
     """
     from ..sources.reader import Reader
-    from ..sources.writer import Options, write_frame
+    from ..sources.writer import like, write_frame
 
     if isinstance(inputs, (str, Reader)):
         raise ValueError("inputs is a list")
-    options = options or Options()
-    if options.row_group_bytes or options.row_group_rows:
+    if options and (options.row_group_bytes or options.row_group_rows):
         raise ValueError("row groups keep their boundaries: row_group_bytes and row_group_rows can't be given")
     readers = [x if isinstance(x, Reader) else Reader(spark, x) for x in inputs]
     out = output_schema([r.schema for r in readers], schema)
@@ -157,7 +156,7 @@ def combine(spark: SparkSession, inputs: list[Any], target: str, schema: Any = N
                 report.rows = r.num_rows
             else:
                 own = f"{target}/.input-{k}"
-                report.rows = write_frame(_union([r.read()], [r.schema], out), own, out, options, strict=False)
+                report.rows = write_frame(_union([r.read()], [r.schema], out), own, out, options or like(r, out), strict=False)
                 for n, status in enumerate(sorted((s for s in fs.listStatus(jpath(own)) if s.getPath().getName().startswith("part-")), key=lambda s: s.getPath().getName())):
                     fs.rename(status.getPath(), jpath(f"{target}/part-{k:05d}-{n:05d}.parquet"))
                 fs.delete(jpath(own), True)

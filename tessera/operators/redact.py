@@ -205,11 +205,11 @@ class Redaction:
         A file that no statement affects is copied as it is.  Counters come along with the write.
         """
         from ..sources.reader import Reader
-        from ..sources.writer import Options, write_frame
+        from ..sources.writer import like, write_frame
 
         reader = source if isinstance(source, Reader) else Reader(spark, source)
         after = self.bind(reader.schema)
-        options = options or Options()
+        options = options or like(reader, after)
         if options.row_group_bytes or options.row_group_rows:
             raise ValueError("row groups keep their boundaries: row_group_bytes and row_group_rows can't be given")
         hadoop, jpath = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path

@@ -116,6 +116,10 @@ class Reader:
             self.schema = schema or declared(f)
             self.metadata, self.encrypted = f.metadata, f.encrypted
             self._by_row = needs_row_reader(f)
+            chunks = [c for b in f.blocks for c in b.getColumns()]
+            #: What a rewrite of these files keeps: their codec and the columns with bloom filters.
+            self.codec = chunks[0].getCodec().toString().lower() if chunks else "snappy"
+            self.blooms = sorted({c.getPath().toDotString() for c in chunks if c.getBloomFilterOffset() > 0})
             for b in f.blocks:
                 for c in b.getColumns():
                     codec = c.getCodec().toString()

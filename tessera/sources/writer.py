@@ -118,6 +118,13 @@ class Options:
         return out
 
 
+def like(reader, schema: Schema) -> Options:
+    """Options that keep the codec and the bloom filters of a reader's files, for columns that schema still has."""
+    codec = {"lz4": "lz4_hadoop", "lzo": "snappy", "uncompressed": "none"}.get(reader.codec, reader.codec)
+    leaves = dict(leaf_paths(schema))
+    return Options(compression=codec if codec in CODECS else "snappy", bloom_filters=[p for p in reader.blooms if p in leaves] or None)
+
+
 def leaf_paths(schema: Schema) -> Iterator[tuple[str, Type]]:
     """Dotted Parquet paths of the leaves, as Spark writes lists and maps."""
 

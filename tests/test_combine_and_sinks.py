@@ -189,3 +189,17 @@ def test_command_line(spark, paths, tmp_path, capsys):
     assert cli.main(["combine", f"{paths}/a", f"{paths}/phone", "--schema", "union", "--output", f"{tmp_path}/u"], spark, out) == 0
     assert cli.main(["combine", f"{paths}/a", "--output", f"{paths}/a"], spark, out) == 1
     assert cli.main(["cat", f"{tmp_path}/none"], spark, out) == 1 and "tessera:" in capsys.readouterr().err
+
+
+def test_relational_source(spark, tmp_path):
+    from tessera.sources.relational import export_table, read_table
+
+    url = "jdbc:derby:memory:tessera;create=true"
+    spark.range(20).selectExpr("cast(id as int) ID", "cast(id % 3 as short) KIND", "cast(id as string) NOTE").write.format("jdbc").options(url=url, dbtable="things").save()
+    columns = [{"name": "id", "sql_type": "integer", "primary_key": True}, {"name": "kind", "sql_type": "smallint"}, {"name": "note", "sql_type": "varchar"}]
+    df = read_table(spark, url, "things", columns, key="ID", tasks=3)
+    assert df.rdd.getNumPartitions() == 3 and df.dtypes == [("id", "bigint"), ("kind", "smallint"), ("note", "string")]
+    assert export_table(spark, url, "things", f"{tmp_path}/t", columns) == 20
+    assert str(Reader(spark, f"{tmp_path}/t").schema["id"]) == "id:int64!"
+    with pytest.raises(ValueError):
+        read_table(spark, url, "things", [{"name": "none", "sql_type": "int"}])

@@ -121,3 +121,10 @@ def test_nothing_erased_survives(spark, source, tmp_path):
 
 def test_repr_hides_values():
     assert "secret" not in repr(Redaction(lambda r: r.where(email="secret").replace(name="secret"))) and "email" in repr(Redaction(lambda r: r.where(email="x").delete()))
+
+
+def test_rewritten_files_keep_codec_and_blooms(spark, tmp_path):
+    write(spark, f"{tmp_path}/in", ROWS, schema=SCHEMA, options=Options(compression="zstd", bloom_filters=["email", "user_id"]))
+    redact(spark, f"{tmp_path}/in", f"{tmp_path}/out", lambda r: r.where(score=1).delete() and None or r.drop("user_id"))
+    out = Reader(spark, f"{tmp_path}/out")
+    assert out.codec == "zstd" and out.blooms == ["email"]
