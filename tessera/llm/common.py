@@ -59,7 +59,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that written() made, once nothing that is still to be evaluated reads them."""
+    for df in tables:
+        remove_dir(df.sparkSession, df._stored_at)
 
 
 def texts_of(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:

@@ -8,11 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-#: Edges that a task holds before it hands over what it has made of them.
-HELD = 1_000_000
+#: Edges that a task contracts at once.
+HELD = 500_000
 
 
 def forest(pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -45,9 +45,9 @@ def contract(edges: DataFrame) -> DataFrame:
         held: list[tuple[int, int]] = []
         for b in batches:
             held += zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-            if len(held) > HELD:
+            if len(held) > 2 * HELD:
                 held = forest(held)
-                if len(held) > HELD // 2:
+                if len(held) > HELD:
                     yield edge_batch(held)
                     held = []
         if held:
@@ -56,6 +56,15 @@ def contract(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
+def shrunk(edges: DataFrame) -> DataFrame:
+    """Edges in shared storage, contracted by tasks of at most about HELD edges each, each of several stored partitions."""
+    stored = written(edges.filter("a <> b"), "edges")
+    tasks = -(-stored.count() // HELD)
+    out = written(contract(stored.coalesce(max(1, tasks))), "links")
+    discard(stored)
+    return out
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the smallest node it knows."""
     both = edges.select(F.col("a").alias("n"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("n"), F.col("a").alias("v")))
@@ -79,10 +88,11 @@ def components(edges: DataFrame) -> DataFrame:
     """(a: smallest node of the component, b: node), for every node that isn't the smallest of its own.
 
     edges has columns a and b (long).  Loops, repeated edges and either direction are allowed; an empty list gives
-    an empty result.  Each round is a large-star, a small-star and a local contraction, written to shared storage;
-    minima come together per task first, and a hub's edges are an equi-join side that Spark can split.
+    an empty result.  Each round is a large-star, a small-star and a contraction of bounded parts, written to shared
+    storage; minima come together per task first, and a hub's edges are an equi-join side that Spark can split.
     """
-    now = written(contract(edges.filter("a <> b")), "links")
+    now = shrunk(edges)
     while not is_stars(now):
-        now = written(contract(_small_star(_large_star(now))), "links")
+        before, now = now, shrunk(_small_star(_large_star(now)))
+        discard(before)
     return now
