@@ -8,7 +8,9 @@ than windows, and equal windows always lie in segments with equal minimizers.  T
 * a minimizer all of whose segments have one content proves them repeated;
 * the rest, contested segments, are compared by content.  Each distinct content travels once, to the shard of its
   minimizer, and a shard has a bounded size.  A minimizer with too many distinct contents for a shard (a common
-  line in ever different surroundings) has its windows compared by their hashes, exactly and in any number of tasks.
+  line in ever different surroundings) has its windows divided by the place of the minimizer in them, in halves
+  again and again: the windows of one part share a core; a part whose core occurs once is settled, and of equal
+  parts one goes on for all.  Surroundings that differ so fall away in a few rows per content, in any number of tasks.
 
 Counts and minima of one minimizer come together per task first; joins on minimizers may be split by Spark.
 """
@@ -19,10 +21,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import B64, MIX2, batch, bounded_batches, hash_words, mix64, written
+from .common import B64, MIX2, batch, bounded_batches, discard, hash_words, mix64, written
 
 #: Symbols of a text that are hashed at once.  Longer texts are cut there, which splits a segment, never a window.
 SLICE = 1 << 19
@@ -31,6 +34,7 @@ SHARD_BYTES, MOST_CONTENTS = 256 << 10, 256
 #: The order of rows without an id: after all others.
 LAST = (1 << 63) - 1
 
+_LOW = np.uint64((1 << 20) - 1)
 _rnd = np.random.default_rng(2024)
 _BYTE = _rnd.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -68,6 +72,13 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (size - step)], x[size - step :]) if size > step else x
 
 
+def least_grams(h: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
+    """The minimizer of every window, and where it first occurs."""
+    gram = mix64(grams(h, kind.gram))
+    first = sliding_min((gram & ~_LOW) | np.arange(len(gram), dtype=np.uint64), kind.window - kind.gram + 1)
+    return first >> np.uint64(20), (first & _LOW).astype(np.int64)
+
+
 class Segments:
     """Segments of texts laid end to end: start (of the first window), number of windows, minimizer, content hash, and
     whether the minimizer occurs twice in one of its windows."""
@@ -79,13 +90,10 @@ class Segments:
         self.twice = np.zeros(0, bool)
         if len(h) < w:
             return
+        value, first = least_grams(h, kind)
         gram = mix64(grams(h, g))
         position = np.arange(len(gram), dtype=np.uint64)
-        low = np.uint64((1 << 20) - 1)
-        top = gram & ~low
-        first = sliding_min(top | position, w - g + 1)
-        last = low - (sliding_min(top | (low - position), w - g + 1) & low)
-        value = first >> np.uint64(20)
+        last = (_LOW - (sliding_min((gram & ~_LOW) | (_LOW - position), w - g + 1) & _LOW)).astype(np.int64)
         # windows that end in the text that they start in
         limit = np.repeat(ends, np.diff(ends, prepend=0))
         at = np.arange(len(value))
@@ -102,7 +110,7 @@ class Segments:
         self.start = np.repeat(starts, parts) + k * (w - g + 1)
         self.count = np.minimum(np.repeat(stops, parts) - self.start, w - g + 1)
         self.key = mix64(value[self.start])
-        repeated = np.r_[0, np.cumsum((first & low) != last)]
+        repeated = np.r_[0, np.cumsum(first != last)]
         self.twice = repeated[self.start + self.count] > repeated[self.start]
         # two overlapping blocks of half a content or more, and its length
         size = self.count + w - 1
@@ -201,6 +209,7 @@ def repeated_windows(texts: DataFrame, kind: Kind, ordered: bool, shard: Callabl
     else:
         stats = stats.filter("rows > 1 or twice").select("key", ((F.col("c1") != F.col("c2")) | F.col("twice")).alias("contested"), "o1")
     shared = written(all_segments.join(stats, "key").select("key", "content", "ord", "sum", "start", "n", "contested", "o1"), "shared")
+    discard(all_segments)
     release(texts)
 
     whole = shared.filter("not contested")
@@ -236,45 +245,90 @@ def repeated_windows(texts: DataFrame, kind: Kind, ordered: bool, shard: Callabl
 
     in_shards = bodies.filter("not hot").select("shard", "key", "content", "least", "copies", "body").groupBy("shard").applyInArrow(in_shard, FOUND)
 
-    # windows of hot minimizers, by hash
-    windows_schema = pa.schema([("window", pa.int64()), ("key", pa.int64()), ("content", pa.int64()), ("place", pa.int32()), ("least", pa.int64()), ("copies", pa.int64())])
+    hot, parts = divided(bodies.filter("hot").select("key", "content", "least", "body").dropDuplicates(["key", "content"]), kind, ordered)
+    found = written(in_shards.union(hot), "found")
+    release(texts)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = kind.window
-        half = 1 << (w.bit_length() - 1)
-        for b in batches:
-            for key, content, least, copies, body in zip(*(b.column(k).to_pylist() for k in ("key", "content", "least", "copies", "body"))):
-                g = grams(kind.hashes(body), half)
-                n = len(g) + half - w
-                h = mix64(g[:n]) * np.uint64(B64) + mix64(g[w - half : w - half + n] + np.uint64(1))
-                yield batch(windows_schema, h.view(np.int64), np.full(n, key), np.full(n, content), np.arange(n, dtype=np.int32), np.full(n, least), np.full(n, copies))
+    judged = contested.join(contents.select("key", "content", F.col("at.ord").alias("first"), "copies"), ["key", "content"]).join(found, ["key", "content"], "left")
+    entire = (F.col("ord") > F.col("first")) if ordered else (F.col("copies") > 1)
+    spans = whole.select("ord", "sum", "start", "n", F.lit(None).cast("binary").alias("runs")).union(judged.select("ord", "sum", "start", "n", F.when(~entire, F.coalesce("runs", F.lit(b""))).alias("runs")).filter("runs is null or length(runs) > 0"))
+    out = written(spans.groupBy("ord", "sum").agg(F.collect_list(F.struct("start", "n", "runs")).alias("spans")), "spans")
+    discard(shared, contents, bodies, found, *parts)
+    return out
 
-    hot = bodies.filter("hot").mapInArrow(windows, "window long, key long, content long, place int, least long, copies long")
-    if ordered:
-        again = hot.groupBy("window").agg(F.min("least").alias("first"), F.max("least").alias("last")).filter("first < last")
-        seen = hot.join(again, "window").filter("least > first")
-    else:
-        hot = hot.groupBy("window", "key", "content", "place").agg(F.max("copies").alias("copies"))
-        again = hot.groupBy("window").agg(F.sum("copies").alias("times")).filter("times > 1")
-        seen = hot.join(again, "window")
-    places = seen.groupBy("key", "content").agg(F.sort_array(F.collect_set("place")).alias("places"))
+
+_PARTS = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("least", pa.int64()), ("at", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("body", pa.binary()), ("core", pa.int64()), ("extent", pa.int64())])
+PARTS = "key long, content long, least long, at int, low int, high int, body binary, core long, extent long"
+
+
+def divided(bodies: DataFrame, kind: Kind, ordered: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, content, runs) of the repeated windows of distinct bodies, by halving parts of windows; and the tables
+    in shared storage that it is read from.
+
+    A part is the windows low to high of a body whose minimizer lies at one place (at) and whose distances to it lie
+    in one aligned range.  All windows with distances in that range contain its core.  Equal windows are at equal
+    distances, so they are in parts with equal cores at every width, down to one window.
+    """
+    width = 1 << ((kind.window - kind.gram + 1).bit_length() - 1)
+
+    def parts(width: int, first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = []
+                for r in b.to_pylist():
+                    x = kind.symbols(r["body"])
+                    if first:
+                        _, place = least_grams(kind.hashes(r["body"]), kind)
+                        cut = np.r_[0, np.flatnonzero(place[1:] != place[:-1]) + 1, len(place)].tolist()
+                        spans = [(int(place[a]), a, z) for a, z in zip(cut, cut[1:])]
+                    else:
+                        spans = [(r["at"], r["low"], r["high"])]
+                    for at, low, high in spans:
+                        while low < high:
+                            base = (at - low) // width * width  # distances base to base + width - 1 make the part
+                            stop = min(high, at - base + 1)
+                            core = kind.join(x[at - base : at - base - width + 1 + kind.window])
+                            extent = kind.join(x[low : stop - 1 + kind.window])
+                            rows.append((r["key"], r["content"], r["least"], at, low, stop, r["body"], xxhash.xxh3_64_intdigest(b"%d %d %d " % (r["key"], base, width) + core) - (1 << 63), xxhash.xxh3_64_intdigest(b"%d %d " % (at - low, stop - low) + extent) - (1 << 63)))
+                            low = stop
+                for k in range(0, len(rows), 4096):
+                    yield batch(_PARTS, *zip(*rows[k : k + 4096]))
+
+        return run
+
+    settled, tables = None, []
+    rows = bodies.mapInArrow(parts(width, True), PARTS)
+    while True:
+        rows = written(rows, "parts")
+        tables.append(rows)
+        if settled is not None and rows.isEmpty():
+            break
+        # rows with one core and extent are of a kind: one of them goes on for all, the others are settled by it
+        kinds = rows.groupBy("core", "extent").agg(F.min("least").alias("l1"), F.count("*").alias("many"), F.min(F.struct("key", "content", "at", "low")).alias("one"))
+        groups = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.min("l1").alias("g1"), F.max("l1").alias("g2"))
+        split = F.col("g1") < F.col("g2") if ordered else F.col("kinds") > 1
+        seen = rows.join(kinds.join(groups, "core").withColumn("split", split).filter("many > 1 or split").drop("g1", "g2", "kinds"), ["core", "extent"])
+        done = seen.filter("many > 1 and least > l1" if ordered else "many > 1").select("key", "content", "low", "high")
+        settled = done if settled is None else settled.union(done)
+        if width == 1:
+            break
+        width //= 2
+        goes_on = F.col("least") == F.col("l1") if ordered else F.struct("key", "content", "at", "low") == F.col("one")
+        mixed = seen.filter(F.col("split") & goes_on).select("key", "content", "least", "at", "low", "high", "body")
+        rows = mixed.mapInArrow(parts(width, False), PARTS)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for x in b.column("places").to_pylist():
-                mask = np.zeros(x[-1] + 1, bool)
-                mask[x] = True
+            for places in b.column("places").to_pylist():
+                mask = np.zeros(max(x["high"] for x in places), bool)
+                for x in places:
+                    mask[x["low"] : x["high"]] = True
                 out.append(runs_of(mask))
             yield batch(_FOUND, b.column("key"), b.column("content"), out)
 
-    found = written(in_shards.union(places.mapInArrow(packed, FOUND)), "found")
-    release(texts)
-
-    judged = contested.join(contents.select("key", "content", F.col("at.ord").alias("first"), "copies"), ["key", "content"]).join(found, ["key", "content"], "left")
-    entire = (F.col("ord") > F.col("first")) if ordered else (F.col("copies") > 1)
-    spans = whole.select("ord", "sum", "start", "n", F.lit(None).cast("binary").alias("runs")).union(judged.select("ord", "sum", "start", "n", F.when(~entire, F.coalesce("runs", F.lit(b""))).alias("runs")).filter("runs is null or length(runs) > 0"))
-    return written(spans.groupBy("ord", "sum").agg(F.collect_list(F.struct("start", "n", "runs")).alias("spans")), "spans")
+    found = settled.groupBy("key", "content").agg(F.collect_list(F.struct("low", "high")).alias("places")).mapInArrow(packed, FOUND)
+    return found, tables
 
 
 def covered(spans: list[dict], size: int, window: int) -> np.ndarray:

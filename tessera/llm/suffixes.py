@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import B64, MIX1, mix64, table
 from .passages import Kind, covered, repeated_windows, texts_with_order, with_spans
 
-WINDOW_BYTES, GRAM_BYTES = 400, 32
+WINDOW_BYTES, GRAM_BYTES = 400, 128
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
