@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, bounded_batches, shared_dir, slots, table, written
+from .common import batch, bounded_batches, discard, shared_dir, slots, table, written
 
 #: Captures in a key range, at most about; ranges are no fewer than the cluster's slots where that leaves this many.
 RANGE_CAPTURES, LEAST_CAPTURES = 200_000, 500
@@ -215,7 +215,9 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, key: str
             schema = pa.schema([("archive", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("keys", pa.list_(pa.struct([(k, pa.int64() if k == "page_id" else pa.string()) for k in _KEY])))])
             yield batch(schema, [f"{folder}/{name}"], [n], [size], [[dict(zip(_KEY, x)) for x in keys[step // 2 :: step]]])
 
-    return written(joined.mapInArrow(run, "archive string, records long, bytes long, keys array<struct<urlkey:string,timestamp:string,page_id:long>>"), "manifest")
+    manifest = written(joined.mapInArrow(run, "archive string, records long, bytes long, keys array<struct<urlkey:string,timestamp:string,page_id:long>>"), "manifest")
+    discard(source)
+    return manifest
 
 
 def splitters_of(manifest: DataFrame, ranges: int) -> list[tuple]:
