@@ -18,7 +18,7 @@ from .common import batch, bounded_batches, shared_dir, table
 
 #: kind, pattern, fewest characters (of group 2 where there is one), in the order that settles ties.
 BASE_RULES = (
-    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12),
+    ("assign", r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12),
     ("access", r"AKIA[A-Z0-9]+", 18),
     ("hex", r"[0-9a-f]+", 16),
 )

@@ -144,3 +144,9 @@ def test_op8_digest(spark, tmp_path):
     want = brute_spans(SECRETS[0])
     assert got[1].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest() and got[1].n_assign == 1
     assert got[2].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_empty_ledger(spark, tmp_path):
+    ledger = f"file://{tmp_path}/ledger"
+    assert secrets.scan_versions(frame(spark, []), ledger).count() == 0
+    assert secrets.scan_versions(frame(spark, ODD), ledger).count() == len(ODD)
