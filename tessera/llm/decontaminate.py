@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, bounded_batches, bounds_of, hash_words, table, texts_of, written
+from .common import batch, bounded_batches, bounds_of, discard, hash_words, table, texts_of, written
 
 WINDOW = 13
 #: contaminated: so many times the hit words reach the number of words.
@@ -242,6 +242,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         # a document has at most one row from each block
         hits = hits.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_join(F.transform(F.collect_list("runs"), lambda x: F.hex(x)), "").alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")).withColumn("runs", F.unhex("runs"))
 
+    hits = written(hits, "hits")
+    discard(index)
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("contaminated", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

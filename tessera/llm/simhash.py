@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import B64, batch, bounded_batches, mix64, table, texts_of, written
+from .common import B64, batch, bounded_batches, discard, mix64, table, texts_of, written
 from .components import components, edge_batch, forest
 
 SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
@@ -101,13 +101,14 @@ def link_tiles(left: tuple, right: tuple, radius: int, same: bool) -> list[tuple
     counts, other_counts = counts_of(x), counts_of(y)
     found: list[tuple[int, int]] = []
     rows = max(1, CELLS // max(1, len(y)))
+    words = x.shape[1]
     for at in range(0, len(x), rows):
         a = np.searchsorted(other_counts, counts[at] - radius)
         z = np.searchsorted(other_counts, counts[min(len(x), at + rows) - 1] + radius, side="right")
         if a == z:
             continue
         apart = np.bitwise_count(x[at : at + rows, None, 0] ^ y[None, a:z, 0])
-        for k in range(1, x.shape[1]):
+        for k in range(1, words):
             apart = np.add(apart, np.bitwise_count(x[at : at + rows, None, k] ^ y[None, a:z, k]), dtype=np.uint16)
         i, j = np.nonzero(apart <= radius)
         i, j = i + at, j + a
@@ -125,14 +126,17 @@ def tile_of(ids: np.ndarray, prints: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], x[order]
 
 
-def links(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): edges over ids that connect what chains of links between rows with a common key connect.
+def links(rows: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b): edges over ids that connect what chains of links between rows with a common key connect; and the tables
+    in shared storage that they are read from.
 
-    rows: id (long, distinct), print (array of longs), keys (array of longs).
+    rows: id (long, distinct), print (array of longs), keys (array of longs).  Only ids and keys move until it is known
+    which of them share a bucket.
     """
     spark = rows.sparkSession
     pop = F.aggregate("print", F.lit(0), lambda n, x: n + F.bit_count(x))
-    keyed = rows.select("id", "print", pop.alias("pop"), F.explode(F.array_distinct("keys")).alias("key"))
+    keyed = rows.select("id", F.explode(F.array_distinct("keys")).alias("key"))
+    prints = rows.select("id", "print", pop.alias("pop"))
     sizes = written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     small, large = sizes.filter(F.col("n") <= TILE).select("key"), sizes.filter(F.col("n") > TILE).select("key")
     held = small.join(sizes, "key").agg(F.sum("n")).first()[0] or 0
@@ -164,13 +168,13 @@ def links(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
         if ids and (found := done()):
             yield edge_batch(found)
 
-    by_bucket = keyed.join(small, "key").select("key", "id", "print")
+    by_bucket = keyed.join(small, "key").join(prints, "id").select("key", "id", "print")
     first = by_bucket.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(in_buckets, "a long, b long")
     if large.isEmpty():
-        return first
+        return first, [sizes]
 
     # Large buckets: a population count's fingerprints are cut into tiles by hash; tiles meet in pairs, one task for each.
-    wide = keyed.join(large, "key")
+    wide = keyed.join(large, "key").join(prints, "id")
     counts = wide.groupBy("key", "pop").agg(F.count("*").alias("c"))
     cut = F.pmod(F.xxhash64("id", F.lit(7)), F.ceil(F.col("c") * 2 / F.lit(TILE)))
     tiled = wide.join(counts, ["key", "pop"]).select("key", "id", "print", F.struct("pop", cut.alias("cut")).alias("tile"))
@@ -190,7 +194,7 @@ def links(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
         found = link_tiles(x, x, radius, True) if t["same"][0].as_py() else link_tiles(x, side(1), radius, False)
         return pa.Table.from_batches([edge_batch(found)])
 
-    return first.union(work.groupBy("job").applyInArrow(in_pair, "a long, b long"))
+    return first.union(work.groupBy("job").applyInArrow(in_pair, "a long, b long")), [sizes, kinds]
 
 
 def pigeonhole_keys(n: int, radius: int) -> Column:
@@ -209,15 +213,19 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     prints = written(fingerprints(docs, key, text, size, seed), "prints")
     least = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct")
     rows = least.select(F.col("print").alias("id"), F.array("print").alias("print"), pigeonhole_keys(least.count(), radius).alias("keys"))
-    return prints.join(named(least.select(F.col("print").alias("id"), "least"), links(rows, radius)), F.col("print") == F.col("id")).select("doc_id", "print", "component_id")
+    edges, tables = links(rows, radius)
+    names, more = named(least.select(F.col("print").alias("id"), "least"), edges)
+    out = written(prints.join(names, F.col("print") == F.col("id")).select("doc_id", "print", "component_id"), "components")
+    discard(prints, least, more, *tables)
+    return out
 
 
-def named(least: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component_id): the smallest of the column least in the component of each id."""
+def named(least: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, component_id): the smallest of the column least in the component of each id; and a table that it is read from."""
     found = components(edges)
     root = least.join(found.select(F.col("b").alias("id"), F.col("a").alias("root")), "id", "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     ids = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    return root.select("id", "root").join(ids, "root").select("id", "component_id")
+    return root.select("id", "root").join(ids, "root").select("id", "component_id"), found
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,10 +234,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Near copies by similarity: five-word shingles, fingerprints of so many 64-bit words, linked within NEAR_RADIUS bits.
-#: Texts of Jaccard similarity 0.8 differ in 39 bits of 256 on average, with a deviation of 6.
-NEAR_SHINGLE_WORDS, NEAR_PARTS, NEAR_RADIUS = 5, 4, 52
-#: Keys of a text: its so many least shingle hashes.  Texts of that similarity lack a common one once in 2 ** 18.
-NEAR_KEYS = 8
+#: Texts of Jaccard similarity 0.8 differ in 155 bits of 1,024 on average, with a deviation of 11; of 0.7, in 197 with 13.
+NEAR_SHINGLE_WORDS, NEAR_PARTS, NEAR_RADIUS = 5, 16, 178
+#: Keys of a text: its so many least shingle hashes.  Texts of similarity 0.8 lack a common one once in 15,000 or so.
+NEAR_KEYS = 6
 
 
 def near_sketch(text: bytes) -> tuple[list[int], list[int]]:
@@ -262,5 +270,9 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     to_narrow = least.join(narrow.select(F.col("print").alias("narrow"), F.col("id").alias("a")), "narrow").select("a", F.col("id").alias("b"))
     narrow_rows = narrow.select("id", F.array("print").alias("print"), pigeonhole_keys(narrow.count(), RADIUS).alias("keys"))
     wide_rows = least.select("id", F.col("wide").alias("print"), "keys")
-    edges = links(narrow_rows, RADIUS).union(links(wide_rows, NEAR_RADIUS)).union(to_narrow)
-    return prints.select("doc_id", "id").join(named(least.select("id", "least"), edges), "id").select("doc_id", "component_id")
+    near, tables = links(narrow_rows, RADIUS)
+    far, more = links(wide_rows, NEAR_RADIUS)
+    names, found = named(least.select("id", "least"), near.union(far).union(to_narrow))
+    out = written(prints.select("doc_id", "id").join(names, "id").select("doc_id", "component_id"), "components")
+    discard(prints, least, found, *tables, *more)
+    return out

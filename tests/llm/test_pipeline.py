@@ -85,3 +85,9 @@ def test_packing_and_run(spark, stages):
     before, after, _ = out[4]
     check(after, [(r.doc_id, r.text) for r in before], 2048)
     assert sorted((r.doc_id or -1, r.doc_tokens) for r in C.run(spark, d).collect() if r.start == 0) == sorted((r.doc_id or -1, r.doc_tokens) for r in after if r.start == 0)
+
+
+def test_empty_documents(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert C.run(spark, str(tmp_path)).count() == 0

@@ -64,7 +64,7 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     base = rnd.getrandbits(64)
     prints = sorted({S.signed(base ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 9)))) for _ in range(400)})
     rows = spark.createDataFrame([(p,) for p in prints], "print long")
-    got = S.links(rows.select(S.F.col("print").alias("id"), S.F.array("print").alias("print"), S.pigeonhole_keys(len(prints), 4).alias("keys")), 4)
+    got, _ = S.links(rows.select(S.F.col("print").alias("id"), S.F.array("print").alias("print"), S.pigeonhole_keys(len(prints), 4).alias("keys")), 4)
     pairs = [(r.a, r.b) for r in got.collect()]
     assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 64 for a, b in pairs)
     want = forest((a, b) for a in prints for b in prints if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4)
@@ -91,7 +91,9 @@ def test_tiles_skip_only_what_cannot_link():
     assert sorted(forest(S.link_tiles(tile, tile, 2, True))) == sorted(forest(pairs))
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("held", [500_000, 20])
+def test_components_of_a_long_chain(spark, monkeypatch, held):
+    monkeypatch.setattr("tessera.llm.components.HELD", held)
     edges = [(i, i + 1) for i in range(1, 300)] + [(1000, 1001), (1001, 1000), (7, 7)]
     df = spark.createDataFrame(edges, "a long, b long").repartition(5)
     assert {(r.a, r.b) for r in components(df).collect()} == {(1, i) for i in range(2, 301)} | {(1000, 1001)}
