@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, bounded_batches, shared_dir, table
+from .common import batch, bounded_batches, shared_dir, table, written
 
 #: kind, pattern, fewest characters (of group 2 where there is one), in the order that settles ties.
 BASE_RULES = (
@@ -104,7 +104,8 @@ def scan_versions(versions: DataFrame, ledger: str, text: str = "text", rule_ver
         unseen = unseen.join(done, "blob", "left_anti")
     found = scan_blobs(unseen.dropDuplicates(["blob"])).withColumn("rules", F.lit(rule_version))
     found.write.mode("append").option("compression", "zstd").parquet(ledger)
-    ours = spark.read.parquet(ledger).filter(F.col("rules") == rule_version).drop("rules").dropDuplicates(["blob"])
+    # stored, so that Spark can split the join for a blob that very many rows have
+    ours = written(spark.read.parquet(ledger).filter(F.col("rules") == rule_version).drop("rules").dropDuplicates(["blob"]), "findings")
     findings = ours.select(F.col("blob").alias("__blob"), *(F.col(c).alias(f"__{c}") for c in _SCHEMA.names[1:]))
     joined = addressed.drop("__content").join(findings, "__blob", "left")
     return joined
