@@ -208,8 +208,10 @@ def repeated_windows(texts: DataFrame, kind: Kind, ordered: bool, shard: Callabl
         stats = stats.filter("o1 < o2").select("key", (F.col("c1") != F.col("c2")).alias("contested"), "o1")
     else:
         stats = stats.filter("rows > 1 or twice").select("key", ((F.col("c1") != F.col("c2")) | F.col("twice")).alias("contested"), "o1")
+    # stored, so that the join has an exchange of its own on either side, which Spark can split for a hot minimizer
+    stats = written(stats, "stats")
     shared = written(all_segments.join(stats, "key").select("key", "content", "ord", "sum", "start", "n", "contested", "o1"), "shared")
-    discard(all_segments)
+    discard(all_segments, stats)
     release(texts)
 
     whole = shared.filter("not contested")
