@@ -224,7 +224,8 @@ def named(least: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, component_id): the smallest of the column least in the component of each id; and a table that it is read from."""
     found = components(edges)
     root = least.join(found.select(F.col("b").alias("id"), F.col("a").alias("root")), "id", "left").select("id", "least", F.coalesce("root", "id").alias("root"))
-    ids = root.groupBy("root").agg(F.min("least").alias("component_id"))
+    # stored, so that Spark can split the join for a large component
+    ids = written(root.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     return root.select("id", "root").join(ids, "root").select("id", "component_id"), found
 
 
