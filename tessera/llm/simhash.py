@@ -20,8 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import B64, batch, bounded_batches, discard, mix64, table, texts_of, written
-from .components import components, edge_batch, forest
+from .common import B64, batch, bounded_batches, bounds_of, discard, mix64, table, texts_of, written
+from .components import HELD, components, edge_batch, forest
 
 SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
 #: Fingerprints in a tile, and in a bucket on average before the number of blocks grows.
@@ -234,46 +234,169 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Near copies by similarity: five-word shingles, fingerprints of so many 64-bit words, linked within NEAR_RADIUS bits.
-#: Texts of Jaccard similarity 0.8 differ in 155 bits of 1,024 on average, with a deviation of 11; of 0.7, in 197 with 13.
-NEAR_SHINGLE_WORDS, NEAR_PARTS, NEAR_RADIUS = 5, 16, 178
+#: Near copies by similarity: texts whose sets of five-word shingles have at least the share NEAR_SHARE (4 / 5) of their union in common.
+#: Fingerprints of so many 64-bit words only choose the pairs that are compared: those within NEAR_RADIUS bits.  Texts of
+#: Jaccard similarity 0.8 differ in 155 bits of 1,024 on average, with a deviation of 11; sets of four and five in 192 with 13.
+NEAR_SHINGLE_WORDS, NEAR_PARTS, NEAR_RADIUS = 5, 16, 240
+NEAR_SHARE = 4, 5
 #: Keys of a text: its so many least shingle hashes.  Texts of similarity 0.8 lack a common one once in 15,000 or so.
 NEAR_KEYS = 6
+#: Texts and shingle hashes (8 bytes each) on one side of an exact comparison.
+SIDE_ROWS, SIDE_HASHES = 4096, 2_000_000
 
+_SETS = pa.schema([("at", pa.int64()), ("set", pa.binary())])
 
-def near_sketch(text: bytes) -> tuple[list[int], list[int]]:
-    """The wide fingerprint and the keys of a text; a text without words has zeros and the key 0."""
-    h = np.unique(shingle_hashes(text, NEAR_SHINGLE_WORDS))
+
+def near_set(text: bytes) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(shingle_hashes(text, NEAR_SHINGLE_WORDS))
+
+
+def near_sketch(h: np.ndarray) -> tuple[list[int], list[int]]:
+    """The wide fingerprint and the keys of a text's set; a text without words has zeros and the key 0."""
     parts = [majority(h if k == 0 else mix64(h + np.uint64(B64 * k % (1 << 64)))) for k in range(NEAR_PARTS)]
     return parts, np.sort(mix64(h + np.uint64(1)))[:NEAR_KEYS].view(np.int64).tolist() or [0]
 
 
+def link_similar(left: tuple, right: tuple, radius: int, same: bool) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two sides (or within one): pairs within the radius whose sets are similar.
+
+    A side is (ids, fingerprints as rows of 64-bit words, sets).  Similarities are exact: what a set has in common with
+    each set of the other side is counted by an inverted index of that side.
+    """
+    (ids, x, own), (other_ids, y, others) = left, right
+    sizes, other_sizes = np.array([len(h) for h in own], np.int64), np.array([len(h) for h in others], np.int64)
+    terms, number = np.unique(np.concatenate(others), return_inverse=True)
+    holders = np.repeat(np.arange(len(y)), other_sizes)[np.argsort(number, kind="stable")]
+    starts = bounds_of(np.bincount(number, minlength=len(terms)))
+    label = np.arange(len(x))
+    other_label = label if same else np.arange(len(x), len(x) + len(y))
+    part, whole = NEAR_SHARE
+    found: list[tuple[int, int]] = []
+    for i in range(len(x)):
+        apart = np.bitwise_count(x[i] ^ y).sum(axis=1, dtype=np.int64)
+        j = np.flatnonzero((apart <= radius) & (other_label != label[i]) & (whole * np.minimum(sizes[i], other_sizes) >= part * np.maximum(sizes[i], other_sizes)))
+        if not len(j):
+            continue
+        shared = np.zeros(len(y), np.int64)
+        if len(terms):
+            at = np.minimum(np.searchsorted(terms, own[i]), len(terms) - 1)
+            at = at[terms[at] == own[i]]
+            many = starts[at + 1] - starts[at]
+            place = np.arange(many.sum()) - np.repeat(bounds_of(many)[:-1], many) + np.repeat(starts[at], many)
+            shared = np.bincount(holders[place], minlength=len(y))
+        j = j[whole * shared[j] >= part * (sizes[i] + other_sizes[j] - shared[j])]
+        # one link to each part that is joined
+        joined, first = np.unique(other_label[j], return_index=True)
+        found += [(int(ids[i]), int(b)) for b in other_ids[j[first]]]
+        merged = np.r_[joined, label[i]]
+        least = merged.min()
+        label[np.isin(label, merged)] = least
+        if not same:
+            other_label[np.isin(other_label, merged)] = least
+    return found
+
+
+def similar_links(rows: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b): edges over ids that connect what chains of links connect; and a table that they are read from.
+
+    A link is a pair with a common key, within the radius, and of similar sets.
+    rows: id (long, distinct), print (array of longs), keys (array of longs), n (size of the set), set (binary: sorted
+    unsigned 64-bit hashes).  Keys that the very same ids have are compared once.  What is too large for a side is cut by
+    hash; sides meet in pairs.
+    """
+    keyed = rows.select("id", "n", F.explode(F.array_distinct("keys")).alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.bit_xor(F.xxhash64("id")).alias("who")).filter("c > 1")
+    cuts = F.ceil(F.greatest(F.col("c") / SIDE_ROWS, F.col("s") / SIDE_HASHES, F.lit(1.0))).cast("int")
+    sizes = written(buckets.groupBy("c", "s", "who").agg(F.min("key").alias("key")).select("key", "s", cuts.alias("cuts")), "buckets")
+    parts = (sizes.agg(F.sum(F.col("s") * F.col("cuts"))).first()[0] or 0) // (2 * SIDE_HASHES) + 2 * rows.sparkSession.sparkContext.defaultParallelism
+    tile = F.pmod(F.xxhash64("id", F.lit(7)), "cuts").cast("int")
+    tiled = keyed.drop("n").join(sizes, "key").withColumn("tile", tile).join(rows.select("id", "print", "set"), "id")
+    met = tiled.select("key", "id", "tile", "print", "set", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
+    job = F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other"))
+    work = met.select(job.alias("job"), (F.col("tile") > F.col("other")).cast("int").alias("side"), (F.col("tile") == F.col("other")).alias("same"), "id", "print", "set")
+
+    def in_jobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows arrive sorted by job."""
+        last, held = None, []
+
+        def done() -> list[tuple[int, int]]:
+            def side(k: int) -> tuple:
+                mine = [r for r in held if r[0] == k]
+                return np.array([r[2] for r in mine], np.int64), np.array([r[3] for r in mine], np.int64).view(np.uint64), [np.frombuffer(r[4], np.uint64) for r in mine]
+
+            kinds = {r[0] for r in held}
+            if held[0][1]:
+                return link_similar(x := side(0), x, radius, True)
+            return link_similar(side(0), side(1), radius, False) if len(kinds) == 2 else []
+
+        found: list[tuple[int, int]] = []
+        for b in batches:
+            for at, *row in zip(*(b.column(c).to_pylist() for c in ("job", "side", "same", "id", "print", "set"))):
+                if held and at != last:
+                    found += done()
+                    held = []
+                last = at
+                held.append(row)
+            if len(found) > HELD:
+                yield edge_batch(forest(found))
+                found = []
+        if held:
+            found += done()
+        if found:
+            yield edge_batch(forest(found))
+
+    return work.repartition(parts, "job").sortWithinPartitions("job").mapInArrow(in_jobs, "a long, b long"), sizes
+
+
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id) per input row, as simhash_components, linking texts by wide fingerprints as well.
+    """(doc_id, component_id) per input row: the smallest doc_id reachable through links.
 
-    Two texts are linked if their 64-bit fingerprints are (4-word shingles, 4 bits), or if they share a key and their
-    wide fingerprints differ by NEAR_RADIUS bits or fewer.
+    Two texts are linked if the Jaccard similarity of their sets of five-word shingles (of all words, where they are
+    fewer) is 0.8 or more, which is computed exactly.  Compared are pairs whose 64-bit fingerprints are within 4 bits
+    (4-word shingles), and those that share a key and whose wide fingerprints are within NEAR_RADIUS bits.
+    Nulls, empty and repeated rows as in simhash_components.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("narrow", pa.int64()), ("wide", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("narrow", pa.int64()), ("wide", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("n", pa.int64()), ("same", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
-            sketches = [near_sketch(x) for x in texts]
-            yield batch(schema, b.column(0), [fingerprint(x) for x in texts], [w for w, _ in sketches], [k for _, k in sketches])
+            rows = []
+            for x in texts:
+                h = near_set(x)
+                rows.append((fingerprint(x), *near_sketch(h), len(h), signed(xxhash.xxh64_intdigest(h.tobytes()))))
+            yield batch(schema, b.column(0), b.column(2), *(zip(*rows) if rows else [[]] * 5))
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 200):
+                part = b.slice(k, 200)
+                yield batch(_SETS, part.column(0), [near_set(x).tobytes() for x in part.column(1).to_pylist()])
 
     bounded_batches(docs.sparkSession)
-    # one id for each pair of fingerprints
-    both = texts_of(docs, key, text).mapInArrow(run, "doc_id long, narrow long, wide array<long>, keys array<long>").withColumn("id", F.xxhash64("narrow", "wide"))
+    # at: the text; id: one for each pair of fingerprint and set
+    addressed = texts_of(docs, key, text).withColumn("at", F.xxhash64("text"))
+    both = addressed.mapInArrow(run, "doc_id long, at long, narrow long, wide array<long>, keys array<long>, n long, same long").withColumn("id", F.xxhash64("narrow", "same"))
     prints = written(both, "prints")
-    least = written(prints.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("narrow").alias("narrow"), F.first("wide").alias("wide"), F.first("keys").alias("keys")), "distinct")
+    least = written(prints.groupBy("id").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("at", "narrow", "wide", "keys", "n"))), "distinct")
     narrow = least.groupBy(F.col("narrow").alias("print")).agg(F.min("id").alias("id"))
-    to_narrow = least.join(narrow.select(F.col("print").alias("narrow"), F.col("id").alias("a")), "narrow").select("a", F.col("id").alias("b"))
+    to_narrow = least.join(narrow.select(F.col("print").alias("narrow"), F.col("id").alias("a")), "narrow").select("a", F.col("id").alias("b")).filter("a <> b")
     narrow_rows = narrow.select("id", F.array("print").alias("print"), pigeonhole_keys(narrow.count(), RADIUS).alias("keys"))
-    wide_rows = least.select("id", F.col("wide").alias("print"), "keys")
     near, tables = links(narrow_rows, RADIUS)
-    far, more = links(wide_rows, NEAR_RADIUS)
-    names, found = named(least.select("id", "least"), near.union(far).union(to_narrow))
+    far, more = links(least.select("id", F.col("wide").alias("print"), "keys"), NEAR_RADIUS)
+
+    # what has a partner within a radius is compared exactly
+    ends = lambda edges, kind: edges.select(F.explode(F.array("a", "b")).alias("id"), F.lit(kind).alias("kind"))
+    met = written(ends(near.union(to_narrow), "near").union(ends(far, "far")).groupBy("id").agg(F.max(F.expr("kind = 'near'")).alias("near"), F.max(F.expr("kind = 'far'")).alias("far")), "met")
+    chosen = least.join(met, "id")
+    texts = addressed.select("at", "text").join(chosen.select("at"), "at", "left_semi").dropDuplicates(["at"])
+    compared = written(chosen.join(texts.mapInArrow(sets_of, "at long, set binary"), "at").select("id", "narrow", "wide", "keys", "n", "set", "near", "far"), "sets")
+    by_narrow = compared.filter("near").withColumn("print", F.col("narrow"))
+    by_narrow = by_narrow.select("id", F.array("print").alias("print"), pigeonhole_keys(by_narrow.count(), RADIUS).alias("keys"), "n", "set")
+    near, near_sizes = similar_links(by_narrow, RADIUS)
+    far, far_sizes = similar_links(compared.filter("far").select("id", F.col("wide").alias("print"), "keys", "n", "set"), NEAR_RADIUS)
+    names, found = named(least.select("id", "least"), near.union(far))
     out = written(prints.select("doc_id", "id").join(names, "id").select("doc_id", "component_id"), "components")
-    discard(prints, least, found, *tables, *more)
+    discard(prints, least, met, compared, found, near_sizes, far_sizes, *tables, *more)
     return out

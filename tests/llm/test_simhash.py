@@ -124,3 +124,37 @@ def test_near_components_catch_similar_texts(spark):
             assert got[500 + k] == 100 + k
         else:
             assert got[500 + k] in (100 + k, 500 + k)
+
+
+def templated(n, seed=5):
+    """Texts of one template: each pair has the same long part and its own rest, at a Jaccard similarity of about 0.7."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    head = [word() for _ in range(164)]
+    return [(k, " ".join(head + [word() for _ in range(34)])) for k in range(n)]
+
+
+@pytest.mark.parametrize("side", [4096, 60])
+def test_near_components_keep_templated_texts(spark, side, monkeypatch):
+    monkeypatch.setattr(S, "SIDE_ROWS", side)
+    rows = templated(400)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows[:20]]
+    assert all(0.65 < len(a & b) / len(a | b) < 0.75 for a in sets for b in sets if a is not b)
+    copies = [(1000 + k, rows[k][1].upper() + " end") for k in range(0, 400, 40)]
+    got = {r.doc_id: r.component_id for r in S.near_components(frame(spark, rows + copies)).collect()}
+    assert got == {k: k for k, _ in rows} | {k: k - 1000 for k, _ in copies}
+
+
+@pytest.mark.parametrize("share", [0.5, 0.9])
+def test_link_similar_is_exact(share):
+    rnd = np.random.default_rng(4)
+    pool = np.sort(rnd.integers(0, 1 << 63, 40).astype(np.uint64))
+    sets = [np.sort(rnd.choice(pool, max(1, int(40 * share) - k % 7), replace=False)) for k in range(50)] + [pool[:0], pool[:0], pool[:4], pool[:5]]
+    ids, prints = np.arange(len(sets)), np.zeros((len(sets), 1), np.uint64)
+    close = lambda a, b: 5 * len(set(a) & set(b)) >= 4 * len(set(a) | set(b))
+    want = sorted(forest((i, j) for i in ids.tolist() for j in range(i) if close(sets[i], sets[j])))
+    side = ids, prints, sets
+    assert sorted(forest(S.link_similar(side, side, 0, True))) == want and (50, 51) in want and (52, 53) in want
+    left, right = (ids[::2], prints[::2], sets[::2]), (ids[1::2], prints[1::2], sets[1::2])
+    across = sorted(forest((i, j) for i in ids[::2].tolist() for j in ids[1::2].tolist() if close(sets[i], sets[j])))
+    assert sorted(forest(S.link_similar(left, right, 0, False))) == across
