@@ -18,20 +18,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs)
 
 
+def by_text(docs: DataFrame) -> DataFrame:
+    """docs with a hash of each row's text, which stands for the row where ids are null or repeated."""
+    return docs.withColumn("__at", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies.
+    """The document with the smallest id of each group of near copies; one without an id only where no other is in the group.
 
-    Rows with one id are one document, of which one row stays; rows without an id aren't compared and stay.
+    Each text is compared, whatever its id: texts that share an id and aren't near copies all stay.  Of rows with one id and
+    one text one stays.
     """
-    named = docs.filter("doc_id is not null")
-    first = near_components(named).filter("doc_id = component_id").select("doc_id").distinct()
-    return named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.filter("doc_id is null"))
+    held = by_text(docs).withColumn("__row", F.xxhash64("doc_id", "__at"))
+    groups = near_components(held, "__at").distinct()
+    # of each text the smallest id first, so that no copied text gathers in the join
+    least = held.groupBy("__at").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("least"))
+    first = least.join(groups, F.col("__at") == groups["doc_id"]).groupBy("component_id").agg(F.min("least").alias("least")).select(F.col("least.__row").alias("__row"))
+    return held.join(first, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Documents that aren't contaminated; each row is judged by its own text, also where ids are null or repeated."""
+    held = by_text(docs)
+    found = decontaminate(held, table(spark, sf_dir, "benchmark"), "__at").filter("contaminated").select(F.col("doc_id").alias("__at")).distinct()
+    return held.join(found, "__at", "left_anti").select(docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,3 +91,17 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_without_an_id_or_with_one_id(spark, tmp_path):
+    rnd = random.Random(4)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefghijklmno") for _ in range(6)) for _ in range(n))
+    a, b, c, d = (prose(90) for _ in range(4))
+    spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, PASSAGE + " " + a), (None, b), (7, PASSAGE + " " + c), (7, d), (8, None), (None, None)]
+    left = C.benchmark_decontamination(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    assert by_id(left) == sorted([(None, b), (7, d), (8, None), (None, None)], key=repr)
+    rows = [(None, a), (None, a + " end"), (None, b), (5, b), (6, b), (7, c), (7, d), (7, d), (9, c.upper())]
+    left = C.simhash_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    assert by_id([r for r in left if r.doc_id]) == sorted([(5, b), (7, c), (7, d)], key=repr)
+    assert [r.text in (a, a + " end") for r in left if r.doc_id is None] == [True]
