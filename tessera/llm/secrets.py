@@ -22,12 +22,21 @@ BASE_RULES = (
     ("access", r"AKIA[A-Z0-9]+", 18),
     ("hex", r"[0-9a-f]+", 16),
 )
+#: A private key's block: to the END line of its label, whatever is between; where that is missing, over header lines and
+#: the pieces of base64 that follow.  A run's last piece may be short: it goes after a long one, or if it fills its line.
+_GAP = r"""(?:\s|\\[nrt]|["',>])"""
+_KEY_BLOCK = (
+    r"-----BEGIN ([A-Z ]{0,40}PRIVATE KEY)-----(?:(?:(?!-----)[\s\S])*+-----END \1-----"
+    rf"|(?:{_GAP}*+(?:Proc-Type|DEK-Info|Comment):[^\r\n\\]*+)*+"
+    rf"(?:(?:{_GAP}*+[A-Za-z0-9+/]{{16,}}+=*+)++(?:{_GAP}++[A-Za-z0-9+/]{{1,15}}+=*+)?+"
+    rf"|{_GAP}*+[A-Za-z0-9+/]{{1,15}}+(?:=++|=*+(?=[ \t]*(?:[\r\n]|\\[nr]|\Z))))?+)"
+)
 #: Further kinds; what they find is added to the base spans.
 MORE_RULES = (
-    ("key_block", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 1),
+    ("key_block", _KEY_BLOCK, 1),
     ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 1),
 )
-RULE_VERSION = "base1+more1"
+RULE_VERSION = "base1+more2"
 
 #: A text without any of these has no match of the rule, which is cheaper to see.
 _HEX = re.compile(r"[0-9a-f]{16,}")
