@@ -6,12 +6,14 @@ import os
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Arrow batches sent to Python workers hold at most so many rows and bytes, so that a worker's memory
 #: doesn't follow the length of the texts.  One row larger than this travels alone.
@@ -29,12 +31,14 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a local one in local mode alone."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         sc = spark.sparkContext
         root = sc.getCheckpointDir()
         if not root:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="tessera-")
             sc.setCheckpointDir(root)
             root = sc.getCheckpointDir()
@@ -70,6 +74,36 @@ def discard(*tables: DataFrame) -> None:
         remove_dir(df.sparkSession, df._stored_at)
 
 
+#: Names of a row's place in storage, which no table has for columns of its own.
+PLACE_FILE, PLACE_ROW = "place of a row: file", "place of a row: number"
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of df by their exact names, which may have dots and quotes in them."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], dropped: int = 0) -> DataFrame:
+    """df through mapInArrow with its schema, less so many columns at the end; run gets columns by place, whatever their names."""
+    fields = df.schema.fields
+    inside = StructType([StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(fields)])
+    left = len(fields) - dropped
+    return df.toDF(*inside.names).mapInArrow(run, StructType(inside.fields[:left])).toDF(*df.columns[:left])
+
+
+def placed(df: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """df with PLACE_FILE (a hash of the file's path) and PLACE_ROW, which tell its rows apart on every evaluation.
+
+    A plain scan of Parquet files has them; anything else is written first, and the second result has that table.
+    """
+    tables = []
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or "parquet" not in df._jdf.queryExecution().analyzed().toString().split("\n")[0].lower():
+        df = written(df, "rows")
+        tables.append(df)
+    at = df.metadataColumn("_metadata")
+    return df.select("*", F.xxhash64(at["file_path"]).alias(PLACE_FILE), at["row_index"].alias(PLACE_ROW)), tables
+
+
 def texts_of(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
     """key, the text as UTF-8 bytes (null: empty) and further columns; extra columns of the input don't travel."""
     return df.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("text"), *(F.col(f"`{c}`") for c in more))

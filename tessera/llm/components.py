@@ -56,13 +56,14 @@ def contract(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
-def shrunk(edges: DataFrame) -> DataFrame:
-    """Edges in shared storage, contracted by tasks of at most about HELD edges each, each of several stored partitions."""
+def shrunk(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """Edges in shared storage, contracted by tasks of at most about HELD edges each, each of several stored partitions;
+    and whether one task had them all, so that what it gives are the components."""
     stored = written(edges.filter("a <> b"), "edges")
-    tasks = -(-stored.count() // HELD)
-    out = written(contract(stored.coalesce(max(1, tasks))), "links")
+    tasks = max(1, -(-stored.count() // HELD))
+    out = written(contract(stored.coalesce(tasks)), "links")
     discard(stored)
-    return out
+    return out, tasks == 1
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -91,8 +92,8 @@ def components(edges: DataFrame) -> DataFrame:
     an empty result.  Each round is a large-star, a small-star and a contraction of bounded parts, written to shared
     storage; minima come together per task first, and a hub's edges are an equi-join side that Spark can split.
     """
-    now = shrunk(edges)
-    while not is_stars(now):
-        before, now = now, shrunk(_small_star(_large_star(now)))
+    now, done = shrunk(edges)
+    while not done and not is_stars(now):
+        before, (now, done) = now, shrunk(_small_star(_large_star(now)))
         discard(before)
     return now

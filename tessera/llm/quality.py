@@ -14,7 +14,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import B64, MIX1, MIX2, batch, bounded_batches, bounds_of, hash_words, mix64, per_group, table, texts_of
+from .common import B64, MIX1, MIX2, batch, bounded_batches, bounds_of, hash_words, map_rows, mix64, per_group, table, texts_of
 
 #: (bytes below, lowest ratio, highest ratio) for whole documents; the last holds for all longer ones.
 DOCUMENT_BANDS = ((128, 0.30, 9.9), (256, 0.32, 1.00), (512, 0.30, 0.85), (1024, 0.28, 0.76), (2048, 0.22, 0.72), (4096, 0.20, 0.68), (8192, 0.18, 0.66), (float("inf"), 0.16, 0.65))
@@ -127,7 +127,7 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
             texts = [x or b"" for x in b.column(at).cast(pa.binary()).to_pylist()]
             yield b.filter(pa.array(judge(texts, compress)[6], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

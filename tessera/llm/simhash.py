@@ -4,28 +4,30 @@ Distinct fingerprints are dealt into tables by pigeonhole: of k bit blocks, radi
 any linked pair, so the pair meets in the bucket of such a choice of blocks.  k grows with the number of
 fingerprints, so that a bucket stays small; every k finds every link.  Within a bucket, fingerprints sorted by
 population count form tiles, tile pairs whose counts differ by more than the radius are skipped, and the rest are
-compared exactly by exclusive-or and bit counts in numpy.  A tile pair hands over a spanning forest of its links,
-never all pairs.
+compared exactly by exclusive-or and bit counts in numpy.  Tiles are linked within themselves first; pairs of tiles
+then compare only what isn't one component already, and hand over a spanning forest, never all pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import B64, batch, bounded_batches, bounds_of, discard, mix64, table, texts_of, written
+from .common import B64, PLACE_FILE, PLACE_ROW, batch, bounded_batches, bounds_of, columns_of, discard, mix64, placed, slots, table, texts_of, written
 from .components import HELD, components, edge_batch, forest
 
 SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
 #: Fingerprints in a tile, and in a bucket on average before the number of blocks grows.
 TILE, BUCKET = 2048, 1024
+#: Rows of one component that fill so much of a tile get tiles of their own.
+OWN_TILE = 0.25
 #: Comparisons that one numpy call makes at once.
 CELLS = 1 << 19
 
@@ -93,11 +95,12 @@ def counts_of(prints: np.ndarray) -> np.ndarray:
 
 
 def link_tiles(left: tuple, right: tuple, radius: int, same: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two tiles (or within one).
+    """A spanning forest of what the links between two tiles (or within one) join.
 
-    A tile is (ids, fingerprints as rows of 64-bit words), sorted by population count.
+    A tile is (names, fingerprints as rows of 64-bit words), sorted by population count.  Rows of one name are joined
+    already, so at most one link is handed over for each pair of names that it joins.
     """
-    (ids, x), (other_ids, y) = left, right
+    (names, x), (other_names, y) = left, right
     counts, other_counts = counts_of(x), counts_of(y)
     found: list[tuple[int, int]] = []
     rows = max(1, CELLS // max(1, len(y)))
@@ -114,87 +117,125 @@ def link_tiles(left: tuple, right: tuple, radius: int, same: bool) -> list[tuple
         i, j = i + at, j + a
         if same:
             i, j = i[i < j], j[i < j]
-        if len(i):
-            found = forest([*found, *zip(ids[i].tolist(), other_ids[j].tolist())])
+        p, q = names[i], other_names[j]
+        p, q = p[p != q], q[p != q]
+        if len(p):
+            found = forest([*found, *zip(p.tolist(), q.tolist())])
     return found
 
 
-def tile_of(ids: np.ndarray, prints: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A tile from a column of ids and a column of lists of words."""
-    x = prints.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
+def tile_of(names: np.ndarray, prints: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A tile from a column of names and a column of lists of words."""
+    x = prints.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(names), -1)
     order = np.argsort(counts_of(x), kind="stable")
-    return ids[order], x[order]
+    return names[order], x[order]
+
+
+def linked(members: DataFrame, payload: DataFrame, link: Callable[[pa.Table, pa.Table, bool], list[tuple[int, int]]], reach: Callable[..., Column]) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b): edges over ids that connect what chains of links connect; and the tables in shared storage that they are read from.
+
+    members: key, id, measure and load (a row's share of a tile), distinct in (key, id); payload: id and what link
+    looks at.  link gets one tile twice, or two tiles, with the names of their rows, and returns edges between names.
+    reach says whether the measures (x_low, x_high, y_low, y_high) of two tiles leave a link possible.
+
+    Each key's rows are first cut into tiles by hash, which are linked within themselves.  Where a key has more than
+    one tile, rows then take the names of their components, and rows of one name make tiles of their own where they
+    are many.  Tiles meet in pairs, one task for each; two tiles of one name needn't, nor any that reach rules out.
+    So a large group of copies is compared with itself once per tile, and its edges are never more than its rows.
+    """
+    spark = members.sparkSession
+    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("load").alias("total"), F.bit_xor(F.xxhash64("id")).alias("who")).filter("n > 1")
+    # keys that the very same ids have are compared once
+    sizes = written(buckets.groupBy("n", "who").agg(F.min(F.struct("key", "total")).alias("one")).select("one.key", "one.total", "n"), "buckets")
+    spread = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    held = members.join(sizes.select("key", F.ceil("total").alias("tiles")), "key")
+    first = held.select("key", "id", F.floor(spread * F.col("tiles")).alias("tile"), F.col("id").alias("name")).join(payload, "id")
+    rows = sizes.agg(F.sum("n"), F.max("total")).first()
+    parts = int((rows[0] or 0) // 200_000 + 2 * slots(spark))
+    columns = ["name", *(c for c in payload.columns if c != "id")]
+
+    def groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
+        """Rows arrive sorted; one group is in memory at a time."""
+        last, held = None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = [b.column(c).to_numpy(zero_copy_only=False) for c in by]
+            cut = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in at])) + 1
+            bounds = [0, *cut.tolist(), b.num_rows]
+            for a, z in zip(bounds, bounds[1:]):
+                now = tuple(x[a] for x in at)
+                if held and now != last:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                last = now
+                held.append(b.slice(a, z - a))
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def edges_of(found: Iterator[list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+        edges: list[tuple[int, int]] = []
+        for more in found:
+            edges += more
+            if len(edges) > 2 * HELD:
+                edges = forest(edges)
+                if len(edges) > HELD:
+                    yield edge_batch(edges)
+                    edges = []
+        if edges:
+            yield edge_batch(forest(edges))
+
+    def in_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from edges_of(link(x := g.select(columns).combine_chunks(), x, True) for g in groups(batches, ("key", "tile")) if g.num_rows > 1)
+
+    def in_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def meet(g: pa.Table) -> list[tuple[int, int]]:
+            side = [g.filter(pa.compute.equal(g["side"], k)).select(columns).combine_chunks() for k in (0, 1)]
+            return link(side[0], side[0], True) if g["same"][0].as_py() else link(*side, False) if side[0].num_rows and side[1].num_rows else []
+
+        yield from edges_of(map(meet, groups(batches, ("job",))))
+
+    linked_once = first.repartition(parts, "key", "tile").sortWithinPartitions("key", "tile").mapInArrow(in_tiles, "a long, b long")
+    if (rows[1] or 0) <= 1:
+        return linked_once, [sizes]
+
+    stars = components(linked_once)
+    large = members.join(sizes.filter("total > 1").select("key"), "key").join(stars.select(F.col("b").alias("id"), "a"), "id", "left").select("key", "id", "measure", "load", F.coalesce("a", "id").alias("name"))
+    named_rows = written(large, "named")
+    own = written(named_rows.groupBy("key", "name").agg(F.sum("load").alias("s")).filter(F.col("s") >= OWN_TILE).select("key", "name", F.lit(True).alias("own")), "own")
+    kept = named_rows.join(own, ["key", "name"], "left").withColumn("own", F.coalesce("own", F.lit(False))).withColumn("part", F.when(F.col("own"), F.col("name")).otherwise(F.lit(0)))
+    counts = kept.groupBy("key", "own", "part", "measure").agg(F.sum("load").alias("s"))
+    before = F.sum("s").over(Window.partitionBy("key", "own", "part").orderBy("measure")) - F.col("s")
+    counts = written(counts.withColumn("before", before), "measures")
+    tiled = kept.join(counts, ["key", "own", "part", "measure"]).select("key", "id", "name", "measure", F.struct("own", "part", F.floor(F.col("before") + spread * F.col("s")).alias("cut")).alias("tile"))
+    kinds = written(tiled.groupBy("key", "tile").agg(F.min("measure").alias("low"), F.max("measure").alias("high")), "tiles")
+    left, right = (kinds.select("key", F.col("tile").alias(s), F.col("low").alias(f"{s}_low"), F.col("high").alias(f"{s}_high")) for s in "xy")
+    one_name = F.col("x.own") & F.col("y.own") & (F.col("x.part") == F.col("y.part"))
+    # names of tiles in pairs, not rows
+    pairs = left.join(right, "key").filter((F.col("x") <= F.col("y")) & ~one_name & reach("x_low", "x_high", "y_low", "y_high")).select("key", "x", "y", F.xxhash64("key", "x", "y").alias("job"))
+    sides = pairs.select("key", "job", F.col("x").alias("tile"), F.lit(0).alias("side"), (F.col("x") == F.col("y")).alias("same")).union(pairs.filter("x <> y").select("key", "job", F.col("y").alias("tile"), F.lit(1).alias("side"), F.lit(False).alias("same")))
+    work = tiled.join(sides, ["key", "tile"]).select("job", "side", "same", "id", "name").join(payload, "id")
+    across = work.repartition(parts, "job").sortWithinPartitions("job").mapInArrow(in_pairs, "a long, b long")
+    return stars.union(across), [sizes, stars, named_rows, own, counts, kinds]
 
 
 def links(rows: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, list[DataFrame]]:
-    """(a, b): edges over ids that connect what chains of links between rows with a common key connect; and the tables
-    in shared storage that they are read from.
+    """Edges, as linked() gives them, for rows with a common key and fingerprints within the radius.
 
     rows: id (long, distinct), print (array of longs), keys (array of longs).  Only ids and keys move until it is known
     which of them share a bucket.
     """
-    spark = rows.sparkSession
     pop = F.aggregate("print", F.lit(0), lambda n, x: n + F.bit_count(x))
-    keyed = rows.select("id", F.explode(F.array_distinct("keys")).alias("key"))
-    prints = rows.select("id", "print", pop.alias("pop"))
-    sizes = written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    small, large = sizes.filter(F.col("n") <= TILE).select("key"), sizes.filter(F.col("n") > TILE).select("key")
-    held = small.join(sizes, "key").agg(F.sum("n")).first()[0] or 0
-    parts = held // 200_000 + 2 * spark.sparkContext.defaultParallelism
+    members = rows.select("id", pop.alias("measure"), F.lit(1.0 / TILE).alias("load"), F.explode(F.array_distinct("keys")).alias("key"))
 
-    def in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by bucket; a bucket is a tile or less."""
-        last, ids, prints = None, [], []
+    def link(x: pa.Table, y: pa.Table, same: bool) -> list[tuple[int, int]]:
+        left = tile_of(x["name"].to_numpy(), x["print"].combine_chunks())
+        return link_tiles(left, left if same else tile_of(y["name"].to_numpy(), y["print"].combine_chunks()), radius, same)
 
-        def done() -> list[tuple[int, int]]:
-            tile = tile_of(np.concatenate(ids), pa.concat_arrays(prints))
-            return link_tiles(tile, tile, radius, True)
+    def reach(x_low: str, x_high: str, y_low: str, y_high: str) -> Column:
+        return (F.col(y_low) - F.col(x_high) <= radius) & (F.col(x_low) - F.col(y_high) <= radius)
 
-        for b in batches:
-            key, own = b.column("key").to_numpy(), b.column("id").to_numpy()
-            cut = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
-            found: list[tuple[int, int]] = []
-            for a, z in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                if a == z:
-                    continue
-                if last != key[a]:
-                    if ids:
-                        found += done()
-                    last, ids, prints = key[a], [], []
-                ids.append(own[a:z])
-                prints.append(b.column("print").slice(a, z - a))
-            if found:
-                yield edge_batch(found)
-        if ids and (found := done()):
-            yield edge_batch(found)
-
-    by_bucket = keyed.join(small, "key").join(prints, "id").select("key", "id", "print")
-    first = by_bucket.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(in_buckets, "a long, b long")
-    if large.isEmpty():
-        return first, [sizes]
-
-    # Large buckets: a population count's fingerprints are cut into tiles by hash; tiles meet in pairs, one task for each.
-    wide = keyed.join(large, "key").join(prints, "id")
-    counts = wide.groupBy("key", "pop").agg(F.count("*").alias("c"))
-    cut = F.pmod(F.xxhash64("id", F.lit(7)), F.ceil(F.col("c") * 2 / F.lit(TILE)))
-    tiled = wide.join(counts, ["key", "pop"]).select("key", "id", "print", F.struct("pop", cut.alias("cut")).alias("tile"))
-    kinds = written(tiled.select("key", "tile").distinct(), "tiles")
-    left, right = kinds.select("key", F.col("tile").alias("x")), kinds.select("key", F.col("tile").alias("y"))
-    # tile pairs, not rows: pairs of names whose counts lie within the radius
-    pairs = left.join(right, "key").filter((F.col("x") <= F.col("y")) & (F.col("y.pop") - F.col("x.pop") <= radius)).withColumn("job", F.xxhash64("key", "x", "y"))
-    sides = pairs.select("key", "job", F.col("x").alias("tile"), F.lit(0).alias("side"), (F.col("x") == F.col("y")).alias("same")).union(pairs.filter("x <> y").select("key", "job", F.col("y").alias("tile"), F.lit(1).alias("side"), F.lit(False).alias("same")))
-    work = tiled.join(sides, ["key", "tile"]).select("job", "side", "same", "id", "print")
-
-    def in_pair(t: pa.Table) -> pa.Table:
-        def side(k: int) -> tuple:
-            part = t.filter(pa.compute.equal(t["side"], k)).combine_chunks()
-            return tile_of(part["id"].to_numpy(), part["print"].combine_chunks())
-
-        x = side(0)
-        found = link_tiles(x, x, radius, True) if t["same"][0].as_py() else link_tiles(x, side(1), radius, False)
-        return pa.Table.from_batches([edge_batch(found)])
-
-    return first.union(work.groupBy("job").applyInArrow(in_pair, "a long, b long")), [sizes, kinds]
+    return linked(members, rows.select("id", "print"), link, reach)
 
 
 def pigeonhole_keys(n: int, radius: int) -> Column:
@@ -235,16 +276,21 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Near copies by similarity: texts whose sets of five-word shingles have at least the share NEAR_SHARE (4 / 5) of their union in common.
-#: Fingerprints of so many 64-bit words only choose the pairs that are compared: those within NEAR_RADIUS bits.  Texts of
-#: Jaccard similarity 0.8 differ in 155 bits of 1,024 on average, with a deviation of 11; sets of four and five in 192 with 13.
-NEAR_SHINGLE_WORDS, NEAR_PARTS, NEAR_RADIUS = 5, 16, 240
+#: Fingerprints of so many 64-bit words only choose what is compared: those within NEAR_RADIUS bits.  Texts of Jaccard
+#: similarity 0.8 differ in 77 bits of 512 on average, with a deviation of 8; sets of four and five in 96 with 9.
+NEAR_SHINGLE_WORDS, NEAR_PARTS, NEAR_RADIUS = 5, 8, 140
 NEAR_SHARE = 4, 5
 #: Keys of a text: its so many least shingle hashes.  Texts of similarity 0.8 lack a common one once in 15,000 or so.
 NEAR_KEYS = 6
 #: Texts and shingle hashes (8 bytes each) on one side of an exact comparison.
 SIDE_ROWS, SIDE_HASHES = 4096, 2_000_000
+#: A shingle that so many texts of a side have is counted in a matrix of bits, a rarer one in lists.
+COMMON = 64
 
-_SETS = pa.schema([("at", pa.int64()), ("set", pa.binary())])
+_OFFSETS = np.array([B64 * k % (1 << 64) for k in range(NEAR_PARTS)], np.uint64)
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("file", pa.int64()), ("row", pa.int64()), ("id", pa.int64()), ("wide", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("n", pa.int64())])
+SKETCH = "doc_id long, file long, row long, id long, wide array<long>, keys array<long>, n long"
+_SETS = pa.schema([("id", pa.int64()), ("set", pa.binary())])
 
 
 def near_set(text: bytes) -> np.ndarray:
@@ -254,119 +300,111 @@ def near_set(text: bytes) -> np.ndarray:
 
 def near_sketch(h: np.ndarray) -> tuple[list[int], list[int]]:
     """The wide fingerprint and the keys of a text's set; a text without words has zeros and the key 0."""
-    parts = [majority(h if k == 0 else mix64(h + np.uint64(B64 * k % (1 << 64)))) for k in range(NEAR_PARTS)]
+    total = np.zeros(64 * NEAR_PARTS, np.int64)
+    for at in range(0, len(h), 255):  # sums that fit a byte
+        words = mix64(h[at : at + 255, None] + _OFFSETS[None, :]).astype("<u8")
+        total += np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    parts = np.packbits(2 * total > len(h), bitorder="little").view("<i8").tolist()
     return parts, np.sort(mix64(h + np.uint64(1)))[:NEAR_KEYS].view(np.int64).tolist() or [0]
 
 
-def link_similar(left: tuple, right: tuple, radius: int, same: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two sides (or within one): pairs within the radius whose sets are similar.
-
-    A side is (ids, fingerprints as rows of 64-bit words, sets).  Similarities are exact: what a set has in common with
-    each set of the other side is counted by an inverted index of that side.
+class Side:
+    """Sets on one side of an exact comparison.  shared(set) counts what a set has in common with each of them: shingles that
+    many of them have by bit counts of a matrix, all others by an inverted index."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets = sets
+        self.sizes = np.array([len(h) for h in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        self.terms, number, many = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+        common = many > COMMON
+        self.width = 64 * -(-int(common.sum()) // 64)
+        self.place = np.where(common, np.cumsum(common) - 1, -1)
+        at = bounds_of(self.sizes)
+        self.bits = np.stack([self._row(number[a:z]) for a, z in zip(at, at[1:])])
+        rare = ~common[number]
+        order = np.argsort(number[rare], kind="stable")
+        self.holders = owner[rare][order]
+        self.starts = bounds_of(np.where(common, 0, many))
+
+    def _row(self, numbers: np.ndarray) -> np.ndarray:
+        row = np.zeros(self.width, np.uint8)
+        at = self.place[numbers]
+        row[at[at >= 0]] = 1
+        return np.packbits(row, bitorder="little").view(np.uint64)
+
+    def shared(self, h: np.ndarray, among: np.ndarray) -> np.ndarray:
+        """What the set h has in common with each of the sets among."""
+        if not len(self.terms):
+            return np.zeros(len(among), np.int64)
+        at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
+        at = at[self.terms[at] == h]
+        many = self.starts[at + 1] - self.starts[at]
+        place = np.arange(many.sum()) - np.repeat(bounds_of(many)[:-1], many) + np.repeat(self.starts[at], many)
+        out = np.bincount(self.holders[place], minlength=len(self.sets))[among]
+        if self.width:
+            out += np.bitwise_count(self.bits[among] & self._row(at)).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def link_similar(names: np.ndarray, own: list[np.ndarray], other_names: np.ndarray, others: list[np.ndarray], same: bool) -> list[tuple[int, int]]:
+    """A spanning forest of what the links between two sides (or within one) join: pairs of similar sets, compared exactly.
+
+    Rows of one name are joined already and aren't compared.
     """
-    (ids, x, own), (other_ids, y, others) = left, right
-    sizes, other_sizes = np.array([len(h) for h in own], np.int64), np.array([len(h) for h in others], np.int64)
-    terms, number = np.unique(np.concatenate(others), return_inverse=True)
-    holders = np.repeat(np.arange(len(y)), other_sizes)[np.argsort(number, kind="stable")]
-    starts = bounds_of(np.bincount(number, minlength=len(terms)))
-    label = np.arange(len(x))
-    other_label = label if same else np.arange(len(x), len(x) + len(y))
+    side = Side(others)
+    sizes = np.array([len(h) for h in own], np.int64)
+    label, at = np.unique(np.concatenate([names, other_names]), return_inverse=True)
+    root = np.arange(len(label))  # of names that are joined, the least place
+    mine, theirs = at[: len(names)], at[len(names) :]
     part, whole = NEAR_SHARE
     found: list[tuple[int, int]] = []
-    for i in range(len(x)):
-        apart = np.bitwise_count(x[i] ^ y).sum(axis=1, dtype=np.int64)
-        j = np.flatnonzero((apart <= radius) & (other_label != label[i]) & (whole * np.minimum(sizes[i], other_sizes) >= part * np.maximum(sizes[i], other_sizes)))
+    for i in range(len(own)):
+        now = root[mine[i]]
+        j = np.flatnonzero((root[theirs] != now) & (whole * np.minimum(sizes[i], side.sizes) >= part * np.maximum(sizes[i], side.sizes)))
         if not len(j):
             continue
-        shared = np.zeros(len(y), np.int64)
-        if len(terms):
-            at = np.minimum(np.searchsorted(terms, own[i]), len(terms) - 1)
-            at = at[terms[at] == own[i]]
-            many = starts[at + 1] - starts[at]
-            place = np.arange(many.sum()) - np.repeat(bounds_of(many)[:-1], many) + np.repeat(starts[at], many)
-            shared = np.bincount(holders[place], minlength=len(y))
-        j = j[whole * shared[j] >= part * (sizes[i] + other_sizes[j] - shared[j])]
-        # one link to each part that is joined
-        joined, first = np.unique(other_label[j], return_index=True)
-        found += [(int(ids[i]), int(b)) for b in other_ids[j[first]]]
-        merged = np.r_[joined, label[i]]
-        least = merged.min()
-        label[np.isin(label, merged)] = least
-        if not same:
-            other_label[np.isin(other_label, merged)] = least
+        shared = side.shared(own[i], j)
+        j = j[whole * shared >= part * (sizes[i] + side.sizes[j] - shared)]
+        if len(j):
+            joined = np.unique(root[theirs[j]])
+            found += [(int(label[now]), int(label[k])) for k in joined]
+            root[np.isin(root, joined)] = now
     return found
 
 
-def similar_links(rows: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b): edges over ids that connect what chains of links connect; and a table that they are read from.
+def similar_links(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges, as linked() gives them, for rows with a common key and similar sets.
 
-    A link is a pair with a common key, within the radius, and of similar sets.
-    rows: id (long, distinct), print (array of longs), keys (array of longs), n (size of the set), set (binary: sorted
-    unsigned 64-bit hashes).  Keys that the very same ids have are compared once.  What is too large for a side is cut by
-    hash; sides meet in pairs.
+    rows: key, id (long, distinct), n (size of the set), set (binary: sorted unsigned 64-bit hashes).
     """
-    keyed = rows.select("id", "n", F.explode(F.array_distinct("keys")).alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.bit_xor(F.xxhash64("id")).alias("who")).filter("c > 1")
-    cuts = F.ceil(F.greatest(F.col("c") / SIDE_ROWS, F.col("s") / SIDE_HASHES, F.lit(1.0))).cast("int")
-    sizes = written(buckets.groupBy("c", "s", "who").agg(F.min("key").alias("key")).select("key", "s", cuts.alias("cuts")), "buckets")
-    parts = (sizes.agg(F.sum(F.col("s") * F.col("cuts"))).first()[0] or 0) // (2 * SIDE_HASHES) + 2 * rows.sparkSession.sparkContext.defaultParallelism
-    tile = F.pmod(F.xxhash64("id", F.lit(7)), "cuts").cast("int")
-    tiled = keyed.drop("n").join(sizes, "key").withColumn("tile", tile).join(rows.select("id", "print", "set"), "id")
-    met = tiled.select("key", "id", "tile", "print", "set", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"))
-    job = F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other"))
-    work = met.select(job.alias("job"), (F.col("tile") > F.col("other")).cast("int").alias("side"), (F.col("tile") == F.col("other")).alias("same"), "id", "print", "set")
-
-    def in_jobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by job."""
-        last, held = None, []
-
-        def done() -> list[tuple[int, int]]:
-            def side(k: int) -> tuple:
-                mine = [r for r in held if r[0] == k]
-                return np.array([r[2] for r in mine], np.int64), np.array([r[3] for r in mine], np.int64).view(np.uint64), [np.frombuffer(r[4], np.uint64) for r in mine]
-
-            kinds = {r[0] for r in held}
-            if held[0][1]:
-                return link_similar(x := side(0), x, radius, True)
-            return link_similar(side(0), side(1), radius, False) if len(kinds) == 2 else []
+    load = F.lit(1.0 / SIDE_ROWS) + F.col("n") / F.lit(float(SIDE_HASHES))
+    part, whole = NEAR_SHARE
 
-        found: list[tuple[int, int]] = []
-        for b in batches:
-            for at, *row in zip(*(b.column(c).to_pylist() for c in ("job", "side", "same", "id", "print", "set"))):
-                if held and at != last:
-                    found += done()
-                    held = []
-                last = at
-                held.append(row)
-            if len(found) > HELD:
-                yield edge_batch(forest(found))
-                found = []
-        if held:
-            found += done()
-        if found:
-            yield edge_batch(forest(found))
+    def link(x: pa.Table, y: pa.Table, same: bool) -> list[tuple[int, int]]:
+        sets = lambda t: [np.frombuffer(s, np.uint64) for s in t["set"].to_pylist()]
+        own = sets(x)
+        return link_similar(x["name"].to_numpy(), own, y["name"].to_numpy(), own if same else sets(y), same)
 
-    return work.repartition(parts, "job").sortWithinPartitions("job").mapInArrow(in_jobs, "a long, b long"), sizes
+    def reach(x_low: str, x_high: str, y_low: str, y_high: str) -> Column:
+        return (F.col(x_high) * whole >= F.col(y_low) * part) & (F.col(y_high) * whole >= F.col(x_low) * part)
 
+    return linked(rows.select("key", "id", F.col("n").alias("measure"), load.alias("load")), rows.select("id", "set"), link, reach)
 
-def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id) per input row: the smallest doc_id reachable through links.
 
-    Two texts are linked if the Jaccard similarity of their sets of five-word shingles (of all words, where they are
-    fewer) is 0.8 or more, which is computed exactly.  Compared are pairs whose 64-bit fingerprints are within 4 bits
-    (4-word shingles), and those that share a key and whose wide fingerprints are within NEAR_RADIUS bits.
-    Nulls, empty and repeated rows as in simhash_components.
-    """
-    schema = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("narrow", pa.int64()), ("wide", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("n", pa.int64()), ("same", pa.int64())])
+def near_groups(held: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """For docs with places (see placed()): (doc_id, file, row, id) per row, where id stands for a text's set of shingles;
+    (id, root) for each id that is linked to a smaller one; and the tables that these are read from."""
+    bounded_batches(held.sparkSession)
+    source = texts_of(held, key, text, PLACE_FILE, PLACE_ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
             rows = []
-            for x in texts:
+            for x in b.column(1).to_pylist():
                 h = near_set(x)
-                rows.append((fingerprint(x), *near_sketch(h), len(h), signed(xxhash.xxh64_intdigest(h.tobytes()))))
-            yield batch(schema, b.column(0), b.column(2), *(zip(*rows) if rows else [[]] * 5))
+                rows.append((signed(xxhash.xxh64_intdigest(h.tobytes())), *near_sketch(h), len(h)))
+            yield batch(_SKETCH, b.column(0), b.column(2), b.column(3), *(zip(*rows) if rows else [[]] * 4))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -374,29 +412,55 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 part = b.slice(k, 200)
                 yield batch(_SETS, part.column(0), [near_set(x).tobytes() for x in part.column(1).to_pylist()])
 
-    bounded_batches(docs.sparkSession)
-    # at: the text; id: one for each pair of fingerprint and set
-    addressed = texts_of(docs, key, text).withColumn("at", F.xxhash64("text"))
-    both = addressed.mapInArrow(run, "doc_id long, at long, narrow long, wide array<long>, keys array<long>, n long, same long").withColumn("id", F.xxhash64("narrow", "same"))
-    prints = written(both, "prints")
-    least = written(prints.groupBy("id").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("at", "narrow", "wide", "keys", "n"))), "distinct")
-    narrow = least.groupBy(F.col("narrow").alias("print")).agg(F.min("id").alias("id"))
-    to_narrow = least.join(narrow.select(F.col("print").alias("narrow"), F.col("id").alias("a")), "narrow").select("a", F.col("id").alias("b")).filter("a <> b")
-    narrow_rows = narrow.select("id", F.array("print").alias("print"), pigeonhole_keys(narrow.count(), RADIUS).alias("keys"))
-    near, tables = links(narrow_rows, RADIUS)
-    far, more = links(least.select("id", F.col("wide").alias("print"), "keys"), NEAR_RADIUS)
-
-    # what has a partner within a radius is compared exactly
-    ends = lambda edges, kind: edges.select(F.explode(F.array("a", "b")).alias("id"), F.lit(kind).alias("kind"))
-    met = written(ends(near.union(to_narrow), "near").union(ends(far, "far")).groupBy("id").agg(F.max(F.expr("kind = 'near'")).alias("near"), F.max(F.expr("kind = 'far'")).alias("far")), "met")
-    chosen = least.join(met, "id")
-    texts = addressed.select("at", "text").join(chosen.select("at"), "at", "left_semi").dropDuplicates(["at"])
-    compared = written(chosen.join(texts.mapInArrow(sets_of, "at long, set binary"), "at").select("id", "narrow", "wide", "keys", "n", "set", "near", "far"), "sets")
-    by_narrow = compared.filter("near").withColumn("print", F.col("narrow"))
-    by_narrow = by_narrow.select("id", F.array("print").alias("print"), pigeonhole_keys(by_narrow.count(), RADIUS).alias("keys"), "n", "set")
-    near, near_sizes = similar_links(by_narrow, RADIUS)
-    far, far_sizes = similar_links(compared.filter("far").select("id", F.col("wide").alias("print"), "keys", "n", "set"), NEAR_RADIUS)
-    names, found = named(least.select("id", "least"), near.union(far))
-    out = written(prints.select("doc_id", "id").join(names, "id").select("doc_id", "component_id"), "components")
-    discard(prints, least, met, compared, found, near_sizes, far_sizes, *tables, *more)
+    prints = written(source.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, SKETCH), "prints")
+    distinct = written(prints.groupBy("id").agg(F.min(F.struct("file", "row")).alias("at"), *(F.first(c).alias(c) for c in ("wide", "keys", "n"))), "distinct")
+    edges, tables = links(distinct.select("id", F.col("wide").alias("print"), "keys"), NEAR_RADIUS)
+    close = components(edges)
+    # what is in a component of fingerprints is compared exactly, one text for each set; what a join looks up here grows
+    # with the corpus, so it is never broadcast, whatever its size
+    met = written(close.select(F.col("a").alias("id"), F.col("a").alias("key")).union(close.select(F.col("b").alias("id"), F.col("a").alias("key"))).distinct().join(distinct.select("id", "at", "n"), "id").select("key", "id", "n", F.col("at.file").alias("file"), F.col("at.row").alias("row")), "met")
+    moved = source.select(F.col(f"`{PLACE_FILE}`").alias("file"), F.col(f"`{PLACE_ROW}`").alias("row"), "text").join(met.select("file", "row", "id").hint("merge"), ["file", "row"])
+    sets = written(moved.select("id", "text").mapInArrow(sets_of, "id long, set binary"), "sets")
+    similar, more = similar_links(met.join(sets, "id").select("key", "id", "n", "set"))
+    found = components(similar)
+    discard(distinct, close, met, sets, *tables, *more)
+    return prints.select("doc_id", "file", "row", "id"), found.select(F.col("b").alias("id"), F.col("a").alias("root")), [prints, found]
+
+
+def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id) per input row: the smallest doc_id reachable through links.
+
+    Two texts are linked if the Jaccard similarity of their sets of five-word shingles (of all words, where they are
+    fewer) is 0.8 or more, which is computed exactly on 64-bit hashes of shingles.  Compared are texts that chains of
+    wide fingerprints within NEAR_RADIUS bits connect, of which each pair has a key in common.
+    Texts without words are one group.  Nulls, ties and repeated rows as in simhash_components.
+    """
+    held, stored = placed(docs)
+    rows, roots, tables = near_groups(held, key, text)
+    roots = rows.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root"))
+    # stored, so that Spark can split the join for a large component
+    least = written(roots.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    out = written(roots.join(least, "root").select("doc_id", "component_id"), "components")
+    discard(least, *tables, *stored)
     return out
+
+
+def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near copies (see near_components), with all its columns.
+
+    Of a group the row with the smallest id stays; one without an id only where no row of the group has one; of rows
+    that tie the first by place in storage.  Rows are judged one by one: texts that share an id and aren't near copies
+    all stay, repeated rows and texts without words (null, empty, blank) leave one.  An empty table stays empty.
+    Further columns travel as they are, whatever their names.
+    """
+    held, _ = placed(docs)
+    rows, roots, tables = near_groups(held, key, text)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")
+    per_id = rows.groupBy("id").agg(F.min(rank).alias("first"), F.count("*").alias("copies")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    per_id = written(per_id, "firsts")
+    per_root = written(per_id.groupBy("root").agg(F.min("first").alias("stays"), F.sum("copies").alias("rows")).filter("rows > 1").select("root", "stays"), "stays")
+    # stored, so that Spark can split the joins for a large group
+    others = written(per_id.join(per_root, "root").select("id", "stays"), "others")
+    gone = written(rows.join(others, "id").filter(rank != F.col("stays")).select(F.col("file").alias(PLACE_FILE), F.col("row").alias(PLACE_ROW)), "gone")
+    discard(per_id, per_root, others, *tables)
+    return held.join(gone.hint("merge"), [PLACE_FILE, PLACE_ROW], "left_anti").select(columns_of(docs))

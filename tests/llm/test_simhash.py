@@ -145,16 +145,64 @@ def test_near_components_keep_templated_texts(spark, side, monkeypatch):
     assert got == {k: k for k, _ in rows} | {k: k - 1000 for k, _ in copies}
 
 
+@pytest.mark.parametrize("common", [0, 10, 64])
 @pytest.mark.parametrize("share", [0.5, 0.9])
-def test_link_similar_is_exact(share):
+def test_link_similar_is_exact(share, common, monkeypatch):
     rnd = np.random.default_rng(4)
     pool = np.sort(rnd.integers(0, 1 << 63, 40).astype(np.uint64))
     sets = [np.sort(rnd.choice(pool, max(1, int(40 * share) - k % 7), replace=False)) for k in range(50)] + [pool[:0], pool[:0], pool[:4], pool[:5]]
-    ids, prints = np.arange(len(sets)), np.zeros((len(sets), 1), np.uint64)
+    monkeypatch.setattr(S, "COMMON", common)
+    ids = np.arange(len(sets))
     close = lambda a, b: 5 * len(set(a) & set(b)) >= 4 * len(set(a) | set(b))
     want = sorted(forest((i, j) for i in ids.tolist() for j in range(i) if close(sets[i], sets[j])))
-    side = ids, prints, sets
-    assert sorted(forest(S.link_similar(side, side, 0, True))) == want and (50, 51) in want and (52, 53) in want
-    left, right = (ids[::2], prints[::2], sets[::2]), (ids[1::2], prints[1::2], sets[1::2])
+    assert sorted(forest(S.link_similar(ids, sets, ids, sets, True))) == want and (50, 51) in want and (52, 53) in want
     across = sorted(forest((i, j) for i in ids[::2].tolist() for j in ids[1::2].tolist() if close(sets[i], sets[j])))
-    assert sorted(forest(S.link_similar(left, right, 0, False))) == across
+    assert sorted(forest(S.link_similar(ids[::2], sets[::2], ids[1::2], sets[1::2], False))) == across
+    # names that stand for several rows: what they join together
+    names = ids // 3
+    found = S.link_similar(names, sets, names, sets, True)
+    assert len(found) < len(set(names.tolist())) and all(a != b for a, b in found)
+    assert sorted(forest(found)) == sorted(forest((i // 3, j // 3) for i, j in pairs_of(sets, close) if i // 3 != j // 3))
+
+
+def pairs_of(sets, close):
+    return [(i, j) for i in range(len(sets)) for j in range(i) if close(sets[i], sets[j])]
+
+
+def test_large_group_keeps_edges_few(spark, monkeypatch):
+    """One group of 600 copies over many tiles: pairs of tiles that are one component aren't compared, and edges stay below the rows."""
+    monkeypatch.setattr(S, "TILE", 32)
+    rnd = random.Random(7)
+    base = [rnd.getrandbits(64) for _ in range(8)]
+    near = [(k, [S.signed(w ^ (1 << rnd.randrange(64))) for w in base], [1, 2]) for k in range(600)]
+    other = [(1000 + k, [S.signed(rnd.getrandbits(64)) for _ in base], [1, 2 + k]) for k in range(40)]
+    rows = spark.createDataFrame(near + other, "id long, print array<long>, keys array<long>").repartition(6)
+    edges, tables = S.links(rows, 140)
+    found = [(r.a, r.b) for r in edges.collect()]
+    assert sorted(forest(found)) == [(0, k) for k in range(1, 600)]
+    assert len(found) < 2 * 640 and len(tables) > 1
+
+
+@pytest.mark.parametrize("side", [S.SIDE_ROWS, 25])
+def test_near_components_against_brute_force(spark, side, monkeypatch):
+    """Recall over edits of every size: each pair of similarity 0.8 or more is in one group, and no group joins what chains of such pairs don't."""
+    monkeypatch.setattr(S, "SIDE_ROWS", side)
+    monkeypatch.setattr(S, "TILE", side)
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for k in range(60):
+        words = [word() for _ in range(rnd.choice([6, 12, 40, 150, 400]))]
+        rows.append((10 * k, " ".join(words)))
+        for e in range(1, 8):
+            if rnd.random() < 0.7:
+                words = list(words)
+                for _ in range(max(1, len(words) * rnd.randint(1, 6) // 200)):
+                    words[rnd.randrange(len(words))] = word()
+                rows.append((10 * k + e, " ".join(words)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    close = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    pairs = [(i, j) for i in sets for j in sets if i < j and close(sets[i], sets[j])]
+    want = dict((b, a) for a, b in forest(pairs))
+    got = {r.doc_id: r.component_id for r in S.near_components(frame(spark, rows)).collect()}
+    assert len(pairs) > 100 and got == {i: want.get(i, i) for i in sets}
