@@ -7,6 +7,7 @@ and joins the findings back to all paths and versions that have the blob.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, bounded_batches, shared_dir, table, written
+from .common import batch, bounded_batches, columns_of, map_rows, shared_dir, table, written
 
 #: kind, pattern, fewest characters (of group 2 where there is one), in the order that settles ties.
 BASE_RULES = (
@@ -31,24 +32,39 @@ _KEY_BLOCK = (
     rf"(?:(?:{_GAP}*+[A-Za-z0-9+/]{{16,}}+=*+)++(?:{_GAP}++[A-Za-z0-9+/]{{1,15}}+=*+)?+"
     rf"|{_GAP}*+[A-Za-z0-9+/]{{1,15}}+(?:=++|=*+(?=[ \t]*(?:[\r\n]|\\[nr]|\Z))))?+)"
 )
-#: Further kinds; what they find is added to the base spans.
+#: Further kinds; what they find is added to the base spans.  The fourth value must be in a text that has a match.
 MORE_RULES = (
-    ("key_block", _KEY_BLOCK, 1),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 1),
+    ("key_block", _KEY_BLOCK, 1, "-----BEGIN "),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 1, "eyJ"),
+    ("github", r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,})", 1, "gh"),
+    ("gitlab", r"(?<![A-Za-z0-9])glpat-[A-Za-z0-9_-]{20,}", 1, "glpat-"),
+    ("slack", r"(?<![A-Za-z0-9])xox[abeoprs]-[A-Za-z0-9-]{10,}|hooks\.slack\.com/services/[A-Za-z0-9/]{20,}", 1, "xox|hooks.slack"),
+    ("google", r"(?<![A-Za-z0-9])AIza[A-Za-z0-9_-]{35}", 1, "AIza"),
+    ("stripe", r"(?<![A-Za-z0-9])[rs]k_(?:live|test)_[A-Za-z0-9]{16,}", 1, "k_live_|k_test_"),
+    ("npm", r"(?<![A-Za-z0-9])npm_[A-Za-z0-9]{36,}", 1, "npm_"),
+    ("url_login", r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@?#]{1,100}:[^\s/:@?#]{3,100}@(?=[A-Za-z0-9\[])", 1, "://"),
+    ("bearer", r"(?i:(?<![a-z])bearer\x20+)[A-Za-z0-9_~+/.=-]{20,}", 1, "earer |EARER "),
 )
-RULE_VERSION = "base1+more2"
+
+
+def version_of(*rules) -> str:
+    """A name for rules that changes whenever any of them does."""
+    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
+
+
+RULE_VERSION = version_of(BASE_RULES, MORE_RULES)
 
 #: A text without any of these has no match of the rule, which is cheaper to see.
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _SCHEMA = pa.schema([("blob", pa.string()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base", pa.string()), ("spans", pa.string())])
 FINDINGS = "blob string, n_assign long, n_access long, n_hex long, base string, spans string"
 
-_compiled = [(k, re.compile(p), n) for k, p, n in BASE_RULES + MORE_RULES]
-_RANK = {k: i for i, (k, _, _) in enumerate(BASE_RULES + MORE_RULES)}
+_compiled = [(k, re.compile(p), n, "") for k, p, n in BASE_RULES] + [(k, re.compile(p), n, sign) for k, p, n, sign in MORE_RULES]
+_RANK = {k: i for i, (k, *_) in enumerate(_compiled)}
 _N_BASE = len(BASE_RULES)
 
 
-def _matches(kind: str, pattern: re.Pattern, least: int, text: str) -> Iterator[tuple[int, int]]:
+def _matches(kind: str, pattern: re.Pattern, least: int, sign: str, text: str) -> Iterator[tuple[int, int]]:
     if kind == "hex":  # the runs that are long enough are those that a run of least characters begins
         yield from (m.span() for m in _HEX.finditer(text))
     elif kind == "access":
@@ -56,13 +72,13 @@ def _matches(kind: str, pattern: re.Pattern, least: int, text: str) -> Iterator[
             yield from (m.span() for m in pattern.finditer(text) if m.end() - m.start() >= least)
     elif kind == "assign":
         yield from (m.span() for m in pattern.finditer(text) if m.end(2) - m.start(2) >= least)
-    elif ("-----BEGIN " if kind == "key_block" else "eyJ") in text:
+    elif any(x in text for x in sign.split("|")):
         yield from (m.span() for m in pattern.finditer(text))
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, end exclusive, by start and then by the kinds' order."""
-    found = [(kind, a, b) for kind, pattern, least in _compiled for a, b in _matches(kind, pattern, least, text)]
+    found = [(rule[0], a, b) for rule in _compiled for a, b in _matches(*rule, text)]
     return sorted(found, key=lambda x: (x[1], _RANK[x[0]]))
 
 
@@ -95,34 +111,57 @@ def scan_blobs(blobs: DataFrame) -> DataFrame:
     return blobs.mapInArrow(run, FINDINGS)
 
 
-def scan_versions(versions: DataFrame, ledger: str, text: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
-    """Adds blob and the findings' columns to each row of versions (its other columns are paths, commits and the like).
+#: Names of the columns that scan_versions adds: this and those of the findings.
+FOUND = "secrets: "
+
+
+def addressed(versions: DataFrame, text: str) -> DataFrame:
+    return versions.withColumn(FOUND + "blob", F.sha2(F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")), 256))
+
+
+def update_ledger(versions: DataFrame, ledger: str, text: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
+    """Scans the blobs of versions that the ledger lacks for rule_version, appends them, and returns the ledger's rows of that version.
 
-    ledger: a folder in shared storage, which may not exist yet.  Pairs of blob and rule_version that it has
-    aren't scanned again; the rest are scanned once each and appended.  A blob held by a third of all rows
-    is first reduced to one row per task.  A null text is an empty blob.  Repeated rows keep their number.
+    ledger: a folder in shared storage, which may not exist yet.  A blob held by a third of all rows is first reduced to
+    one row per task.  A blob that is in the ledger twice, after two runs at once, counts once.
     """
     spark = versions.sparkSession
     bounded_batches(spark)
-    addressed = versions.withColumn("__content", F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))).withColumn("__blob", F.sha2("__content", 256))
     jpath = spark._jvm.org.apache.hadoop.fs.Path(ledger)
     known = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
-    unseen = addressed.select(F.col("__blob").alias("blob"), F.col("__content").alias("content"))
+    unseen = addressed(versions, text).select(F.col(FOUND + "blob").alias("blob"), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("content"))
     if known:
-        done = spark.read.parquet(ledger).filter(F.col("rules") == rule_version).select("blob")
+        done = spark.read.schema(LEDGER).parquet(ledger).filter(F.col("rules") == rule_version).select("blob")
         unseen = unseen.join(done, "blob", "left_anti")
     found = scan_blobs(unseen.dropDuplicates(["blob"])).withColumn("rules", F.lit(rule_version))
     found.write.mode("append").option("compression", "zstd").parquet(ledger)
+    return spark.read.schema(LEDGER).parquet(ledger).filter(F.col("rules") == rule_version).drop("rules").dropDuplicates(["blob"])
+
+
+LEDGER = FINDINGS + ", rules string"
+
+
+def scan_versions(versions: DataFrame, ledger: str, text: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
+    """Adds the blob and its findings (FOUND and their names) to each row of versions, whose other columns are paths, commits and the like.
+
+    Pairs of blob and rule_version that the ledger has aren't scanned again.  A null text is an empty blob.  Repeated rows
+    keep their number; texts that are equal have equal findings.  An empty table gives an empty result.
+    """
     # stored, so that Spark can split the join for a blob that very many rows have
-    ours = written(spark.read.parquet(ledger).filter(F.col("rules") == rule_version).drop("rules").dropDuplicates(["blob"]), "findings")
-    findings = ours.select(F.col("blob").alias("__blob"), *(F.col(c).alias(f"__{c}") for c in _SCHEMA.names[1:]))
-    joined = addressed.drop("__content").join(findings, "__blob", "left")
-    return joined
+    ours = written(update_ledger(versions, ledger, text, rule_version), "findings")
+    findings = ours.select(*(F.col(c).alias(FOUND + c) for c in _SCHEMA.names))
+    return addressed(versions, text).join(findings, FOUND + "blob", "left")
 
 
 def redact_versions(docs: DataFrame, ledger: str, text: str = "text") -> DataFrame:
-    """docs with marks in place of secrets, by the ledger's findings; texts without any stay as they are."""
-    found = scan_versions(docs, ledger, text).select(*docs.columns, F.col("__spans").alias("__spans"))
+    """docs with marks in place of secrets, by the ledger's findings; texts without any, null and empty ones stay as they are.
+
+    Repeated rows are each redacted, further columns travel as they are, an empty table stays empty.
+    """
+    # only blobs with findings are joined; stored, so that Spark can split the join for a blob that very many rows have; they
+    # grow with the corpus, so they aren't broadcast, whatever their number
+    marks = written(update_ledger(docs, ledger, text).filter("spans <> ''").select(F.col("blob").alias(FOUND + "blob"), F.col("spans").alias(FOUND + "spans")), "marks")
+    found = addressed(docs, text).join(marks.hint("merge"), FOUND + "blob", "left").select(*columns_of(docs), FOUND + "spans")
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,10 +173,12 @@ def redact_versions(docs: DataFrame, ledger: str, text: str = "text") -> DataFra
             columns = [pa.array(texts, b.schema.field(k).type) if k == at else b.column(k) for k in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
 
-    return found.mapInArrow(run, docs.schema)
+    return map_rows(found, run, dropped=1)
 
 
-def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op8_secret_scans(spark: SparkSession, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """ledger: a folder that is kept from run to run, so that later ones scan only what is new; None starts an empty one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scan_versions(docs, shared_dir(spark, "ledger"))
-    return found.select("doc_id", F.col("__n_assign").alias("n_assign"), F.col("__n_access").alias("n_access"), F.col("__n_hex").alias("n_hex"), F.sha2(F.col("__base").cast("binary"), 256).alias("base_sha256"), F.col("__spans").alias("spans"))
+    found = scan_versions(docs, ledger or shared_dir(spark, "ledger"))
+    of = lambda c: F.col(FOUND + c)
+    return found.select("doc_id", *(of(c).alias(c) for c in ("n_assign", "n_access", "n_hex")), F.sha2(of("base").cast("binary"), 256).alias("base_sha256"), of("spans").alias("spans"))

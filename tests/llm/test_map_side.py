@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -127,7 +128,7 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     ledger = f"file://{tmp_path}/ledger"
     rows = [(i, SECRETS[i % 4]) for i in range(12)] + ODD
     first = secrets.scan_versions(frame(spark, rows), ledger)
-    got = {(r.doc_id, r["__spans"].split(",")[0]) for r in first.collect()}
+    got = {(r.doc_id, r[secrets.FOUND + "spans"].split(",")[0]) for r in first.collect()}
     assert got == {(i, secrets.spans_text(secrets.scan(t or "")).split(",")[0]) for i, t in rows}
     assert first.count() == len(rows)
     n = spark.read.parquet(ledger).count()
@@ -146,6 +147,42 @@ def test_op8_digest(spark, tmp_path):
     assert got[2].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_a_kept_ledger_is_not_filled_again(spark, tmp_path):
+    """The query's and the pipeline stage's second run over the same rows scans nothing, a changed rule all."""
+    import corpus_pipeline
+
+    rows = [(i, SECRETS[i % 4]) for i in range(12)] + ODD
+    frame(spark, rows, extra=False).write.parquet(f"{tmp_path}/documents.parquet")
+    ledger = f"file://{tmp_path}/ledger"
+    runs = [secrets.op8_secret_scans(spark, str(tmp_path), ledger).collect()]
+    n = spark.read.parquet(ledger).count()
+    runs.append(secrets.op8_secret_scans(spark, str(tmp_path), ledger).collect())
+    marked = corpus_pipeline.secret_scans(spark, frame(spark, rows), str(tmp_path), ledger)
+    assert sorted(((r.doc_id, r.text) for r in marked.collect()), key=repr) == sorted(((i, t and secrets.redact(t, secrets.scan(t))) for i, t in rows), key=repr)
+    assert sorted(map(repr, runs[0])) == sorted(map(repr, runs[1])) and spark.read.parquet(ledger).count() == n == len({t or "" for _, t in rows})
+    changed = secrets.version_of(secrets.BASE_RULES, (*secrets.MORE_RULES[:-1], ("bearer", "x", 1, "x")))
+    assert changed != secrets.RULE_VERSION == secrets.version_of(secrets.BASE_RULES, secrets.MORE_RULES)
+
+
+@pytest.mark.parametrize(
+    "kind, text, span",
+    [
+        ("github", "key ghp_" + "a1B2" * 9 + ", x", "ghp_" + "a1B2" * 9),
+        ("gitlab", "glpat-" + "a1B2c" * 4, "glpat-" + "a1B2c" * 4),
+        ("slack", "is xoxb-1234567890-abcdef!", "xoxb-1234567890-abcdef"),
+        ("google", "AIza" + "x" * 35 + " ", "AIza" + "x" * 35),
+        ("stripe", "sk_live_" + "4eC39HqLyjWDarjt", "sk_live_4eC39HqLyjWDarjt"),
+        ("npm", "npm_" + "Ab1" * 12, "npm_" + "Ab1" * 12),
+        ("url_login", "at postgres://me:s3cret@db.example/x", "postgres://me:s3cret@"),
+        ("bearer", "Authorization: Bearer abcdefghij.klmnopqrst", "Bearer abcdefghij.klmnopqrst"),
+    ],
+)
+def test_further_rules(kind, text, span):
+    assert [text[a:b] for k, a, b in secrets.scan(text) if k == kind] == [span]
+    plain = "ghostly npm_run https://example.org/a:b@c the bearer of news, xoxo sk_live eyJ AIza glpat-"
+    assert secrets.scan(plain) == []
+
+
 def test_empty_ledger(spark, tmp_path):
     ledger = f"file://{tmp_path}/ledger"
     assert secrets.scan_versions(frame(spark, []), ledger).count() == 0

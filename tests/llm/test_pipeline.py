@@ -70,8 +70,8 @@ def test_near_dedup(stages):
 
 def test_decontamination(stages):
     before, after, _ = stages[1][2]
-    bad = {i for (i, _, _, _, contaminated) in brute([(r.doc_id, r.text) for r in before], [(1, PASSAGE)]) if contaminated}
-    assert bad and by_id(after) == by_id([r for r in before if r.doc_id not in bad])
+    bad = {i for (i, _, n_hit, _, _) in brute([(r.doc_id, r.text) for r in before], [(1, PASSAGE)]) if n_hit}
+    assert len(bad) == 6 and by_id(after) == by_id([r for r in before if r.doc_id not in bad])
 
 
 def test_secrets(stages):
@@ -93,10 +93,13 @@ def test_empty_documents(spark, tmp_path):
     assert C.run(spark, str(tmp_path)).count() == 0
 
 
+def prose(rnd, n):
+    return " ".join("".join(rnd.choice("abcdefghijklmno") for _ in range(6)) for _ in range(n))
+
+
 def test_rows_without_an_id_or_with_one_id(spark, tmp_path):
     rnd = random.Random(4)
-    prose = lambda n: " ".join("".join(rnd.choice("abcdefghijklmno") for _ in range(6)) for _ in range(n))
-    a, b, c, d = (prose(90) for _ in range(4))
+    a, b, c, d = (prose(rnd, 90) for _ in range(4))
     spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     rows = [(None, PASSAGE + " " + a), (None, b), (7, PASSAGE + " " + c), (7, d), (8, None), (None, None)]
     left = C.benchmark_decontamination(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
@@ -105,3 +108,34 @@ def test_rows_without_an_id_or_with_one_id(spark, tmp_path):
     left = C.simhash_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
     assert by_id([r for r in left if r.doc_id]) == sorted([(5, b), (7, c), (7, d)], key=repr)
     assert [r.text in (a, a + " end") for r in left if r.doc_id is None] == [True]
+
+
+def test_near_dedup_chooses_rows_not_ids(spark):
+    rnd = random.Random(5)
+    a, b = prose(rnd, 90), prose(rnd, 90)
+    for rows in ([(1, a), (5, a), (5, b)], [(1, a), (5, b), (5, a)], [(5, b), (5, a), (1, a)]):
+        assert by_id(C.simhash_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "").collect()) == [(1, a), (5, b)]
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    """Columns with the names that stages use inside, dots and quotes in names, very long texts, repeated rows, nulls in all columns."""
+    rnd = random.Random(6)
+    names = ["a.b", "it`s", "__blob", "__content", "__spans", "__row", "__at", "id", "file", "row", "blob", "spans", "place", "_metadata"]
+    long = prose(rnd, 60_000)
+    texts = [(1, long), (2, long + " end"), (3, prose(rnd, 200) + " " + SECRETS[0]), (4, None), (5, ""), (None, prose(rnd, 80)), (7, prose(rnd, 100) + " " + PASSAGE), (8, "x" * 300_000), (9, prose(rnd, 90)), (9, None), (None, None)]
+    texts += [texts[2], texts[8]]
+    quoted = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    docs = spark.createDataFrame([(i, t, *(None if k % 3 else f"v{k}" for k in range(len(names)))) for i, t in texts], f"doc_id long, text string, {quoted}")
+    spark.createDataFrame([(1, PASSAGE), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    ids = []
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        ids.append(sorted(docs.select("doc_id").toPandas()["doc_id"].fillna(-1)))
+    assert ids == [[-1, 1, 2, 3, 3, 7, 9, 9], [-1, 1, 3, 7, 9], [-1, 1, 3, 9], [-1, 1, 3, 9]]
+    assert docs.filter("doc_id = 1").first()["text"] == long
+    assert C.packing(spark, docs, "").filter("start = 0").count() == 4
+    for (name, stage), empty in zip(C.STAGES, [docs.limit(0)] * 5):
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
