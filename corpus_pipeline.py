@@ -6,52 +6,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import shared_dir, table, written
-from tessera.llm.decontaminate import decontaminate
+from tessera.llm.decontaminate import without_hits
 from tessera.llm.packing import pack
 from tessera.llm.quality import keep_good
 from tessera.llm.secrets import redact_versions
-from tessera.llm.simhash import near_components
+from tessera.llm.simhash import near_dedup
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return keep_good(docs)
-
+    """Rows that the quality rules keep.
 
-def by_text(docs: DataFrame) -> DataFrame:
-    """docs with a hash of each row's text, which stands for the row where ids are null or repeated."""
-    return docs.withColumn("__at", F.xxhash64(F.coalesce("text", F.lit(""))))
+    Null and empty texts go, as texts of fewer than 50 words do; repeated rows share one fate; ids aren't looked at.  An
+    empty table stays empty.  Further columns travel as they are.
+    """
+    return keep_good(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; one without an id only where no other is in the group.
+    """One row of each group of near copies, the one with the smallest id; one without an id only where no row of the group has one.
 
-    Each text is compared, whatever its id: texts that share an id and aren't near copies all stay.  Of rows with one id and
-    one text one stays.
+    Each row is judged by its own text, whatever its id: texts that share an id and aren't near copies all stay.  Repeated
+    rows leave one, as do texts without words.  An empty table stays empty; further columns travel as they are.
     """
-    held = by_text(docs).withColumn("__row", F.xxhash64("doc_id", "__at"))
-    groups = near_components(held, "__at").distinct()
-    # of each text the smallest id first, so that no copied text gathers in the join
-    least = held.groupBy("__at").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("least"))
-    first = least.join(groups, F.col("__at") == groups["doc_id"]).groupBy("component_id").agg(F.min("least").alias("least")).select(F.col("least.__row").alias("__row"))
-    return held.join(first, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns)
+    return near_dedup(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated; each row is judged by its own text, also where ids are null or repeated."""
-    held = by_text(docs)
-    found = decontaminate(held, table(spark, sf_dir, "benchmark"), "__at").filter("contaminated").select(F.col("doc_id").alias("__at")).distinct()
-    return held.join(found, "__at", "left_anti").select(docs.columns)
+    """Rows without any hit: a single passage of the benchmark, 13 words or a whole shorter item, is enough to drop a row.
+
+    Each row is judged by its own text, also where ids are null or repeated.  Null and empty texts have no hits and stay;
+    repeated rows share one fate; an empty benchmark drops nothing; an empty table stays empty.
+    """
+    return without_hits(docs, table(spark, sf_dir, "benchmark"))
+
 
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """All rows, with marks in place of secrets; n_chars follows the text.
 
-def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with marks in place of secrets; n_chars follows the text."""
-    marked = redact_versions(docs, shared_dir(spark, "ledger"))
+    ledger: a folder that is kept from run to run, so that later ones scan only what is new; None starts an empty one.
+    Null and empty texts stay as they are; repeated rows are each redacted; an empty table stays empty.
+    """
+    marked = redact_versions(docs, ledger or shared_dir(spark, "ledger"))
     return marked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else marked
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences: a row per piece, with its ids."""
+    """Token sequences: a row per piece, with its ids.
+
+    Null and empty texts are one end id each; repeated rows are packed each; a null id stays null.  An empty table gives
+    no sequence.  Further columns are left behind.
+    """
     return pack(docs)
 
 
