@@ -149,7 +149,7 @@ def combine(spark: SparkSession, inputs: list[Any], target: str, schema: Any = N
         for k, r in enumerate(readers):
             report = InputReport()
             _changes(r.schema.fields, out.fields, "", report)
-            if r.schema == out:
+            if r.schema == out and not r.partitions:
                 for n, path in enumerate(r.files):
                     src = jpath(path)
                     util.copy(src.getFileSystem(hadoop), src, fs, jpath(f"{target}/part-{k:05d}-{n:05d}.parquet"), False, hadoop)

@@ -20,12 +20,13 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import EncodeError
+from ..errors import EncodeError, FormatError
 from ..functions import coerce
 from ..schema import Field, Schema, spark_type
 from .filters import column_of, compile_where, total, where_columns
 
-DELETED, CHANGED, HIT = "__deleted", "__changed", "__hit"
+#: Helper columns, under names that no column has.
+DELETED, CHANGED, HIT, NEW, FILE = "redaction: deleted", "redaction: changed", "redaction: hit", "redaction: new", "redaction: file"
 
 
 @dataclass(frozen=True)
@@ -133,7 +134,7 @@ class Redaction:
     # execution
 
     def marked(self, df: DataFrame, schema: Schema) -> DataFrame:
-        """df with all assignments made and the helper columns __deleted and __changed."""
+        """df with all assignments made and the helper columns DELETED and CHANGED."""
         self.bind(schema)
         meta = {s.name: s.metadata for s in schema.to_spark().fields}
         out = df.withColumns({DELETED: F.lit(False), CHANGED: F.lit(False)})
@@ -158,9 +159,9 @@ class Redaction:
                     differs |= F.isnan(new) & F.isnan(old)
                 top = path.split(".")[0] if path not in schema.names else path
                 # one projection evaluates the new value once; what follows refers to it by name
-                out = out.withColumn("__new", new).withColumn(CHANGED, F.col(CHANGED) | (here & _swap(differs, new, v, f, old)))
-                assigned = F.when(here, F.col("__new")).otherwise(old)
-                out = out.withColumn(top, assigned if top == path else _with_member(F.col(f"`{top}`"), path.split(".")[1:], assigned)).drop("__new")
+                out = out.withColumn(NEW, new).withColumn(CHANGED, F.col(CHANGED) | (here & _swap(differs, new, v, f, old)))
+                assigned = F.when(here, F.col(NEW)).otherwise(old)
+                out = out.withColumn(top, assigned if top == path else _with_member(F.col(f"`{top}`"), path.split(".")[1:], assigned)).drop(NEW)
                 out = out.withMetadata(top, meta[top])
             out = out.drop(HIT)
         return out
@@ -197,13 +198,15 @@ class Redaction:
 
     def counts(self, df: DataFrame, schema: Schema | None = None) -> DataFrame:
         """One row: rows_read, rows_deleted, rows_changed."""
-        return self.marked(df, schema or Schema.from_spark(df.schema)).agg(F.count(F.lit(1)).alias("rows_read"), F.count_if(DELETED).alias("rows_deleted"), F.count_if(F.col(CHANGED) & ~F.col(DELETED)).alias("rows_changed"))
+        return self.marked(df, schema or Schema.from_spark(df.schema)).agg(F.count(F.lit(1)).alias("rows_read"), F.count_if(F.col(DELETED)).alias("rows_deleted"), F.count_if(F.col(CHANGED) & ~F.col(DELETED)).alias("rows_changed"))
 
     def run(self, spark: SparkSession, source: Any, target: str, options: Any = None) -> Report:
         """Redacts the files at source (a path or Reader) into target, one by one, and reports.
 
-        A file that no statement affects is copied as it is.  Counters come along with the write.
+        A file that no statement affects is copied as it is, to the same place below target; rewritten rows keep the folders of
+        their partition columns.  Counters come along with the write, and must add up to the rows of the files.
         """
+        from ..sources.footer import below, opened
         from ..sources.reader import Reader
         from ..sources.writer import like, write_frame
 
@@ -221,35 +224,45 @@ class Redaction:
         files = {"copied": 0, "rewritten": 0}
         try:
             fs.mkdirs(jpath(target))
-            for k, path in enumerate(reader.files):
-                one = Reader(spark, path, schema=reader.schema)
+            expected = 0
+            for path in reader.files:
+                with opened(spark, path) as f:
+                    rows = f.num_rows
+                expected += rows
                 if path not in touched:
-                    src = jpath(path)
-                    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(src.getFileSystem(hadoop), src, fs, jpath(f"{target}/{src.getName()}"), False, hadoop)
+                    src, dst = jpath(path), jpath(f"{target}/{below(path, reader.folder) if reader.folder else jpath(path).getName()}")
+                    fs.mkdirs(dst.getParent())
+                    # refuses to overwrite
+                    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(src.getFileSystem(hadoop), src, fs, dst, False, False, hadoop)
                     files["copied"] += 1
-                    totals[0] += one.num_rows
+                    totals[0] += rows
             rest = [p for p in reader.files if p in touched]
             if rest:
                 seen = Observation()
-                df = Reader(spark, reader.path, schema=reader.schema).source_of(rest)
-                marked = self.marked(df, reader.schema).observe(seen, F.count(F.lit(1)).alias("read"), F.count_if(DELETED).alias("deleted"), F.count_if(F.col(CHANGED) & ~F.col(DELETED)).alias("changed"))
+                df = reader.source_of(rest)
+                marked = self.marked(df, reader.schema).observe(seen, F.count(F.lit(1)).alias("read"), F.count_if(F.col(DELETED)).alias("deleted"), F.count_if(F.col(CHANGED) & ~F.col(DELETED)).alias("changed"))
                 kept = _dropped(marked.filter(~F.col(DELETED)).drop(DELETED, CHANGED), reader.schema, self.drops)
-                write_frame(kept, target, after, options, mode="append", strict=False)
+                write_frame(kept, target, after, options, mode="append", strict=False, partition_by=[f.name for f in reader.partitions if f.name in after.names])
                 files["rewritten"] += len(rest)
                 totals = [totals[0] + seen.get["read"], seen.get["deleted"], seen.get["changed"]]
+            if totals[0] != expected:
+                raise FormatError(f"{reader.path}: {totals[0]} of {expected} rows were read")
         except BaseException:
             fs.delete(jpath(target), True)
             raise
         return Report(*totals, files)
 
     def _touched(self, reader) -> set[str]:
+        """The files, by their whole paths, with a row that a statement matches."""
+        from ..sources.footer import one_slash, uri_of
+
         if self.drops or any(s.where is None for s in self.statements):
             return set(reader.files)
         names = list(dict.fromkeys(n for s in self.statements for n in where_columns(s.where)))
         conditions = reduce(lambda a, b: a | b, (total(compile_where(s.where, reader.schema)) for s in self.statements))
-        paths = reader.source().select(*(F.col(f"`{n}`") for n in names), F.col("_metadata.file_path").alias("__path")).filter(conditions).select("__path").distinct()
-        found = {r[0].split("/")[-1] for r in paths.collect()}
-        return {p for p in reader.files if p.split("/")[-1] in found or p.split("/")[-1].replace(" ", "%20") in found}
+        paths = reader.source().select(*(F.col(f"`{n}`") for n in names), F.col("_metadata.file_path").alias(FILE)).filter(conditions).select(FILE).distinct()
+        found = {one_slash(r[0]) for r in paths.toLocalIterator()}
+        return {p for p in reader.files if uri_of(reader.spark, p) in found}
 
     def affects(self, spark: SparkSession, source: Any) -> bool:
         """Whether the redaction would change the data at source.  Statistics come first, then the condition columns."""
@@ -275,7 +288,7 @@ def _plain(v: Any) -> Any:
 
 def _swap(differs: Column, new: Column, v: Any, f: Field, old: Column) -> Column:
     """The comparison against the already projected new value, so that functions run once."""
-    ref = F.col("__new")
+    ref = F.col(NEW)
     if isinstance(spark_type(f.type), T.MapType):
         return ~F.to_json(ref).eqNullSafe(F.to_json(old))
     out = ~ref.eqNullSafe(old)

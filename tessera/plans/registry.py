@@ -216,6 +216,43 @@ def redact_files(spark, d):
     return Reader(spark, target).read()
 
 
+def _partitioned(spark, d, name="partitioned"):
+    """orders in folders by status and year, whose files have one base name."""
+    path = scratch(spark, name)
+    df = plain(spark, d, "orders").withColumn("year", F.year("o_orderdate")).withColumnRenamed("o_orderstatus", "status")
+    df.coalesce(1).sortWithinPartitions("status", "year", "o_orderkey").write.partitionBy("status", "year").parquet(path)
+    return path
+
+
+_PARTITIONED = "SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, {p} AS o_orderpriority, o_orderstatus AS status, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders"
+
+
+@query(_PARTITIONED.format(p="CASE WHEN o_orderstatus = 'P' THEN '-' ELSE o_orderpriority END") + " WHERE NOT (o_custkey BETWEEN 10 AND 20) AND NOT (o_orderstatus = 'O' AND year(o_orderdate) = 1997)")
+def redact_partitioned(spark, d):
+    """Files of one base name in many folders: untouched ones are copied, the others rewritten, each below its own folder."""
+    source, target = _partitioned(spark, d), scratch(spark, "redacted")
+    Redaction().where(o_custkey=range(10, 21)).delete().where(status="O", year=1997).delete().where(status="P").replace(o_orderpriority="-").run(spark, source, target)
+    return Reader(spark, target).read()
+
+
+@query(_PARTITIONED.format(p="o_orderpriority"))
+def redact_partitioned_copies(spark, d):
+    """A deletion that matches nothing loses nothing."""
+    source, target = _partitioned(spark, d), scratch(spark, "redacted")
+    Redaction().where(o_orderkey=-1).delete().run(spark, source, target)
+    return Reader(spark, target).read()
+
+
+@query("SELECT o_orderkey, o_orderstatus AS status FROM (SELECT *, row_number() OVER (ORDER BY o_orderstatus, year(o_orderdate), o_orderkey) AS n FROM orders) WHERE n > 700 AND n <= 1200")
+def scan_offset_partitioned(spark, d):
+    return Reader(spark, _partitioned(spark, d)).read(columns=["o_orderkey", "status"], start=700, limit=500)
+
+
+@query("SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) BETWEEN 1995 AND 1997")
+def scan_partition_columns(spark, d):
+    return Reader(spark, _partitioned(spark, d)).read(columns=["o_orderkey", "year"], where={"status": "F", "year": between(1995, 1997)})
+
+
 def _hmac_sql(column: str) -> str:
     block = HMAC_KEY.ljust(64, b"\0")
     pad = lambda x: "'" + "".join(f"\\x{b ^ x:02X}" for b in block) + "'::BLOB"

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import datetime
 import decimal
+import re
 from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import SparkSession
 
@@ -36,8 +38,26 @@ class Page:
     stats: Stats | None
 
 
+def uri_of(spark: SparkSession, path: str) -> str:
+    """A path as Spark's _metadata.file_path has it, but for the slashes after file:."""
+    return one_slash(spark._jvm.org.apache.hadoop.fs.Path(path).toUri().toString())
+
+
+def one_slash(uri: str) -> str:
+    return re.sub("^file:/+", "file:/", uri)
+
+
+def folder_of(spark: SparkSession, path: str) -> str | None:
+    """The qualified path if it is a folder."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(jpath) or not fs.getFileStatus(jpath).isDirectory():
+        return None
+    return jpath.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
+
+
 def files_of(spark: SparkSession, path: str) -> list[str]:
-    """The data files at path, a file or folder, sorted by name."""
+    """The data files at path, a file or folder with its subfolders, sorted by their URIs."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(jpath):
@@ -47,11 +67,46 @@ def files_of(spark: SparkSession, path: str) -> list[str]:
     base = jpath.toUri().getPath().rstrip("/") + "/"
     out, walk = [], fs.listFiles(jpath, True)
     while walk.hasNext():
-        p = walk.next().getPath().toString()
-        below = p.split(base, 1)[-1].split("/")
+        p = walk.next().getPath()
+        below = p.toUri().getPath().split(base, 1)[-1].split("/")
         if not any(x.startswith(("_", ".")) for x in below if x):
-            out.append(p)
-    return sorted(out)
+            out.append((one_slash(p.toUri().toString()), p.toString()))
+    return [x for _, x in sorted(out)]
+
+
+def below(path: str, folder: str) -> str:
+    """A file's path relative to a folder above it."""
+    path, folder = one_slash(path), one_slash(folder).rstrip("/") + "/"
+    if not path.startswith(folder):
+        raise ValueError(f"{path} isn't below {folder}")
+    return path[len(folder) :]
+
+
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def partition_values(relative: str) -> dict[str, str | None]:
+    """The name=value parts of a file's path below its folder; values are text (None: null)."""
+    parts = [x.partition("=") for x in relative.split("/")[:-1]]
+    return {unquote(k): None if v == NO_VALUE else unquote(v) for k, eq, v in parts if eq and k}
+
+
+def partitions_of(relative: list[str], names: list[str]) -> list[Field]:
+    """The partition columns of files: none unless all files have the same ones, and none that the files hold themselves.
+
+    A column of integers is int32 or int64, any other a string.
+    """
+    found = [partition_values(r) for r in relative]
+    keys = list(found[0]) if found else []
+    if not keys or any(list(x) != keys for x in found) or set(keys) & set(names):
+        return []
+    out = []
+    for k in keys:
+        values = {x[k] for x in found} - {None}
+        whole = bool(values) and all(re.fullmatch(r"0|-?[1-9][0-9]{0,17}", v) for v in values)
+        kind = "string" if not whole else "int32" if all(abs(int(v)) < 1 << 31 for v in values) else "int64"
+        out.append(Field(k, type_of(kind)))
+    return out
 
 
 def _rethrow(error: Exception, path: str):

@@ -18,9 +18,11 @@ from ..errors import DecryptionError, FormatError, MissingCodecError, TesseraErr
 from ..operators.filters import compile_where
 from ..schema import Field, Schema, spark_type
 from . import pruning
-from .footer import files_of, opened
+from .footer import Stats, below, files_of, folder_of, opened, partition_values, partitions_of, uri_of
 
 BATCH_ROWS = 1024
+#: A row's file and place in it, under names that no column has.
+FILE, ROW = "place: file", "place: row"
 #: Codecs that Spark's reader lacks.
 UNREADABLE = {"LZO": UnsupportedError, "BROTLI": MissingCodecError}
 
@@ -98,22 +100,29 @@ def needs_row_reader(footer) -> bool:
 
 
 class Reader:
-    """A file, or a folder of files with one schema.
+    """A file, or a folder of files with one schema; folders below it named column=value give further columns.
 
     Reader(spark, path).read(columns=[...], where={...}, start=0, limit=None) is a DataFrame; rows(), batches(),
     arrays() and each_batch() bring results to the driver.  start counts rows of the input before the filter,
     limit those after it; both go by file order.
     """
 
-    def __init__(self, spark: SparkSession, path: str, time_zone: Any = None, schema: Schema | None = None):
+    def __init__(self, spark: SparkSession, path: str, time_zone: Any = None, schema: Schema | None = None, folder: str | None = None):
         self.spark, self.path = spark, path
         self.zone = zone_of(time_zone)
         self.files = files_of(spark, path)
         if not self.files:
             raise FormatError(f"{path}: no Parquet file")
+        #: The folder that partition columns start from.
+        self.folder = folder or folder_of(spark, path)
         with opened(spark, self.files[0]) as f:
             stored = f.schema
-            self.schema = schema or declared(f)
+            relative = [below(x, self.folder) for x in self.files] if self.folder else []
+            self.partitions = partitions_of(relative, stored.names)
+            if schema is not None:
+                known = {x.name: x for x in schema.fields}
+                self.partitions = [known.get(x.name, x) for x in self.partitions]
+            self.schema = schema or Schema([*declared(f).fields, *self.partitions])
             self.metadata, self.encrypted = f.metadata, f.encrypted
             self._by_row = needs_row_reader(f)
             chunks = [c for b in f.blocks for c in b.getColumns()]
@@ -148,13 +157,13 @@ class Reader:
         if self._by_row:
             conf.set("spark.sql.parquet.enableVectorizedReader", "false")
         fields = [T.StructField(f.name, physical(f), True) for f in self._stored]
-        raw = self.spark.read.schema(T.StructType(fields)).parquet(*self.files)
-        return raw
+        read = self.spark.read.schema(T.StructType(fields))
+        return (read.option("basePath", self.folder) if self.partitions else read).parquet(*self.files)
 
     def source_of(self, files: list[str]) -> DataFrame:
         """All columns of some of the files."""
-        part = Reader(self.spark, files[0], self.zone, self.schema)
-        part.files = files
+        part = Reader(self.spark, files[0], self.zone, self.schema, self.folder)
+        part.files, part.partitions = files, self.partitions
         return part.read()
 
     def _shaped(self, raw: DataFrame, names: list[str]) -> DataFrame:
@@ -176,34 +185,31 @@ class Reader:
         condition = compile_where(where, self.schema)
         ordered = bool(start) or limit is not None
         if ordered:
-            df = df.withColumn("__file", F.col("_metadata.file_path")).withColumn("__row", F.col("_metadata.row_index"))
+            df = df.withColumn(FILE, F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")).withColumn(ROW, F.col("_metadata.row_index"))
         if start:
             df = df.filter(self._from(start))
+        if limit is not None and condition is None:  # a prefix of the files, whose other rows needn't be read
+            df = df.filter(~self._from(start + limit))
         if condition is not None:
             df = df.filter(condition)
         if limit is not None:
-            df = df.orderBy("__file", "__row").limit(limit)
+            df = df.orderBy(FILE, ROW).limit(limit)
         meta = {s.name: s.metadata for s in self.schema.to_spark().fields}
         if plain:
             return self._shaped(df, names)
         return df.select(*(F.col(f"`{n}`").alias(n, metadata=meta[n]) for n in names))
 
     def _from(self, start: int) -> Column:
-        """Rows at or after a place of the whole input: whole files drop by name, one file by row index."""
-        keep, base = [], 0
+        """Rows at or after a place of the whole input.  Footers are read up to the file that has it, and one comparison of paths tells the rest."""
+        base = 0
         for path in self.files:
             with opened(self.spark, path) as f:
                 rows = f.num_rows
             if base + rows > start:
-                here = F.col("_metadata.file_name") == path.rsplit("/", 1)[-1] if len(self.files) > 1 else F.lit(True)
-                keep.append(here & (F.col("_metadata.row_index") >= start - base) if start > base else here)
+                here = uri_of(self.spark, path)
+                return (F.col(FILE) > here) | ((F.col(FILE) == here) & (F.col(ROW) >= start - base))
             base += rows
-        if not keep:
-            return F.lit(False)
-        out = keep[0]
-        for k in keep[1:]:
-            out = out | k
-        return out
+        return F.lit(False)
 
     # to the driver
 
@@ -216,7 +222,7 @@ class Reader:
         for path in self.files:
             if left == 0:
                 return
-            one = self if len(self.files) == 1 else Reader(self.spark, path, self.zone, self.schema)
+            one = self if len(self.files) == 1 else Reader(self.spark, path, self.zone, self.schema, self.folder)
             rows = one.num_rows
             if start >= rows:
                 start -= rows
@@ -283,12 +289,28 @@ class Reader:
         if start < 0:
             raise ValueError("start can't be negative")
         out, base, group = [], 0, 0
-        for f in self._footers():
-            for p in pruning.scan_plan(f, where, max(0, start - base)):
-                out.append(p | {"row_group": p["row_group"] + group})
-            base, group = base + f.num_rows, group + len(f.blocks)
+        mine = {f.name: f for f in self.partitions}
+        inside = {k: v for k, v in (where or {}).items() if str(k) not in mine}
+        for path in self.files:
+            with opened(self.spark, path) as f:
+                if self._partition_may_match(path, f.num_rows, {k: v for k, v in (where or {}).items() if str(k) in mine}):
+                    for p in pruning.scan_plan(f, inside, max(0, start - base)):
+                        out.append(p | {"row_group": p["row_group"] + group})
+                base, group = base + f.num_rows, group + len(f.blocks)
         return out
 
+    def _partition_may_match(self, path: str, rows: int, where: dict) -> bool:
+        """Whether a file's partition values leave a match possible."""
+        if not where:
+            return True
+        values, types = partition_values(below(path, self.folder)), {f.name: f.type for f in self.partitions}
+        for name, condition in where.items():
+            v = values[str(name)]
+            v = int(v) if v is not None and types[str(name)].kind == "int" else v
+            if not pruning.may_match(condition, Stats(rows, rows if v is None else 0, v, v), types[str(name)]):
+                return False
+        return True
+
     def page_index(self, row_group: int, column: str):
         for f in self._footers():
             if row_group < len(f.blocks):

@@ -159,7 +159,7 @@ def codecs(spark: SparkSession) -> dict[str, bool]:
     return out
 
 
-def write_frame(df: DataFrame, path: str, schema: Schema | None = None, options: Options | None = None, mode: str = "errorifexists", files: int | None = None, strict: bool = True) -> int:
+def write_frame(df: DataFrame, path: str, schema: Schema | None = None, options: Options | None = None, mode: str = "errorifexists", files: int | None = None, strict: bool = True, partition_by: list[str] | None = None) -> int:
     """Writes a DataFrame in the schema's types (by default, its own) and returns the number of rows.
 
     strict: values are converted by the rules for Python values, and nulls in required columns fail the write.  The
@@ -206,7 +206,7 @@ def write_frame(df: DataFrame, path: str, schema: Schema | None = None, options:
     before = conf.get("spark.sql.parquet.outputTimestampType")
     conf.set("spark.sql.parquet.outputTimestampType", timestamp_form(schema))
     try:
-        shaped.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode(mode).options(**options.spark_options(schema, distinct)).parquet(path)
+        shaped.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode(mode).options(**options.spark_options(schema, distinct)).partitionBy(*(partition_by or [])).parquet(path)
     except Exception as e:
         if fresh:
             fs.delete(jpath, True)

@@ -128,3 +128,73 @@ def test_rewritten_files_keep_codec_and_blooms(spark, tmp_path):
     redact(spark, f"{tmp_path}/in", f"{tmp_path}/out", lambda r: r.where(score=1).delete() and None or r.drop("user_id"))
     out = Reader(spark, f"{tmp_path}/out")
     assert out.codec == "zstd" and out.blooms == ["email"]
+
+
+# folders with subfolders
+
+PARTS = [{"id": i, "v": f"v{i % 7}", "p": ("x y", "a%b", None)[i % 3], "q": i % 2} for i in range(600)]
+
+
+@pytest.fixture(scope="module")
+def partitioned(spark, tmp_path_factory):
+    """Partition folders whose files have one base name, as one Spark task writes them."""
+    path = str(tmp_path_factory.mktemp("parts") / "in")
+    spark.createDataFrame([(r["id"], r["v"], r["p"], r["q"]) for r in PARTS], "id long, v string, p string, q int").coalesce(1).write.partitionBy("p", "q").parquet(path)
+    files = Reader(spark, path).files
+    assert len(files) == 6 and len({f.rsplit("/", 1)[1] for f in files}) == 1
+    return path
+
+
+def test_partition_columns(spark, partitioned):
+    r = Reader(spark, partitioned)
+    by_id = lambda rows: sorted(rows, key=lambda x: x["id"])
+    assert r.schema.names == ["id", "v", "p", "q"] and str(r.schema["q"].type) == "int32"
+    assert by_id(r.rows()) == PARTS
+    assert by_id(r.rows(where={"p": [None, "x y"], "q": 1}, columns=["id", "p"])) == [{"id": x["id"], "p": x["p"]} for x in PARTS if x["p"] in (None, "x y") and x["q"] == 1]
+    assert sum(p["rows"] for p in r.scan_plan({"p": "a%b", "q": 0})) == 100 and len(r.scan_plan({"q": 1})) == 3
+    everything = r.rows()
+    for start, limit in ((0, 7), (95, 20), (100, None), (250, 300), (599, 5), (600, 5), (150, 0)):
+        assert r.rows(start=start, limit=limit) == everything[start:][:limit]
+        got = [x.asDict() for x in r.read(start=start, limit=limit).collect()]
+        assert got == everything[start:][:limit] if limit is not None else by_id(got) == by_id(everything[start:])
+    assert [x.asDict() for x in r.read(where={"v": "v3"}, start=200, limit=9).collect()] == [x for x in everything[200:] if x["v"] == "v3"][:9]
+
+
+@pytest.mark.parametrize(
+    "declare, want, files",
+    [
+        (lambda r: r.where(id=-1).delete(), lambda x: x, {"copied": 6, "rewritten": 0}),
+        (lambda r: r.where(id=4).delete(), lambda x: None if x["id"] == 4 else x, {"copied": 5, "rewritten": 1}),
+        (lambda r: r.where(p="a%b").delete(), lambda x: None if x["p"] == "a%b" else x, {"copied": 4, "rewritten": 2}),
+        (lambda r: r.where(p=None, q=1).replace(v="-"), lambda x: x | {"v": "-"} if x["p"] is None and x["q"] else x, {"copied": 5, "rewritten": 1}),
+        (lambda r: r.where(id=5).replace(q=7), lambda x: x | {"q": 7} if x["id"] == 5 else x, {"copied": 5, "rewritten": 1}),
+        (lambda r: r.drop("p"), lambda x: {k: v for k, v in x.items() if k != "p"}, {"copied": 0, "rewritten": 6}),
+    ],
+)
+def test_redaction_keeps_every_row_of_partitioned_folders(spark, partitioned, tmp_path, declare, want, files):
+    report = redact(spark, partitioned, str(tmp_path / "out"), declare)
+    rows = [y for y in map(want, PARTS) if y is not None]
+    assert (report.rows_read, report.rows_deleted, report.files) == (600, 600 - len(rows), files)
+    assert sorted(Reader(spark, str(tmp_path / "out")).rows(), key=lambda x: x["id"]) == rows
+
+
+def test_plain_subfolders_with_one_base_name(spark, tmp_path):
+    for k in range(3):
+        spark.range(100 * k, 100 * k + 100).coalesce(1).write.parquet(str(tmp_path / f"w{k}"))
+        (tmp_path / "in" / f"s{k}").mkdir(parents=True)
+        next((tmp_path / f"w{k}").glob("part-*")).rename(tmp_path / "in" / f"s{k}" / "data.parquet")
+    source = str(tmp_path / "in")
+    assert [r["id"] for r in Reader(spark, source).rows(start=150)] == list(range(150, 300))
+    report = redact(spark, source, str(tmp_path / "out"), lambda r: r.where(id=-1).delete())
+    assert (report.rows_read, report.files["copied"]) == (300, 3)
+    assert [r["id"] for r in Reader(spark, str(tmp_path / "out")).rows()] == list(range(300))
+    report = redact(spark, source, str(tmp_path / "out2"), lambda r: r.where(id=[7, 250]).delete())
+    assert (report.rows_read, report.rows_deleted, report.files) == (300, 2, {"copied": 1, "rewritten": 2})
+    assert sorted(r["id"] for r in Reader(spark, str(tmp_path / "out2")).rows()) == [i for i in range(300) if i not in (7, 250)]
+
+
+def test_columns_named_like_helpers(spark):
+    names = ["__deleted", "__changed", "__hit", "__new", "__file", "__row"]
+    df = spark.createDataFrame([(i, *(names)) for i in range(9)], "id int, " + ", ".join(f"{n} string" for n in names))
+    got = Redaction().where(id=[1, 2]).replace(__new="x", __hit="y").where(id=3).delete().apply(df).collect()
+    assert [(r.id, r["__new"], r["__hit"], r["__deleted"]) for r in got] == [(i, "x" if i in (1, 2) else "__new", "y" if i in (1, 2) else "__hit", "__deleted") for i in range(9) if i != 3]
