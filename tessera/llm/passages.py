@@ -13,6 +13,9 @@ than windows, and equal windows always lie in segments with equal minimizers.  T
   parts one goes on for all.  Surroundings that differ so fall away in a few rows per content, in any number of tasks.
 
 Counts and minima of one minimizer come together per task first; joins on minimizers may be split by Spark.
+
+Minimizers and contents are compared by 64-bit hashes.  Only contents of one minimizer are ever compared, which at
+10**13 segments leaves a chance of about one in 100,000 that any two different ones are taken for equal.
 """
 
 from __future__ import annotations
@@ -253,8 +256,9 @@ def repeated_windows(texts: DataFrame, kind: Kind, ordered: bool, shard: Callabl
 
     judged = contested.join(contents.select("key", "content", F.col("at.ord").alias("first"), "copies"), ["key", "content"]).join(found, ["key", "content"], "left")
     entire = (F.col("ord") > F.col("first")) if ordered else (F.col("copies") > 1)
+    # repeated rows of a text find the same spans, which count once
     spans = whole.select("ord", "sum", "start", "n", F.lit(None).cast("binary").alias("runs")).union(judged.select("ord", "sum", "start", "n", F.when(~entire, F.coalesce("runs", F.lit(b""))).alias("runs")).filter("runs is null or length(runs) > 0"))
-    out = written(spans.groupBy("ord", "sum").agg(F.collect_list(F.struct("start", "n", "runs")).alias("spans")), "spans")
+    out = written(spans.groupBy("ord", "sum").agg(F.collect_set(F.struct("start", "n", "runs")).alias("spans")), "spans")
     discard(shared, contents, bodies, found, *parts)
     return out
 
@@ -309,7 +313,10 @@ def divided(bodies: DataFrame, kind: Kind, ordered: bool) -> tuple[DataFrame, li
         kinds = rows.groupBy("core", "extent").agg(F.min("least").alias("l1"), F.count("*").alias("many"), F.min(F.struct("key", "content", "at", "low")).alias("one"))
         groups = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.min("l1").alias("g1"), F.max("l1").alias("g2"))
         split = F.col("g1") < F.col("g2") if ordered else F.col("kinds") > 1
-        seen = rows.join(kinds.join(groups, "core").withColumn("split", split).filter("many > 1 or split").drop("g1", "g2", "kinds"), ["core", "extent"])
+        # stored, so that Spark can split the join for a hot core
+        judged = written(kinds.join(groups, "core").withColumn("split", split).filter("many > 1 or split").drop("g1", "g2", "kinds"), "kinds")
+        tables.append(judged)
+        seen = rows.join(judged, ["core", "extent"])
         done = seen.filter("many > 1 and least > l1" if ordered else "many > 1").select("key", "content", "low", "high")
         settled = done if settled is None else settled.union(done)
         if width == 1:

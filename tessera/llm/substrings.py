@@ -10,12 +10,14 @@ is marked, and marked windows join to maximal spans, which are removed.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import batch, bounded_batches, discard, table, texts_of, written
 from .passages import Kind, covered, repeated_windows, texts_with_order, with_spans
 
 WINDOW_WORDS, GRAM_WORDS = 50, 16
@@ -129,5 +131,78 @@ def remove_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return with_spans(texts, spans, finish, _OUT, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
+#: Words of a reference shard whose automaton is broadcast (about 1 KB of worker memory each), and shards in one pass.
+SHARD_WORDS, PASS_SHARDS = 50_000, 4
+
+
+def shards_of(reference: DataFrame, text: str, window: int, most: int) -> Iterator[list[list[bytes]]]:
+    """The reference in shards of at most so many words (or one longer text); texts shorter than a window can't match."""
+    shard, n = [], 0
+    for r in texts_of(reference, text, text).select("text").toLocalIterator():
+        words = bytes(r.text).split()
+        if len(words) < window:
+            continue
+        if shard and n + len(words) > most:
+            yield shard
+            shard, n = [], 0
+        shard.append(words)
+        n += len(words)
+    if shard:
+        yield shard
+
+
+def remove_reference(docs: DataFrame, reference: DataFrame, key: str = "doc_id", text: str = "text", reference_text: str = "text", window: int = WINDOW_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and kept; a row per input row: words covered by a window that the reference has go.
+
+    The automata of some shards are broadcast, documents stream through them, and what they mark is kept in shared storage
+    before the next shards' turn; a small reference takes one pass.  Null and empty texts have no words, on either side; an
+    empty reference removes nothing; repeated rows are each judged; other columns are ignored.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    schema = pa.schema([*_OUT, ("marks", pa.binary())])
+
+    def matched(shards: list[list[list[bytes]]], source: DataFrame) -> DataFrame:
+        shared = spark.sparkContext.broadcast(shards)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automata = []
+            for shard in shared.value:
+                number: dict[bytes, int] = {}
+                automaton = Automaton()
+                for words in shard:
+                    automaton.add([number.setdefault(w, len(number)) for w in words], 0)
+                automaton.finish()
+                automata.append((automaton, number))
+            for b in batches:
+                ids, texts, marks = (b.column(c).to_pylist() for c in ("doc_id", "text", "marks"))
+                out = []
+                for raw, held in zip(texts, marks):
+                    words = raw.split()
+                    gone = np.unpackbits(np.frombuffer(held, np.uint8), count=len(words)).astype(bool) if held else np.zeros(len(words), bool)
+                    for automaton, number in automata:
+                        hit = automaton.earlier([number.get(w, -1) for w in words], 1, window)
+                        edge = np.zeros(len(words) + 1, np.int32)
+                        np.add.at(edge, np.flatnonzero(hit), 1)
+                        np.add.at(edge, np.flatnonzero(hit) + window, -1)
+                        gone |= np.cumsum(edge[:-1]) > 0
+                    kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
+                    out.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"), np.packbits(gone).tobytes()))
+                yield pa.RecordBatch.from_arrays([*batch(schema, ids, *(zip(*out) if out else [[]] * 5)).columns, pa.array(texts, pa.binary())], names=[*schema.names, "text"])
+
+        return source.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, marks binary, text binary")
+
+    source, group, last = texts_of(docs, key, text).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("marks", F.lit(None).cast("binary")), [], None
+    for shard in shards_of(reference, reference_text, window, shard_words):
+        if len(group) == PASS_SHARDS:
+            before, last, group = last, written(matched(group, source), "matched"), []
+            source = last.select("doc_id", "text", "marks")
+            if before is not None:
+                discard(before)
+        group.append(shard)
+    last = matched(group, source)
+    return last.select("doc_id", "n_words", "n_removed", "kept_sha256", "kept")
+
+
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_substrings(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")

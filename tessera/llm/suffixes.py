@@ -80,7 +80,8 @@ def suffix_array(raw: bytes, depth: int) -> np.ndarray:
 def common_prefixes(raw: bytes, array: np.ndarray, depth: int) -> np.ndarray:
     """The common prefix of each suffix in the array with the one before it, up to depth bytes.
 
-    Blocks of falling powers of two are compared by 64-bit hashes; a block that agrees moves both suffixes on.
+    Blocks of falling powers of two are compared by 64-bit hashes; a block that agrees moves both suffixes on.  What comes
+    out as a whole window is compared byte for byte afterwards.
     """
     n = len(array)
     levels, step, factor = [], 1, B64
@@ -103,6 +104,14 @@ def common_prefixes(raw: bytes, array: np.ndarray, depth: int) -> np.ndarray:
     return np.r_[0, np.minimum(prefix, depth)]
 
 
+def equal_bytes(raw: bytes, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """Whether the strings of size bytes at a and b are equal, byte for byte."""
+    if not len(a):
+        return np.zeros(0, bool)
+    rows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), size)
+    return np.concatenate([(rows[a[k : k + 4096]] == rows[b[k : k + 4096]]).all(axis=1) for k in range(0, len(a), 4096)])
+
+
 def shard_masks(contents: list[tuple[bytes, int, int]], window: int = WINDOW_BYTES) -> list[np.ndarray]:
     """For each (body, first document, copies) its windows that occur at another place of the shard.
 
@@ -114,6 +123,7 @@ def shard_masks(contents: list[tuple[bytes, int, int]], window: int = WINDOW_BYT
     whole = np.repeat(ends, np.diff(ends, prepend=0))[array] - array >= window
     array = array[whole]
     same = common_prefixes(raw, array, window) >= window if len(array) else np.zeros(0, bool)
+    same[same] = equal_bytes(raw, array[:-1][same[1:]], array[1:][same[1:]], window)
     twice = np.zeros(len(raw), bool)
     twice[array] = same | np.r_[same[1:], False]
     return [twice[end - len(body) : end - window + 1] for (body, _, _), end in zip(contents, ends)]

@@ -87,6 +87,39 @@ def test_bytes_against_brute_force(spark, monkeypatch, seed, window, gram, most,
     assert got == brute_bytes(rows, window)
 
 
+@pytest.mark.parametrize("shard, passes", [(50_000, 4), (60, 2), (60, 1)])
+def test_reference_shards_against_brute_force(spark, monkeypatch, shard, passes):
+    monkeypatch.setattr(substrings, "PASS_SHARDS", passes)
+    rows, reference = corpus(11), [t for _, t in corpus(11)[20:60:3]] + [None, "", "too short"]
+    windows = {tuple(w[k : k + 10]) for w in ((t or "").encode().split() for t in reference) for k in range(len(w) - 9)}
+    want = Counter()
+    for i, t in rows:
+        w, gone = (t or "").encode().split(), set()
+        for k in range(len(w) - 9):
+            if tuple(w[k : k + 10]) in windows:
+                gone |= set(range(k, k + 10))
+        want[i, len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()] += 1
+    df = spark.createDataFrame([(t,) for t in reference], "text string")
+    got = substrings.remove_reference(frame(spark, rows), df, window=10, shard_words=shard).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want and any(r.n_removed for r in got)
+    assert {r.n_removed for r in substrings.remove_reference(frame(spark, rows), df.limit(0)).collect()} == {0}
+
+
+def test_repeated_rows_keep_one_list_of_spans(spark):
+    """Equal rows share the spans of their text, however many they are."""
+    text = " ".join(f"w{k}" for k in range(300))
+    texts = passages.texts_with_order(frame(spark, [(1, text)] * 40 + [(2, text)]), "doc_id", "text")
+    kind = passages.Kind(False, 400, 128)
+    spans = passages.repeated_windows(texts, kind, False, lambda c: suffixes.shard_masks(c, 400)).collect()
+    alone = passages.Segments(kind.hashes(text.encode()), np.array([len(text)]), kind)
+    assert len(spans) == 2 and all(len(r.spans) <= len(alone.start) for r in spans)
+
+
+def test_equal_bytes():
+    raw = b"abcabdabc"
+    assert suffixes.equal_bytes(raw, np.array([0, 0, 3]), np.array([6, 3, 4]), 3).tolist() == [True, False, False]
+
+
 def test_empty(spark):
     assert substrings.remove_substrings(frame(spark, [])).count() == 0
     assert suffixes.remove_repeats(frame(spark, [])).count() == 0
