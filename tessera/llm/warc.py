@@ -2,8 +2,9 @@
 
 Pages become WARC records (gzip members) in archives in shared storage; equal payloads are stored once, by the page
 with the smallest id, and revisited by the others.  Reading an archive back gives its captures, which are sorted
-locally by URL key and timestamp: a run.  Splitters cut each run into slices of key ranges; each range's slices, one
-from every run, are merged by a loser tree.  Ranges follow one another, so the result is globally ordered.
+locally by URL key and timestamp: a run.  Merging has two levels.  A task reads some archives and merges their runs by
+a loser tree into one; splitters cut it into slices of key ranges.  Each range's slices, one from every task, are then
+merged by a loser tree.  Ranges follow one another, so the result is globally ordered.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import batch, bounded_batches, discard, shared_dir, slots, table, w
 
 #: Captures in a key range, at most about; ranges are no fewer than the cluster's slots where that leaves this many.
 RANGE_CAPTURES, LEAST_CAPTURES = 200_000, 500
+#: Archives whose runs one task merges, at most; fewer where that would leave slots idle.
+FAN_IN = 64
 #: Keys that each archive offers as splitters, and those that the driver looks at, at most about.
 RUN_KEYS, SAMPLE_KEYS = 64, 50_000
 GZIP_LEVEL = 1
@@ -188,8 +191,10 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, key: str
     # written, since row numbers hold within one evaluation only
     source = written(pages.select(F.col(f"`{key}`").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html}`").cast("binary"), F.lit(b"")).alias("payload")).withColumn("row", F.monotonically_increasing_id()).withColumn("digest", F.unhex(F.sha1("payload"))), "pages")
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
-    firsts = source.filter(F.length("payload") >= least_bytes).groupBy("digest").agg(F.min(order).alias("first"))
-    joined = source.join(firsts, "digest", "left").select("page_id", "url", "payload", ((F.length("payload") >= least_bytes) & (F.col("first.row") != F.col("row"))).alias("revisits"), F.col("first.page_id").alias("refers_to"))
+    firsts = source.filter(F.length("payload") >= least_bytes).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    # stored, so that Spark can split the join for a payload that very many pages have; a payload that occurs once stays out
+    firsts = written(firsts.filter("n > 1").drop("n"), "firsts")
+    joined = source.join(firsts, "digest", "left").select("page_id", "url", "payload", F.coalesce((F.length("payload") >= least_bytes) & (F.col("first.row") != F.col("row")), F.lit(False)).alias("revisits"), F.col("first.page_id").alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = file_system(folder)
@@ -216,7 +221,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, key: str
             yield batch(schema, [f"{folder}/{name}"], [n], [size], [[dict(zip(_KEY, x)) for x in keys[step // 2 :: step]]])
 
     manifest = written(joined.mapInArrow(run, "archive string, records long, bytes long, keys array<struct<urlkey:string,timestamp:string,page_id:long>>"), "manifest")
-    discard(source)
+    discard(source, firsts)
     return manifest
 
 
@@ -239,25 +244,35 @@ def capture_history(manifest: DataFrame) -> DataFrame:
     sliced = pa.schema([("key_range", pa.int32()), ("run", pa.string()), ("slice", pa.binary())])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The archives of a task, each a sorted run, merged and cut into slices."""
+        held = []
         for b in batches:
             for archive in b.column(0).to_pylist():
                 fs, path = file_system(archive)
                 with fs.open_input_stream(path) as f:
-                    run = sorted(((*capture(parse(raw)), archive, at) for at, raw in members(f)), key=sort_key)
-                at, rows = 0, []
-                for k, cut in enumerate([*cuts.value, None]):
-                    end = len(run) if cut is None else at
-                    while cut is not None and end < len(run) and sort_key(run[end]) < cut:
-                        end += 1
-                    if end > at:
-                        sink = io.BytesIO()
-                        part = batch(_CAPTURES, *zip(*run[at:end]))
-                        with pa.ipc.new_stream(sink, _CAPTURES, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                            w.write_batch(part)
-                        rows.append((k, archive, sink.getvalue()))
-                    at = end
-                if rows:
-                    yield batch(sliced, *zip(*rows))
+                    held.append(sorted(((*capture(parse(raw)), archive, at) for at, raw in members(f)), key=sort_key))
+                if len(held) == FAN_IN:
+                    yield from slices(held)
+                    held = []
+        if held:
+            yield from slices(held)
+
+    def slices(held: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
+        name = held[0][0][-2]
+        part, at, ends = [], 0, [*cuts.value, None]
+        for c in LoserTree([iter(r) for r in held]):
+            while ends[at] is not None and sort_key(c) >= ends[at]:
+                yield from slice_of(at, name, part)
+                part, at = [], at + 1
+            part.append(c)
+        yield from slice_of(at, name, part)
+
+    def slice_of(k: int, name: str, part: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if part:
+            sink = io.BytesIO()
+            with pa.ipc.new_stream(sink, _CAPTURES, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_batch(batch(_CAPTURES, *zip(*part)))
+            yield batch(sliced, [k], [name], [sink.getvalue()])
 
     def merge(group: pa.Table) -> pa.Table:
         group = group.sort_by("run")
@@ -270,7 +285,8 @@ def capture_history(manifest: DataFrame) -> DataFrame:
         columns = list(zip(*merged)) if merged else [[]] * len(_CAPTURES)
         return pa.Table.from_batches([batch(_HISTORY, *columns, [group["key_range"][0].as_py()] * len(merged), range(len(merged)))])
 
-    spread = manifest.select("archive").repartition(max(1, archives), "archive")
+    fan = max(1, min(FAN_IN, archives // (2 * slots(spark))))
+    spread = manifest.select("archive").repartition(max(1, -(-archives // fan)))
     return spread.mapInArrow(runs, "key_range int, run string, slice binary").groupBy("key_range").applyInArrow(merge, HISTORY)
 
 
@@ -286,4 +302,4 @@ def archive_pages(pages: DataFrame, folder: str | None = None, least_bytes: int
 
 
 def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive_pages(table(spark, sf_dir, "pages"))
+    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "timestamp")
