@@ -1,8 +1,9 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-A text is read in windows of bytes; in each, one GRU runs forward and one backward, and every position gets language
-probabilities from both states.  A document's probabilities are the mean over all its positions.  The network is
-trained here, in numpy, by backpropagation through time, on windows of a bounded sample of labelled documents.
+A text is read in overlapping windows of bytes; in each, one GRU runs forward and one backward, and every position gets
+language probabilities from both states, by the window in which it has context on both sides.  A document's
+probabilities are the mean over all its positions.  The network is trained here, in numpy, by backpropagation through
+time, on whole texts of a bounded sample of labelled documents, cut in the same way.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ from pyspark.sql import functions as F
 
 from .common import batch, bounded_batches, crc32_text, table, texts_of
 
-#: Bytes of a window, units of each direction, windows that run at once.
-WINDOW, UNITS, LANES = 128, 8, 2048
-#: The training sample: at most about so many documents in all, and windows of each.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 4_000, 4
+#: Bytes of a window, those at an inner edge that only give context, units of each direction, windows that run at once.
+WINDOW, EDGE, UNITS, LANES = 128, 16, 8, 2048
+STRIDE = WINDOW - 2 * EDGE
+#: The training sample: whole texts of at most about so many documents, each of so many bytes at most.
+SAMPLE_DOCS, SAMPLE_BYTES = 2_000, 1 << 20
 #: Passes over the sample, and the fewest steps that a small sample gets.
-EPOCHS, LEAST_STEPS, BATCH, RATE = 4, 160, 256, 0.02
+EPOCHS, LEAST_STEPS, BATCH, RATE = 2, 160, 256, 0.02
 UNDETERMINED = "und"
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -136,18 +138,19 @@ class BiGRU:
                 grad[name][k][at[order][first]] = np.add.reduceat(values[:, k].reshape(len(at), -1)[order], first, axis=0)
         return loss, grad
 
-    def train(self, windows: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, size: int = BATCH, rate: float = RATE, seed: int = 11) -> list[float]:
-        """Adam over shuffled windows with a falling rate; returns the losses."""
-        x, mask = windows_of(windows)
+    def train(self, texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, size: int = BATCH, rate: float = RATE, seed: int = 11) -> list[float]:
+        """Adam over the shuffled windows of whole texts, with a falling rate; returns the losses."""
+        windows = Windows(texts)
+        count = len(windows.owner)
         rnd, losses, step = np.random.default_rng(seed), [], 0
         m, v = ({k: np.zeros_like(a) for k, a in self.w.items()} for _ in range(2))
-        epochs = max(epochs, -(-LEAST_STEPS // -(-len(windows) // size)))
-        steps = epochs * -(-len(windows) // size)
+        epochs = max(epochs, -(-LEAST_STEPS // -(-count // size)))
+        steps = epochs * -(-count // size)
         for _ in range(epochs):
-            order = rnd.permutation(len(windows))
-            for at in range(0, len(order), size):
+            order = rnd.permutation(count)
+            for at in range(0, count, size):
                 pick = order[at : at + size]
-                loss, grad = self.gradients(x[:, pick], mask[:, pick], labels[pick])
+                loss, grad = self.gradients(windows.bytes_of(pick), windows.mask_of(pick), labels[windows.owner[pick]])
                 losses.append(loss)
                 norm = np.sqrt(sum(float((a * a).sum()) for a in grad.values()))
                 step += 1
@@ -161,26 +164,38 @@ class BiGRU:
 
     def predict(self, texts: list[bytes]) -> np.ndarray:
         """Pooled probabilities (text, language); texts are whole, empty ones get zeros."""
-        counts = np.array([-(-len(x) // WINDOW) for x in texts], np.int64)
+        windows = Windows(texts)
         total = np.zeros((len(texts), len(self.langs)))
-        raw = np.frombuffer(b"".join(x.ljust(int(n) * WINDOW, b"\0") for x, n in zip(texts, counts)), np.uint8).reshape(-1, WINDOW)
-        owner = np.repeat(np.arange(len(texts)), counts)
-        length = np.full(len(owner), WINDOW)
-        ends = np.cumsum(counts)[counts > 0] - 1
-        length[ends] = [(len(x) - 1) % WINDOW + 1 for x in texts if x]
-        for at in range(0, len(raw), LANES):
-            x = np.ascontiguousarray(raw[at : at + LANES].T)
-            p = self.positions(self.run(x)[0])
-            size = length[at : at + LANES]
-            if (size < WINDOW).any():
-                p *= (np.arange(WINDOW)[:, None] < size[None, :])[:, :, None]
-            np.add.at(total, owner[at : at + LANES], p.sum(axis=0, dtype=np.float64))
+        for at in range(0, len(windows.owner), LANES):
+            pick = np.arange(at, min(at + LANES, len(windows.owner)))
+            p = self.positions(self.run(windows.bytes_of(pick))[0])
+            p *= windows.mask_of(pick)[:, :, None]
+            np.add.at(total, windows.owner[pick], p.sum(axis=0, dtype=np.float64))
         return total / np.maximum(1, np.array([len(x) for x in texts]))[:, None]
 
 
-def windows_of(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    x = np.frombuffer(b"".join(w[:WINDOW].ljust(WINDOW, b"\0") for w in windows), np.uint8).reshape(-1, WINDOW).T.copy()
-    return x, (np.arange(WINDOW)[:, None] < np.array([min(len(w), WINDOW) for w in windows])[None, :]).astype(np.float32)
+class Windows:
+    """Overlapping windows of texts: owner is the text of each; a window answers for the positions low to high in it, so
+    that each byte of a text is in exactly one window's share, EDGE bytes or more from an inner edge."""
+
+    def __init__(self, texts: list[bytes]):
+        sizes = np.array([len(x) for x in texts], np.int64)
+        counts = np.where(sizes > 0, 1 + np.maximum(0, -(-(sizes - WINDOW) // STRIDE)), 0)
+        spans = np.where(counts > 0, (counts - 1) * STRIDE + WINDOW, 0)
+        self.raw = np.frombuffer(b"".join(x.ljust(n, b"\0") for x, n in zip(texts, spans.tolist())), np.uint8)
+        self.owner = np.repeat(np.arange(len(texts)), counts)
+        k = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        last = k == counts[self.owner] - 1
+        self.start = (np.cumsum(spans) - spans)[self.owner] + k * STRIDE
+        self.low = np.where(k == 0, 0, EDGE)
+        self.high = np.where(last, sizes[self.owner] - k * STRIDE, WINDOW - EDGE)
+
+    def bytes_of(self, pick: np.ndarray) -> np.ndarray:
+        return self.raw[self.start[pick][None, :] + np.arange(WINDOW)[:, None]]
+
+    def mask_of(self, pick: np.ndarray) -> np.ndarray:
+        at = np.arange(WINDOW)[:, None]
+        return ((at >= self.low[pick]) & (at < self.high[pick])).astype(np.float32)
 
 
 def held_out(key: Column) -> Column:
@@ -188,19 +203,19 @@ def held_out(key: Column) -> Column:
 
 
 def sample(docs: DataFrame, key: str, text: str, lang: str, most: int = SAMPLE_DOCS) -> list[tuple[str, bytes]]:
-    """(language, window) pairs from documents that aren't held out: as many documents of each language, most in all or so."""
+    """(language, whole text) of documents that aren't held out: as many of each language, most in all or so."""
     part = F.coalesce(~held_out(F.col(f"`{key}`")), F.lit(False))
     labelled = docs.filter(part).select(F.col(f"`{key}`").alias("k"), F.col(f"`{lang}`").alias("l"), F.col(f"`{text}`").cast("binary").alias("t")).filter("l is not null")
+    labelled = labelled.filter(f"length(t) between 1 and {SAMPLE_BYTES}")
     counts = {r.l: r.n for r in labelled.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(most).collect()}
     if not counts:
         return []
     share = max(1, most // len(counts))
+    # of each language the documents with the least hashes, about share of them, wherever in the table they are
     rate = F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, min(1.0, share / n))))
-    chosen = labelled.filter(F.col("l").isin(list(counts))).filter(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < rate[F.col("l")] * (1 << 20)).filter("length(t) > 0")
-    starts = [F.lit(1), *(F.lit(1) + F.pmod(F.xxhash64("k", F.lit(i)), F.greatest(F.lit(1), F.length("t") - WINDOW)) for i in range(1, SAMPLE_WINDOWS))]
-    cut = chosen.select("k", "l", F.array(*(F.col("t").substr(s.cast("int"), F.lit(WINDOW)) for s in starts)).alias("w"))
-    rows = sorted(((r.k, r.l, [bytes(x) for x in r.w]) for r in cut.limit(3 * most).collect()), key=lambda x: (x[0], x[1], x[2]))
-    return [(lang, x) for _, lang, w in rows for x in (w if len(w[0]) == WINDOW else w[:1]) if has_letter(x)]
+    chosen = labelled.filter(F.col("l").isin(list(counts))).filter(F.pmod(F.xxhash64("k"), F.lit(1 << 52)) < rate[F.col("l")] * float(1 << 52))
+    rows = sorted(((r.k, r.l, bytes(r.t)) for r in chosen.collect()), key=lambda x: (x[0], x[1], x[2]))
+    return [(lang, x) for _, lang, x in rows if has_letter(x)]
 
 
 def fit(pairs: list[tuple[str, bytes]]) -> BiGRU | None:

@@ -55,11 +55,51 @@ def test_held_out_accuracy_and_odd_rows(spark):
 def test_whole_texts_count():
     """A text is the mean over all its bytes, however they fall into windows and batches."""
     net = L.BiGRU(["a", "b"])
-    long = b"abcdefgh" * 200
-    p = net.predict([long, b"", long[:128], b"xyz"])
-    whole = np.concatenate([net.positions(net.run(np.frombuffer(long[a : a + 128].ljust(128, b"\0"), np.uint8).reshape(-1, 1).copy())[0])[: len(long[a : a + 128]), 0] for a in range(0, len(long), 128)])
-    assert np.allclose(p[0], whole.mean(axis=0), atol=1e-5) and len(whole) == len(long)
-    assert (p[1] == 0).all()
+    rnd = np.random.default_rng(0)
+    sizes = [1, 3, 111, 112, 113, 127, 128, 129, 208, 209, 224, 225, 1600, 0, 5000]
+    texts = [rnd.integers(1, 256, n).astype(np.uint8).tobytes() for n in sizes]
+    p = net.predict(texts)
+    assert (p[13] == 0).all()
+    for text, pooled in zip(texts, p):
+        seen = np.zeros(len(text), int)
+        total = np.zeros(2)
+        for a in range(0, max(1, len(text)), L.STRIDE):
+            if a and a + 2 * L.EDGE >= len(text):
+                break
+            part = text[a : a + 128]
+            low, high = (L.EDGE if a else 0), (len(part) if a + 128 >= len(text) else 128 - L.EDGE)
+            probs = net.positions(net.run(np.frombuffer(part.ljust(128, b"\0"), np.uint8).reshape(-1, 1).copy())[0])[low:high, 0]
+            seen[a + low : a + high] += 1
+            total += probs.sum(axis=0)
+        assert (seen == 1).all()
+        assert np.allclose(pooled, total / max(1, len(text)), atol=1e-4)
+
+
+def test_positions_have_context_on_both_sides():
+    """The states that a position answers from have read EDGE bytes or more on either side of it, unless the text ends."""
+    w = L.Windows([b"x" * 1000, b"y" * 130, b"z"])
+    at = w.start - np.array([0, w.start[w.owner == 1][0], w.start[w.owner == 2][0]])[w.owner]
+    for owner, a, low, high in zip(w.owner, at, w.low, w.high):
+        size = (1000, 130, 1)[owner]
+        assert a == 0 or low >= L.EDGE
+        assert a + high == size or L.WINDOW - high >= L.EDGE
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    """The query's rows, computed again text by text from the same network."""
+    rows = [(i, t, lang) for i, t, lang in corpus(200)] + [(1000 + k, t, "xa") for k, (_, t) in enumerate(ODD)] + [(None, "ba do", "xa"), (7, "ba do ki", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    net = L.fit(L.sample(docs, "doc_id", "text", "lang"))
+    want = []
+    for i, t, _ in rows:
+        raw = (t or "").encode()
+        p = net.predict([raw])[0]
+        letter = any(map(str.isalpha, t or ""))
+        want.append((i, None if i is None else zlib.crc32(str(i).encode()) % 5 == 0, net.langs[int(p.argmax())] if letter else "und", round(float(p.max()), 4) if letter else 0.0))
+    got = [(r.doc_id, r.held_out, r.lang_pred, round(r.score, 4)) for r in L.op4_language_id(spark, str(tmp_path)).collect()]
+    close = lambda a, b: a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-3
+    assert all(close(a, b) for a, b in zip(sorted(got, key=repr), sorted(want, key=repr))) and len(got) == len(want)
 
 
 def test_nothing_to_learn(spark):
