@@ -29,8 +29,9 @@ VOCABULARY, END_ID = "word_bpe_49k.json", 1
 WINDOW_TOKENS, OPEN_WINDOWS = 2048, 64
 #: Leftovers of so many partitions merge in one task.
 MERGED_PARTITIONS = 256
-#: Words that a worker's cache holds before it is emptied (about 150 bytes each).
-CACHE_WORDS = 800_000
+#: Words that a worker's cache holds before it is emptied (about 150 bytes each); longer ones than so many bytes are
+#: encoded for one batch and forgotten.
+CACHE_WORDS, LONGEST_WORD = 800_000, 128
 
 #: Lower-case Latin letters in their composed forms, which normalization leaves alone, and words of these and ASCII.
 _PLAIN = re.compile("[a-zß-öø-ž]+").fullmatch
@@ -100,6 +101,7 @@ class Words(dict):
         if len(self) + len(new) > CACHE_WORDS:
             self.clear()
             new = list(words)
+        self.long = [w for w in new if len(w) > LONGEST_WORD]
         plain, others, pieces = [], [], []
         encode = self.encode
         for w in new:
@@ -125,6 +127,12 @@ class Words(dict):
                 self[w] = np.array(e.ids, "<u4").tobytes()
 
 
+    def forget(self) -> None:
+        """Drops the long words of the last batch."""
+        for w in self.long:
+            del self[w]
+
+
 class Packer:
     """emit(sequence: list of pieces) gets each finished sequence; a piece is (doc_id, start, ids as bytes, doc_tokens)."""
 
@@ -239,6 +247,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
             for doc_id, x in zip(b.column(0).to_pylist(), split):
                 ids = b"".join(map(words.__getitem__, x)) + end
                 packer.add(doc_id, 0, ids, len(ids) // 4)
+            words.forget()
             yield rows.take()
         rows.leave(packer.merge())
         yield rows.take()

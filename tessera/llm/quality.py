@@ -18,10 +18,10 @@ from .common import B64, MIX1, MIX2, batch, bounded_batches, bounds_of, hash_wor
 
 #: (bytes below, lowest ratio, highest ratio) for whole documents; the last holds for all longer ones.
 DOCUMENT_BANDS = ((128, 0.30, 9.9), (256, 0.32, 1.00), (512, 0.30, 0.85), (1024, 0.28, 0.76), (2048, 0.22, 0.72), (4096, 0.20, 0.68), (8192, 0.18, 0.66), (float("inf"), 0.16, 0.65))
-#: The same for chunks; a chunk shorter than the first limit (only the last can be) isn't judged.
+#: The same for chunks of a fixed size; what is left at the end belongs to the last chunk, and a short document is one chunk.
 CHUNK_BYTES = 4096
-CHUNK_BANDS = ((512, 0.0, 9.9), (1024, 0.28, 0.76), (2048, 0.22, 0.72), (float("inf"), 0.16, 0.68))
-#: A document is rejected if more than this share of its judged bytes lies in chunks outside the band.
+CHUNK_BANDS = (*DOCUMENT_BANDS[:6], (float("inf"), 0.16, 0.68))
+#: A document is rejected if more than this share of its bytes lies in chunks outside the band.
 CHUNK_SHARE = 0.5
 LEVEL = 1
 
@@ -39,20 +39,17 @@ def outside(size: int, ratio: float, bands) -> bool:
 
 
 def compression(text: bytes, compress, chunk_bytes: int = CHUNK_BYTES) -> tuple[float, float, bool]:
-    """The document's ratio, the share of its judged bytes in odd chunks, and the verdict (True: keep)."""
+    """The document's ratio, the share of its bytes in odd chunks, and the verdict (True: keep)."""
     if not text:
         return 0.0, 0.0, False
     ratio = len(compress(text)) / len(text)
-    odd = judged = 0
-    if len(text) > chunk_bytes:
-        for at in range(0, len(text), chunk_bytes):
-            piece = text[at : at + chunk_bytes]
-            if len(piece) < CHUNK_BANDS[0][0]:
-                continue
-            judged += len(piece)
-            if outside(len(piece), len(compress(piece)) / len(piece), CHUNK_BANDS):
-                odd += len(piece)
-    share = odd / judged if judged else 0.0
+    cuts = [chunk_bytes * k for k in range(max(1, len(text) // chunk_bytes))] + [len(text)]
+    odd = 0
+    for at, end in zip(cuts, cuts[1:]):
+        one = ratio if len(cuts) == 2 else len(compress(text[at:end])) / (end - at)
+        if outside(end - at, one, CHUNK_BANDS):
+            odd += end - at
+    share = odd / len(text)
     return ratio, share, not outside(len(text), ratio, DOCUMENT_BANDS) and share <= CHUNK_SHARE
 
 

@@ -22,11 +22,11 @@ from .common import batch, bounded_batches, table, texts_of
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT_TOKENS = 1024
-#: The first tier: so many groups at most (about 2 MB), found in so many rows of the input at most.
+#: The first tier: so many groups at most (about 2 MB), found in a sample of about so many rows from the whole table.
 #: It only saves work: any other table gives the same counts.
-FREQUENT_GROUPS, FREQUENT_ROWS = 32_768, 1_000
-#: The second tier: it is emptied when it holds so many groups (about 100 bytes each).
-CACHE_GROUPS = 400_000
+FREQUENT_GROUPS, FREQUENT_ROWS = 32_768, 2_000
+#: The second tier: it is emptied when it holds so many groups; longer ones (in characters) are in neither tier.
+CACHE_GROUPS, LONGEST_GROUP = 400_000, 64
 
 #: White space as Unicode defines it, which the tokenizer's \s means (fixed values).
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -45,14 +45,23 @@ class Counts(dict):
         super().__init__(frequent)
         self.tokenizer, self.frequent = tokenizer, frequent
 
-    def learn(self, groups: set[str]) -> None:
-        """Encodes the groups that are missing, all in one call."""
+    def tokens(self, texts: list[list[str]]) -> list[int]:
+        """Tokens of texts, given as their groups.  Groups that are missing are encoded, all in one call; long ones aren't kept."""
+        groups = set().union(*texts)
         new = [g for g in groups if g not in self]
         if len(self) + len(new) > CACHE_GROUPS + len(self.frequent):
             self.clear()
             self.update(self.frequent)
             new = [g for g in groups if g not in self]
-        self.update(zip(new, (len(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
+        long = [g for g in new if len(g) > LONGEST_GROUP]
+        self.update(zip(new, self.encoded(new)))
+        out = [sum(map(self.__getitem__, x)) for x in texts]
+        for g in long:
+            del self[g]
+        return out
+
+    def encoded(self, groups: list[str]) -> Iterator[int]:
+        return (len(e.ids) for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False))
 
 
 def tokenizer_of(path: str):
@@ -81,11 +90,28 @@ def groups_of(text: str, added) -> list[str]:
 
 
 def frequent_groups(source: DataFrame, path: str, rows: int = FREQUENT_ROWS, most: int = FREQUENT_GROUPS) -> dict[str, int]:
-    """The first tier, from so many rows at most, which come to the driver."""
-    seen: Counter = Counter()
-    for r in source.select("text").take(rows):
-        seen.update(_GROUP.findall(bytes(r.text).decode("utf-8", "replace")))
-    top = sorted(seen, key=lambda g: (-seen[g], g))[:most]
+    """The first tier, from a sample of all partitions.  Tasks count the groups of their sampled rows; only groups that are
+    no longer than LONGEST_GROUP come to the driver, a bounded number from each task."""
+    n = source.count()
+    if not n:
+        return {}
+    schema = pa.schema([("group", pa.string()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                seen.update(g for g in _GROUP.findall(raw.decode("utf-8", "replace")) if len(g) <= LONGEST_GROUP)
+        top = seen.most_common(most)
+        if top:
+            yield batch(schema, *zip(*top))
+
+    total: Counter = Counter()
+    for r in source.select("text").sample(min(1.0, rows / n), seed=5).mapInArrow(run, "group string, n long").toLocalIterator():
+        total[r.group] += r.n
+        if len(total) > 8 * most:
+            total = Counter(dict(total.most_common(4 * most)))
+    top = sorted(total, key=lambda g: (-total[g], g))[:most]
     return dict(zip(top, (len(e.ids) for e in tokenizer_of(path)[0].encode_batch_fast(top, add_special_tokens=False)))) if top else {}
 
 
@@ -109,8 +135,7 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
         for b in batches:
             raw = b.column(1).to_pylist()
             split = [groups_of(x.decode("utf-8", "replace"), added) for x in raw]
-            counts.learn(set().union(*split))
-            tokens = [sum(map(counts.__getitem__, x)) for x in split]
+            tokens = counts.tokens(split)
             yield batch(_SCHEMA, b.column(0), [len(x) for x in raw], tokens, [x > limit for x in tokens])
 
     return source.mapInArrow(run, COLUMNS)

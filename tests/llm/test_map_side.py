@@ -52,6 +52,43 @@ def test_quality_bands():
     assert quality.compression(b"", compress) == (0.0, 0.0, False)
 
 
+def brute_kept(text):
+    """The verdict from the stated bands: of the whole document, and of chunks of 4,096 bytes of which the last takes the rest."""
+    import zstandard
+
+    bands = [(128, 0.30, 9.9), (256, 0.32, 1.00), (512, 0.30, 0.85), (1024, 0.28, 0.76), (2048, 0.22, 0.72), (4096, 0.20, 0.68), (8192, 0.18, 0.66), (1 << 60, 0.16, 0.65)]
+    chunk_bands = bands[:6] + [(1 << 60, 0.16, 0.68)]
+
+    def odd(raw, limits):
+        _, low, high = next(x for x in limits if len(raw) < x[0])
+        return not low <= len(zstandard.ZstdCompressor(level=1).compress(raw)) / len(raw) <= high
+
+    raw = (text or "").encode()
+    if brute_quality(text)[-1] or odd(raw, bands):
+        return False
+    chunks, rest = [], raw
+    while len(rest) >= 8192:
+        chunks.append(rest[:4096])
+        rest = rest[4096:]
+    chunks.append(rest)
+    return 2 * sum(len(c) for c in chunks if odd(c, chunk_bands)) <= len(raw)
+
+
+def test_verdicts_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(8)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefghijklm") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    noise = lambda n: " ".join("".join(chr(rnd.randrange(33, 1000)) for _ in range(9)) for _ in range(n))
+    rows = list(ODD)
+    for k in range(160):
+        parts = [rnd.choice([prose, noise, lambda n: "".join(f"{j % 97} x{j % 89} " for j in range(n)), lambda n: "0" * 6 * n])(rnd.choice([20, 60, 200, 700, 1500])) for _ in range(rnd.randint(1, 3))]
+        rows.append((100 + k, " ".join(parts)))
+    got = {r.doc_id: r.kept for r in quality.quality_rules(frame(spark, rows)).collect()}
+    want = {i: brute_kept(t) for i, t in rows}
+    assert got == want and 20 < sum(want.values()) < 150
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [])
     assert quality.quality_rules(empty).count() == 0
@@ -86,11 +123,24 @@ def test_cache_is_bounded(monkeypatch):
     t, _ = token_counts.tokenizer_of(public_tokenizers.path("byte_bpe_50k.json"))
     c = token_counts.Counts(t, {" the": 1})
     for k in range(10):
-        c.learn({f" word{k}", f" other{k}", " the"})
-        assert len(c) <= 6
+        long = " " + "ab" * 100
+        assert c.tokens([[f" word{k}", " the"], [f" other{k}", long], []]) == [len(t.encode(x).ids) for x in (f" word{k} the", f" other{k}{long}", "")]
+        assert len(c) <= 6 and long not in c
     assert c[" word9"] == len(t.encode(" word9").ids)
 
 
+def test_first_tier_looks_at_the_whole_table(spark):
+    """Frequent groups of the last rows are in the first tier, although the table's head has none of them."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(k, f"head{k % 7} words") for k in range(300)] + [(1000 + k, "tail tail tail") for k in range(300)] + [(2000, "y" * 5000), (2001, None)]
+    source = token_counts.texts_of(frame(spark, rows).repartition(5), "doc_id", "text")
+    t, _ = token_counts.tokenizer_of(path)
+    for size in (100, 10_000):
+        found = token_counts.frequent_groups(source, path, rows=size, most=4)
+        assert found.keys() >= {" tail", "tail", " words"} and all(n == len(t.encode(g).ids) for g, n in found.items())
+    assert token_counts.frequent_groups(source.limit(0), path) == {}
+
+
 # secret scans
 
 

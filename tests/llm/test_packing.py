@@ -98,6 +98,13 @@ def test_packer_is_bounded_and_whole(lengths, opened, window):
         assert n == window or n & (n - 1) == 0
 
 
+def test_long_words_are_not_kept():
+    WORDS.learn({b"short", b"x" * 1000})
+    assert np.frombuffer(WORDS[b"x" * 1000], "<u4").tolist() == T.encode("x" * 1000, add_special_tokens=False).ids
+    WORDS.forget()
+    assert b"short" in WORDS and b"x" * 1000 not in WORDS
+
+
 @settings(max_examples=500, deadline=None)
 @given(st.text(alphabet="aeiouthnsrdlvméèßöžAIOéÀİ''.,!?0192|<>-_[]`{}~", min_size=1, max_size=24))
 def test_plain_words_encode_as_the_library(word):
