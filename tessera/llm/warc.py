@@ -192,9 +192,10 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, key: str
     source = written(pages.select(F.col(f"`{key}`").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html}`").cast("binary"), F.lit(b"")).alias("payload")).withColumn("row", F.monotonically_increasing_id()).withColumn("digest", F.unhex(F.sha1("payload"))), "pages")
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
     firsts = source.filter(F.length("payload") >= least_bytes).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n"))
-    # stored, so that Spark can split the join for a payload that very many pages have; a payload that occurs once stays out
+    # stored, so that Spark can split the join for a payload that very many pages have; a payload that occurs once stays out;
+    # repeated payloads grow with the pages, so they aren't broadcast, whatever their number
     firsts = written(firsts.filter("n > 1").drop("n"), "firsts")
-    joined = source.join(firsts, "digest", "left").select("page_id", "url", "payload", F.coalesce((F.length("payload") >= least_bytes) & (F.col("first.row") != F.col("row")), F.lit(False)).alias("revisits"), F.col("first.page_id").alias("refers_to"))
+    joined = source.join(firsts.hint("merge"), "digest", "left").select("page_id", "url", "payload", F.coalesce((F.length("payload") >= least_bytes) & (F.col("first.row") != F.col("row")), F.lit(False)).alias("revisits"), F.col("first.page_id").alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = file_system(folder)
