@@ -28,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import B64, MIX2, batch, bounded_batches, discard, hash_words, mix64, written
+from .common import B64, MIX2, batch, bounded_batches, discard, hash_words, mix64, slots, written
 
 #: Symbols of a text that are hashed at once.  Longer texts are cut there, which splits a segment, never a window.
 SLICE = 1 << 19
 #: Bytes of content in a shard, about; distinct contents of a minimizer beyond which its windows are hashed.
 SHARD_BYTES, MOST_CONTENTS = 256 << 10, 256
+#: Shards in a task, about.
+TASK_SHARDS = 8
 #: The order of rows without an id: after all others.
 LAST = (1 << 63) - 1
 
@@ -248,7 +250,9 @@ def repeated_windows(texts: DataFrame, kind: Kind, ordered: bool, shard: Callabl
         masks = shard(list(zip(*(x[k].to_pylist() for k in ("body", "least", "copies")))))
         return pa.Table.from_arrays([x["key"].combine_chunks(), x["content"].combine_chunks(), pa.array([runs_of(m) for m in masks], pa.binary())], schema=_FOUND)
 
-    in_shards = bodies.filter("not hot").select("shard", "key", "content", "least", "copies", "body").groupBy("shard").applyInArrow(in_shard, FOUND)
+    # a task has TASK_SHARDS shards or so, however many there are
+    tasks = max(2 * slots(texts.sparkSession), -(-shards // TASK_SHARDS))
+    in_shards = bodies.filter("not hot").select("shard", "key", "content", "least", "copies", "body").repartition(tasks, "shard").groupBy("shard").applyInArrow(in_shard, FOUND)
 
     hot, parts = divided(bodies.filter("hot").select("key", "content", "least", "body").dropDuplicates(["key", "content"]), kind, ordered)
     found = written(in_shards.union(hot), "found")
