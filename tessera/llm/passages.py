@@ -225,7 +225,8 @@ def repeated_windows(texts: DataFrame, kind: Kind, ordered: bool, shard: Callabl
 
     contested = shared.filter("contested").select("key", "content", "ord", "sum", "start", "n")
     contents = written(contested.groupBy("key", "content").agg(F.min(F.struct("ord", "sum", "start", "n")).alias("at"), F.count("*").alias("copies")), "contents")
-    many = contents.groupBy("key").agg(F.count("*").alias("contents")).filter(F.col("contents") > MOST_CONTENTS).select("key", F.lit(True).alias("hot"))
+    # stored, like all that is joined to rows of a hot minimizer, so that Spark can split the join
+    many = written(contents.groupBy("key").agg(F.count("*").alias("contents")).filter(F.col("contents") > MOST_CONTENTS).select("key", F.lit(True).alias("hot")), "many")
     size = contents.agg(F.sum(F.col("at.n") + kind.window)).first()[0] or 0
     shards = max(1, size * (7 if kind.words else 1) // SHARD_BYTES)
     placed = contents.join(many, "key", "left").select("at.*", "key", "content", "copies", F.coalesce("hot", F.lit(False)).alias("hot"), F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
@@ -258,12 +259,13 @@ def repeated_windows(texts: DataFrame, kind: Kind, ordered: bool, shard: Callabl
     found = written(in_shards.union(hot), "found")
     release(texts)
 
-    judged = contested.join(contents.select("key", "content", F.col("at.ord").alias("first"), "copies"), ["key", "content"]).join(found, ["key", "content"], "left")
+    verdicts = written(contents.select("key", "content", F.col("at.ord").alias("first"), "copies").join(found, ["key", "content"], "left"), "verdicts")
+    judged = contested.join(verdicts, ["key", "content"])
     entire = (F.col("ord") > F.col("first")) if ordered else (F.col("copies") > 1)
     # repeated rows of a text find the same spans, which count once
     spans = whole.select("ord", "sum", "start", "n", F.lit(None).cast("binary").alias("runs")).union(judged.select("ord", "sum", "start", "n", F.when(~entire, F.coalesce("runs", F.lit(b""))).alias("runs")).filter("runs is null or length(runs) > 0"))
     out = written(spans.groupBy("ord", "sum").agg(F.collect_set(F.struct("start", "n", "runs")).alias("spans")), "spans")
-    discard(shared, contents, bodies, found, *parts)
+    discard(shared, contents, many, bodies, found, verdicts, *parts)
     return out
 
 
