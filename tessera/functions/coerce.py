@@ -390,13 +390,11 @@ def column(c: Column, t: Type, source: str = "string") -> Column:
 
 
 def half(c: Column) -> Column:
-    """A float column rounded to 16-bit precision, ties to even, by an Arrow UDF."""
-    import numpy as np
-    import pandas as pd
-
-    @F.pandas_udf("float")
-    def rounded(s: pd.Series) -> pd.Series:
-        with np.errstate(over="ignore"):
-            return s.astype("float16").astype("float32")
-
-    return rounded(c)
+    """A float column rounded to 16-bit precision, ties to even, in plain expressions; what is too large becomes infinite."""
+    x = c.cast("double")
+    size = F.abs(x)
+    near = F.floor(F.log2(size)).cast("double")
+    exponent = F.when(F.pow(F.lit(2.0), near) > size, near - 1).when(F.pow(F.lit(2.0), near + 1) <= size, near + 1).otherwise(near)
+    step = F.pow(F.lit(2.0), F.greatest(exponent, F.lit(-14.0)) - 10)
+    rounded = F.signum(x) * F.rint(size / step) * step
+    return F.when(F.isnan(x) | (x == 0), x).when(size >= 65520, F.signum(x) * float("inf")).otherwise(rounded).cast("float")

@@ -21,7 +21,7 @@ from ..schema import Builder, Field, Schema, Type, infer
 INFERENCE_ROWS = 1000
 #: Rows that go to Spark at once from Python.
 CHUNK_ROWS = 50_000
-CODECS = {"none": "uncompressed", "uncompressed": "uncompressed", "snappy": "snappy", "gzip": "gzip", "lz4": "lz4raw", "lz4_raw": "lz4raw", "lz4_hadoop": "lz4", "zstd": "zstd", "brotli": "brotli"}
+CODECS = {"none": "uncompressed", "uncompressed": "uncompressed", "snappy": "snappy", "gzip": "gzip", "lz4": "lz4_raw", "lz4_raw": "lz4_raw", "lz4_hadoop": "lz4", "zstd": "zstd", "brotli": "brotli"}
 #: Levels that a codec takes (fixed values).
 LEVELS = {"zstd": (-131072, 22), "gzip": (0, 9), "brotli": (0, 11)}
 ENCODINGS = {

@@ -107,3 +107,15 @@ def test_hmac(spark):
         df = spark.createDataFrame([("anna@example.com",), ("",), (None,), ("é",)], "v string")
         want = [None if v is None else hmac.new(key, v.encode(), hashlib.sha256).hexdigest() for v in ("anna@example.com", "", None, "é")]
         assert [r[0] for r in df.select(privacy.hmac_sha256(F.col("v"), key)).collect()] == want
+
+
+def test_half_precision_in_expressions(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(0)
+    x = np.concatenate([rnd.normal(0, 10.0 ** rnd.integers(-9, 6, 3000), 3000), 2.0 ** np.arange(-26, 17), 2.0 ** np.arange(-26, 17) * 1.00048828125, [0.0, -0.0, 65504, 65519.996, 65520, -65520, np.inf, -np.inf, np.nan, 1e38]]).astype(np.float32)
+    with np.errstate(over="ignore"):
+        want = x.astype(np.float16).astype(np.float32)
+    got = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "v float").select(C.half(F.col("v"))).collect()]
+    assert [repr(float(np.float32(g))) for g in got] == [repr(float(w)) for w in want]
+    assert spark.range(1).select(C.half(F.lit(None).cast("float"))).first()[0] is None
