@@ -18,6 +18,8 @@ PER_SECOND = {"millis": 10**3, "micros": 10**6, "nanos": 10**9}
 @dataclass
 class InputReport:
     rows: int = 0
+    groups_copied: int = 0
+    groups_rewritten: int = 0
     filled: list[str] = field(default_factory=list)
     widened: list[str] = field(default_factory=list)
     dropped: list[str] = field(default_factory=list)
@@ -153,9 +155,11 @@ def combine(spark: SparkSession, inputs: list[Any], target: str, schema: Any = N
                 for n, path in enumerate(r.files):
                     src = jpath(path)
                     util.copy(src.getFileSystem(hadoop), src, fs, jpath(f"{target}/part-{k:05d}-{n:05d}.parquet"), False, hadoop)
-                report.rows = r.num_rows
+                groups = r.row_groups
+                report.rows, report.groups_copied = sum(groups), len(groups)
             else:
                 own = f"{target}/.input-{k}"
+                report.groups_rewritten = len(r.row_groups)
                 report.rows = write_frame(_union([r.read()], [r.schema], out), own, out, options or like(r, out), strict=False)
                 for n, status in enumerate(sorted((s for s in fs.listStatus(jpath(own)) if s.getPath().getName().startswith("part-")), key=lambda s: s.getPath().getName())):
                     fs.rename(status.getPath(), jpath(f"{target}/part-{k:05d}-{n:05d}.parquet"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import inspect
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
@@ -204,9 +204,10 @@ class Redaction:
         """Redacts the files at source (a path or Reader) into target, one by one, and reports.
 
         A file that no statement affects is copied as it is, to the same place below target; rewritten rows keep the folders of
-        their partition columns.  Counters come along with the write, and must add up to the rows of the files.
+        their partition columns, rewritten files their metadata and what still holds of their sorting columns.  Counters come along with the write, and must add up to the rows of the files.
         """
         from ..sources.footer import below, opened
+        from ..sources.notes import kept_metadata, sorting_of
         from ..sources.reader import Reader
         from ..sources.writer import like, write_frame
 
@@ -237,14 +238,20 @@ class Redaction:
                     files["copied"] += 1
                     totals[0] += rows
             rest = [p for p in reader.files if p in touched]
-            if rest:
+            # rows keep their order within a file, so files with sorting columns are rewritten one by one
+            changed = [*self.drops, *(p for s in self.statements for p in s.values)]
+            sorted_by = {p: self._kept_sorting(sorting_of(spark, p), changed) for p in rest if not reader.encrypted}
+            for part in [[p] for p in rest if sorted_by.get(p)] + [[p for p in rest if not sorted_by.get(p)]]:
+                if not part:
+                    continue
                 seen = Observation()
-                df = reader.source_of(rest)
-                marked = self.marked(df, reader.schema).observe(seen, F.count(F.lit(1)).alias("read"), F.count_if(F.col(DELETED)).alias("deleted"), F.count_if(F.col(CHANGED) & ~F.col(DELETED)).alias("changed"))
+                marked = self.marked(reader.source_of(part), reader.schema).observe(seen, F.count(F.lit(1)).alias("read"), F.count_if(F.col(DELETED)).alias("deleted"), F.count_if(F.col(CHANGED) & ~F.col(DELETED)).alias("changed"))
                 kept = _dropped(marked.filter(~F.col(DELETED)).drop(DELETED, CHANGED), reader.schema, self.drops)
-                write_frame(kept, target, after, options, mode="append", strict=False, partition_by=[f.name for f in reader.partitions if f.name in after.names])
-                files["rewritten"] += len(rest)
-                totals = [totals[0] + seen.get["read"], seen.get["deleted"], seen.get["changed"]]
+                notes = kept_metadata(reader.metadata, after == reader.schema) | (options.metadata or {})
+                own = replace(options, metadata=notes, sorting=options.sorting or sorted_by.get(part[0]))
+                write_frame(kept, target, after, own, mode="append", strict=False, partition_by=[f.name for f in reader.partitions if f.name in after.names])
+                files["rewritten"] += len(part)
+                totals = [a + seen.get[k] for a, k in zip(totals, ("read", "deleted", "changed"))]
             if totals[0] != expected:
                 raise FormatError(f"{reader.path}: {totals[0]} of {expected} rows were read")
         except BaseException:
@@ -252,6 +259,11 @@ class Redaction:
             raise
         return Report(*totals, files)
 
+    def _kept_sorting(self, sorting: list, changed: list[str]) -> list:
+        """Sorting columns up to the first that is changed or dropped."""
+        touched = [any(name == c or name.startswith(c + ".") for c in changed) for name, _, _ in sorting]
+        return sorting[: touched.index(True)] if True in touched else sorting
+
     def _touched(self, reader) -> set[str]:
         """The files, by their whole paths, with a row that a statement matches."""
         from ..sources.footer import one_slash, uri_of
@@ -314,8 +326,6 @@ def _with_member(c: Column, path: list[str], value: Column) -> Column:
 
 def drop_fields(schema: Schema, drops: list[str]) -> Schema:
     """The schema without dropped columns and struct members; it refuses to empty a struct or the table."""
-    from dataclasses import replace
-
     def less(fields: tuple[Field, ...], paths: list[list[str]], at: str) -> tuple[Field, ...]:
         out = []
         for f in fields:

@@ -201,6 +201,59 @@ def inspect_pages(spark, d):
     return p.select((F.col("row_group") * (GROUP_ROWS // PAGE_ROWS) + F.col("page")).cast("long").alias("page"), "rows", "low", "high")
 
 
+@query(f"SELECT o_orderkey // {PAGE_ROWS} AS page, 'data' AS kind, count(*) AS \"values\", 'ok' AS checksum FROM orders GROUP BY 1")
+def inspect_page_headers(spark, d):
+    """Pages by the headers in the file, each with its checksum verified."""
+    p = Inspector(spark, _grouped(spark, d, dictionary=False)).page_headers().filter("column = 'o_orderkey'")
+    return p.select((F.col("row_group") * (GROUP_ROWS // PAGE_ROWS) + F.col("page")).cast("long").alias("page"), "kind", F.col("values").cast("long").alias("values"), "checksum")
+
+
+@query("SELECT * FROM (VALUES ('damaged', 'mismatch', true), ('whole', 'ok', true), ('without', 'absent', true)) t(file, status, found)")
+def inspect_checksum_tally(spark, d):
+    """Pages of a file with checksums, of one without, and of one with a byte changed."""
+    out = []
+    for name, on in (("whole", True), ("without", False), ("damaged", True)):
+        path = _grouped(spark, d, checksums=on)
+        if name == "damaged":
+            file = Reader(spark, path).files[0]
+            raw = bytearray(spark.read.format("binaryFile").load(file).select("content").first()[0])
+            at = Inspector(spark, path).page_headers().filter("kind = 'data'").agg(F.min(F.col("offset") + F.col("header"))).first()[0]
+            raw[at + 1] ^= 0xFF
+            path = scratch(spark, "damaged") + ".parquet"
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
+            stream.write(bytes(raw))
+            stream.close()
+        tally = {r.status: r.pages for r in Inspector(spark, path).checksum_tally().collect()}
+        status = Inspector(spark, path).checksums().first().status
+        out.append((name, status, tally.get(status, 0) == (1 if name == "damaged" else sum(tally.values()))))
+    return _rows(spark, out, "file string, status string, found boolean")
+
+
+@query("SELECT 'owner' AS key, 'us' AS \"value\", count(*) AS files FROM (SELECT DISTINCT o_orderstatus FROM orders) UNION ALL SELECT 'sorted by', 'o_orderkey', count(DISTINCT o_orderstatus) FROM orders")
+def redact_keeps_metadata_and_sorting(spark, d):
+    """Key/value metadata go along, and sorting columns up to the first that is changed."""
+    from ..sources.notes import sorting_of
+
+    source, target = scratch(spark, "noted"), scratch(spark, "noted")
+    df = plain(spark, d, "orders").repartition(1).sortWithinPartitions("o_orderkey", "o_custkey")
+    W.write_frame(df, source, options=W.Options(metadata={"owner": "us", "pandas": "{}"}, sorting=["o_orderkey", "o_custkey"]), partition_by=["o_orderstatus"])
+    Redaction().where(o_orderkey=between(None, 50)).replace(o_custkey=0).drop("o_totalprice").run(spark, source, target)
+    rows = []
+    for f in Reader(spark, target).files:
+        one = Reader(spark, f)
+        rows += [(k, v) for k, v in one.metadata.items() if k in ("owner", "pandas")] + [("sorted by", ",".join(n for n, _, _ in sorting_of(spark, f)))]
+    return _rows(spark, rows, "key string, value string").groupBy("key", "value").agg(F.count("*").alias("files"))
+
+
+@query("SELECT *, 'a, b' AS note FROM nation")
+def sink_metadata(spark, d):
+    path = scratch(spark, "noted")
+    W.write_frame(plain(spark, d, "nation"), path, options=W.Options(metadata={"note": "a, b"}, sorting=[("n_nationkey", False, True)]))
+    r = Reader(spark, path)
+    return r.read().withColumn("note", F.lit(r.metadata["note"]))
+
+
 @query("SELECT c_custkey, c_mktsegment FROM customer UNION ALL SELECT -1, 'after' ")
 def sink_rejects_a_row_and_goes_on(spark, d):
     """A row that doesn't fit raises, names its column, and leaves no trace."""
@@ -287,13 +340,13 @@ def redact_stream(spark, d):
 # combination
 
 
-@query("SELECT 0 AS input, count(*) AS \"rows\", 'size' AS filled, '' AS widened, '' AS dropped FROM customer UNION ALL SELECT 1, count(*), 'name', 'key', '' FROM part")
+@query("SELECT 0 AS input, count(*) AS \"rows\", true AS rewritten, 'size' AS filled, '' AS widened, '' AS dropped FROM customer UNION ALL SELECT 1, count(*), true, 'name', 'key', '' FROM part")
 def combine_report(spark, d):
     a, b, out = scratch(spark, "a"), scratch(spark, "b"), scratch(spark, "out")
     W.write_frame(plain(spark, d, "customer").selectExpr("c_custkey key", "c_name name"), a)
     W.write_frame(plain(spark, d, "part").selectExpr("cast(p_partkey as int) key", "p_size size"), b)
     report = C.combine(spark, [a, b], out, "union")
-    return _rows(spark, [(k, x.rows, ",".join(x.filled), ",".join(x.widened), ",".join(x.dropped)) for k, x in enumerate(report.inputs)], "input int, rows long, filled string, widened string, dropped string")
+    return _rows(spark, [(k, x.rows, x.groups_rewritten > 0, ",".join(x.filled), ",".join(x.widened), ",".join(x.dropped)) for k, x in enumerate(report.inputs)], "input int, rows long, rewritten boolean, filled string, widened string, dropped string")
 
 
 @query("SELECT * FROM nation UNION ALL SELECT * FROM nation")
@@ -505,7 +558,7 @@ def cli_combine(spark, d):
 def cli_inspect(spark, d):
     path = f"{d.rstrip('/')}/nation.parquet"
     found = json.loads(_run(spark, "inspect", path, "--format", "json", "--pages", "--verify-checksums"))
-    formats = ["text"] * ("n_name" in _run(spark, "inspect", path)) + ["html"] * _run(spark, "inspect", path, "--format", "html").startswith("<!DOCTYPE html>") + ["json"] * (found["checksums"][0]["status"] == "ok")
+    formats = ["text"] * ("n_name" in _run(spark, "inspect", path)) + ["html"] * _run(spark, "inspect", path, "--format", "html").startswith("<!DOCTYPE html>") + ["json"] * (found["checksums"][0]["status"] == "absent")
     return _rows(spark, [("nation", found["files"][0]["rows"], " ".join(formats))], "table string, rows long, formats string")
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from typing import Any
 
@@ -17,8 +18,13 @@ from pyspark.sql import functions as F
 
 from ..schema import to_dict
 from .footer import files_of, opened
+from .thrift import Decoder
 
 CHUNKS = "file string, row_group int, column string, physical string, logical string, codec string, encodings array<string>, values long, nulls long, compressed long, uncompressed long, data_offset long, dictionary_offset long, low string, high string, has_index boolean, rows long, created_by string"
+HEADERS = "file string, row_group int, column string, page int, kind string, offset long, header int, compressed int, uncompressed int, values int, encoding string, checksum string"
+#: Names of the format's page types and encodings (fixed values).
+PAGE_KINDS = {0: "data", 1: "index", 2: "dictionary", 3: "data v2"}
+PAGE_ENCODINGS = {0: "PLAIN", 2: "PLAIN_DICTIONARY", 3: "RLE", 4: "BIT_PACKED", 5: "DELTA_BINARY_PACKED", 6: "DELTA_LENGTH_BYTE_ARRAY", 7: "DELTA_BYTE_ARRAY", 8: "RLE_DICTIONARY", 9: "BYTE_STREAM_SPLIT"}
 PAGES = "file string, row_group int, column string, page int, first_row long, rows long, offset long, size long, nulls long, low string, high string"
 
 
@@ -43,7 +49,7 @@ class Inspector:
         """A row for each column chunk."""
         if self._chunks is not None:
             return self._chunks
-        paths = self.spark.createDataFrame([(f,) for f in self.files], "path string").repartition(max(1, min(len(self.files), 4 * self.spark.sparkContext.defaultParallelism)), "path")
+        paths = self._per_file()
         schema = pa.schema([("file", pa.string()), ("row_group", pa.int32()), ("column", pa.string()), ("physical", pa.string()), ("logical", pa.string()), ("codec", pa.string()), ("encodings", pa.list_(pa.string())), ("values", pa.int64()), ("nulls", pa.int64()), ("compressed", pa.int64()), ("uncompressed", pa.int64()), ("data_offset", pa.int64()), ("dictionary_offset", pa.int64()), ("low", pa.string()), ("high", pa.string()), ("has_index", pa.bool_()), ("rows", pa.int64()), ("created_by", pa.string())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,11 +132,22 @@ class Inspector:
                         at = f"{path}: row group {g}, column {column}"
                         if sum(p.rows for p in pages) != block.getRowCount():
                             out.append(f"{at}: pages have {sum(p.rows for p in pages)} of {block.getRowCount()} rows")
+                        out += [f"{at}: page {n} reaches beyond the chunk's bounds" for n, p in enumerate(pages) if self._beyond(p.stats, s)]
                         known = [p.stats for p in pages if p.stats and p.stats.nulls is not None]
                         if s and s.nulls is not None and len(known) == len(pages) and sum(x.nulls for x in known) != s.nulls:
                             out.append(f"{at}: pages have {sum(x.nulls for x in known)} nulls, the chunk {s.nulls}")
         return out
 
+    @staticmethod
+    def _beyond(page, chunk) -> bool:
+        """Whether a page's bounds lie outside its chunk's, where both are known and can be compared.  Bounds that were cut short
+        aren't: a cut one is only below the least, or above the greatest value."""
+        if not page or not chunk:
+            return False
+        short = lambda v: not isinstance(v, (str, bytes)) or len(v) < 16
+        pairs = [(page.low, chunk.low, -1), (page.high, chunk.high, 1)]
+        return any(a is not None and b is not None and short(a) and short(b) and (a < b if side < 0 else a > b) for a, b, side in pairs)
+
     def layout(self) -> DataFrame:
         """Byte ranges of chunks by file, with the gap before each."""
         from pyspark.sql import Window
@@ -139,16 +156,63 @@ class Inspector:
         w = Window.partitionBy("file").orderBy("start")
         return self.chunks().select("file", "row_group", "column", start.alias("start"), (start + F.col("compressed")).alias("end")).withColumn("gap", F.col("start") - F.coalesce(F.lag("end").over(w), F.lit(4)))
 
+    def page_headers(self) -> DataFrame:
+        """A row for each page, by the headers in the files: kind, place, sizes, values, encoding, and whether its checksum is
+        "ok", a "mismatch" or "absent".  A file that can't be walked has one row with the kind "unreadable"."""
+        schema = pa.schema([("file", pa.string()), ("row_group", pa.int32()), ("column", pa.string()), ("page", pa.int32()), ("kind", pa.string()), ("offset", pa.int64()), ("header", pa.int32()), ("compressed", pa.int32()), ("uncompressed", pa.int32()), ("values", pa.int32()), ("encoding", pa.string()), ("checksum", pa.string())])
+
+        def walk(path: str) -> Iterator[tuple]:
+            import pyarrow.fs
+            import pyarrow.parquet as pq
+
+            fs, name = pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+            with fs.open_input_file(name) as f:
+                meta = pq.read_metadata(f)
+                for g in range(meta.num_row_groups):
+                    for k in range(meta.row_group(g).num_columns):
+                        c = meta.row_group(g).column(k)
+                        at = c.data_page_offset if not c.dictionary_page_offset else min(c.data_page_offset, c.dictionary_page_offset)
+                        end, page = at + c.total_compressed_size, 0
+                        while at < end:
+                            f.seek(at)
+                            head = f.read(min(end - at, 64 << 10))
+                            d = Decoder(head)
+                            h = d.record()
+                            f.seek(at + d.at)
+                            body = f.read(h[3][1])
+                            if len(body) < h[3][1] or h[1][1] not in PAGE_KINDS:
+                                raise ValueError("a page ends beyond its file")
+                            crc = "absent" if 4 not in h else "ok" if h[4][1] % (1 << 32) == zlib.crc32(body) else "mismatch"
+                            inner = next((h[n][1] for n in (5, 7, 8) if n in h), {})
+                            encoding = inner.get(4 if 8 in h else 2, (0, None))[1]
+                            yield path, g, c.path_in_schema, page, PAGE_KINDS[h[1][1]], at, d.at, h[3][1], h[2][1], inner.get(1, (0, None))[1], PAGE_ENCODINGS.get(encoding), crc
+                            at, page = at + d.at + h[3][1], page + 1
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for path in b.column(0).to_pylist():
+                    try:
+                        rows = list(walk(path))
+                    except (ValueError, IndexError, OSError, KeyError):
+                        rows = [(path, None, None, None, "unreadable", *[None] * 7)]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+
+        return self._per_file().mapInArrow(run, HEADERS)
+
+    def _per_file(self) -> DataFrame:
+        return self.spark.createDataFrame([(f,) for f in self.files], "path string").repartition(max(1, min(len(self.files), 4 * self.spark.sparkContext.defaultParallelism)), "path")
+
+    def checksum_tally(self) -> DataFrame:
+        """A row for each status: how many pages have it."""
+        return self.page_headers().groupBy(F.coalesce("checksum", "kind").alias("status")).agg(F.count("*").alias("pages"))
+
     def checksums(self) -> DataFrame:
-        """A row for each file: whether all pages decode with their checksums verified."""
-        rows = []
-        for path in self.files:
-            try:
-                self.spark.read.option("parquet.page.verify-checksum.enabled", "true").parquet(path).write.format("noop").mode("overwrite").save()
-                rows.append((path, "ok", None))
-            except Exception as e:  # noqa: BLE001
-                rows.append((path, "mismatch" if "checksum" in str(e).lower() or "crc" in str(e).lower() else "unreadable", str(e).splitlines()[0][:200]))
-        return self.spark.createDataFrame(rows, "file string, status string, detail string")
+        """A row for each file: a mismatch if any page has one, unreadable if its pages can't be walked, absent if none has a checksum, else ok."""
+        bad, gone = F.count_if(F.col("checksum") == "mismatch"), F.count_if(F.col("kind") == "unreadable")
+        status = F.when(gone > 0, "unreadable").when(bad > 0, "mismatch").when(F.count_if(F.col("checksum") == "ok") == 0, "absent").otherwise("ok")
+        detail = F.when(bad > 0, F.concat(bad.cast("string"), F.lit(" of "), F.count("*").cast("string"), F.lit(" pages")))
+        return self.page_headers().groupBy("file").agg(status.alias("status"), detail.alias("detail"))
 
     def arrow_schema(self):
         """The Arrow schema that the first file carries or implies."""

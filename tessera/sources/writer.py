@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from ..errors import EncodeError, MissingCodecError, SchemaMismatch, UnsupportedError
 from ..functions import coerce
 from ..schema import Builder, Field, Schema, Type, infer
+from .footer import files_of
+from .notes import add_notes
 
 INFERENCE_ROWS = 1000
 #: Rows that go to Spark at once from Python.
@@ -46,6 +48,9 @@ class Options:
     encodings: dict[str, str] = field(default_factory=dict)
     bloom_filters: bool | list[str] | dict[str, dict] | None = None
     checksums: bool = True
+    #: Key/value metadata of the footers, and the columns by which rows are sorted: names, or (name, descending, nulls first).
+    metadata: dict[str, str] | None = None
+    sorting: list | None = None
 
     def spark_options(self, schema: Schema, distinct: dict[str, int] | None = None) -> dict[str, str]:
         codec = str(self.compression).lower()
@@ -203,6 +208,8 @@ def write_frame(df: DataFrame, path: str, schema: Schema | None = None, options:
     conf, jpath = spark.conf, spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
     fresh = not fs.exists(jpath)
+    sorting_places(schema, options.sorting, partition_by or [])
+    there = set() if fresh or not (options.metadata or options.sorting) else set(files_of(spark, path))
     before = conf.get("spark.sql.parquet.outputTimestampType")
     conf.set("spark.sql.parquet.outputTimestampType", timestamp_form(schema))
     try:
@@ -217,9 +224,23 @@ def write_frame(df: DataFrame, path: str, schema: Schema | None = None, options:
         raise
     finally:
         conf.set("spark.sql.parquet.outputTimestampType", before)
+    if options.metadata or options.sorting:
+        add_notes(spark, [f for f in files_of(spark, path) if f not in there], options.metadata, sorting_places(schema, options.sorting, partition_by or []))
     return counted.get["rows"]
 
 
+def sorting_places(schema: Schema, sorting: list | None, partition_by: list[str]) -> list[tuple[int, bool, bool]]:
+    """Sorting columns by the places of their leaves in a file."""
+    leaves = [p for p, _ in leaf_paths(schema) if p not in partition_by]
+    out = []
+    for x in sorting or []:
+        name, down, nulls = (x, False, True) if isinstance(x, str) else x
+        if name not in leaves:
+            raise ValueError(f"no column {name!r}")
+        out.append((leaves.index(name), down, nulls))
+    return out
+
+
 def timestamp_form(schema: Schema) -> str:
     """How Spark stores instants, which it decides for all columns alike: INT96 if one asks for it, milliseconds if all do."""
     kinds = {t.kind if t.kind == "int96" else t.unit for _, t in leaf_paths(schema) if t.kind == "int96" or t.kind == "timestamp" and t.utc and t.unit != "nanos"}
