@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import getpass
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -12,7 +14,7 @@ from .errors import TesseraError
 from .functions.privacy import renderable
 from .operators.combine import combine
 from .sources.inspect import Inspector
-from .sources.keys import Key
+from .sources.keys import Encryption, Key
 from .sources.reader import Reader
 from .sources.writer import CODECS, Options
 
@@ -29,6 +31,8 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("cat", help="rows as JSON lines")
     c.add_argument("file")
     c.add_argument("n", nargs="?", type=int)
+    keys = dict(action="append", default=None, metavar="KEY", help="a key of encrypted files: hex digits, hex:..., base64:..., raw:..., env:NAME, or - to be asked")
+    c.add_argument("--key", **keys)
     i = sub.add_parser("inspect", help="what files hold")
     i.add_argument("file")
     i.add_argument("--format", choices=["text", "json", "html"], default="text")
@@ -39,11 +43,29 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("--output", required=True)
     m.add_argument("--schema", choices=["union", "intersect"])
     m.add_argument("--compression", choices=sorted(CODECS), default="snappy")
+    m.add_argument("--key", **keys)
+    m.add_argument("--encrypt-key", metavar="KEY", help="encrypts the output, footer and columns alike")
+    m.add_argument("--plaintext", action="store_true", help="writes encrypted inputs without encryption")
     k = sub.add_parser("key", help="a new key, in hex")
     k.add_argument("--bits", type=int, default=256)
     return p
 
 
+def key_of(text: str, ask=getpass.getpass) -> Key:
+    """A key as it is told on the command line."""
+    if text == "-":
+        text = ask("key: ")
+    if text.startswith("env:"):
+        if text[4:] not in os.environ:
+            raise ValueError(f"no environment variable {text[4:]}")
+        text = os.environ[text[4:]]
+    return Key.parse(text)
+
+
+def keys_of(texts: list[str] | None) -> list[Key] | None:
+    return None if texts is None else [key_of(x) for x in texts]
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None, out=sys.stdout) -> int:
     a = parser().parse_args(args)
     try:
@@ -52,7 +74,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, out=s
             return 0
         spark = spark or session()
         if a.command == "cat":
-            df = Reader(spark, a.file).read(limit=a.n)
+            df = Reader(spark, a.file, keys=keys_of(a.key)).read(limit=a.n)
             shown = df.select(F.to_json(F.struct(*(renderable(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields)), {"ignoreNullFields": "false"}))
             for r in shown.toLocalIterator():
                 print(r[0], file=out)
@@ -62,7 +84,11 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, out=s
         else:
             if a.output in a.inputs:
                 raise ValueError("the output is one of the inputs")
-            r = combine(spark, a.inputs, a.output, a.schema, Options(compression=a.compression))
+            if a.encrypt_key and a.plaintext:
+                raise ValueError("--encrypt-key and --plaintext exclude each other")
+            keys = keys_of(a.key)
+            encryption = Encryption(key_of(a.encrypt_key)) if a.encrypt_key else None
+            r = combine(spark, [Reader(spark, x, keys=keys) for x in a.inputs], a.output, a.schema, Options(compression=a.compression, encryption=encryption, plaintext=a.plaintext))
             print(f"{r.rows} rows", file=out)
     except (TesseraError, ValueError, FileNotFoundError) as e:
         print(f"tessera: {e}", file=sys.stderr)

@@ -130,6 +130,7 @@ def combine(spark: SparkSession, inputs: list[Any], target: str, schema: Any = N
 
     All schemas are checked before anything is written.  Inputs with the output's very schema have their files
     copied byte for byte, with their statistics and bloom filters; others are projected and written in one job each.
+    Inputs that are encrypted alike give an output of the same kind; for others options must say how it is encrypted.
     File names keep the order of the inputs.
     """
     from ..sources.reader import Reader
@@ -141,6 +142,13 @@ def combine(spark: SparkSession, inputs: list[Any], target: str, schema: Any = N
         raise ValueError("row groups keep their boundaries: row_group_bytes and row_group_rows can't be given")
     readers = [x if isinstance(x, Reader) else Reader(spark, x) for x in inputs]
     out = output_schema([r.schema for r in readers], schema)
+    encryptions = [r.secrets.encryption if r.secrets else None for r in readers]
+    if options and (options.encryption or options.plaintext):
+        encryption = options.encryption
+    elif any(e != encryptions[0] for e in encryptions):
+        raise ValueError("the inputs are encrypted differently: give an encryption, or plaintext")
+    else:
+        encryption = encryptions[0] and encryptions[0].only(out.names)
     hadoop, jpath, util = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path, spark._jvm.org.apache.hadoop.fs.FileUtil
     fs = jpath(target).getFileSystem(hadoop)
     if fs.exists(jpath(target)):
@@ -151,7 +159,7 @@ def combine(spark: SparkSession, inputs: list[Any], target: str, schema: Any = N
         for k, r in enumerate(readers):
             report = InputReport()
             _changes(r.schema.fields, out.fields, "", report)
-            if r.schema == out and not r.partitions:
+            if r.schema == out and not r.partitions and encryptions[k] == encryption:
                 for n, path in enumerate(r.files):
                     src = jpath(path)
                     util.copy(src.getFileSystem(hadoop), src, fs, jpath(f"{target}/part-{k:05d}-{n:05d}.parquet"), False, hadoop)
@@ -160,7 +168,7 @@ def combine(spark: SparkSession, inputs: list[Any], target: str, schema: Any = N
             else:
                 own = f"{target}/.input-{k}"
                 report.groups_rewritten = len(r.row_groups)
-                report.rows = write_frame(_union([r.read()], [r.schema], out), own, out, options or like(r, out), strict=False)
+                report.rows = write_frame(_union([r.read()], [r.schema], out), own, out, replace(options or like(r, out), encryption=encryption), strict=False)
                 for n, status in enumerate(sorted((s for s in fs.listStatus(jpath(own)) if s.getPath().getName().startswith("part-")), key=lambda s: s.getPath().getName())):
                     fs.rename(status.getPath(), jpath(f"{target}/part-{k:05d}-{n:05d}.parquet"))
                 fs.delete(jpath(own), True)

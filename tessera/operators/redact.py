@@ -214,20 +214,23 @@ class Redaction:
         reader = source if isinstance(source, Reader) else Reader(spark, source)
         after = self.bind(reader.schema)
         options = options or like(reader, after)
+        if reader.secrets and not options.encryption and not options.plaintext:
+            options = replace(options, encryption=reader.secrets.encryption.only(after.names))
         if options.row_group_bytes or options.row_group_rows:
             raise ValueError("row groups keep their boundaries: row_group_bytes and row_group_rows can't be given")
         hadoop, jpath = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
         fs = jpath(target).getFileSystem(hadoop)
         if fs.exists(jpath(target)):
             raise ValueError(f"{target} exists")
-        # the files that a statement touches are found in one pass over the condition columns
-        touched, totals = self._touched(reader), [0, 0, 0]
+        alike = options.encryption == (reader.secrets.encryption.only(after.names) if reader.secrets else None)
+        # the files that a statement touches, or all where the output is encrypted otherwise
+        touched, totals = self._touched(reader) if alike else set(reader.files), [0, 0, 0]
         files = {"copied": 0, "rewritten": 0}
         try:
             fs.mkdirs(jpath(target))
             expected = 0
             for path in reader.files:
-                with opened(spark, path) as f:
+                with opened(spark, path, reader.secrets) as f:
                     rows = f.num_rows
                 expected += rows
                 if path not in touched:
@@ -247,7 +250,7 @@ class Redaction:
                 seen = Observation()
                 marked = self.marked(reader.source_of(part), reader.schema).observe(seen, F.count(F.lit(1)).alias("read"), F.count_if(F.col(DELETED)).alias("deleted"), F.count_if(F.col(CHANGED) & ~F.col(DELETED)).alias("changed"))
                 kept = _dropped(marked.filter(~F.col(DELETED)).drop(DELETED, CHANGED), reader.schema, self.drops)
-                notes = kept_metadata(reader.metadata, after == reader.schema) | (options.metadata or {})
+                notes = {} if options.encryption else kept_metadata(reader.metadata, after == reader.schema) | (options.metadata or {})
                 own = replace(options, metadata=notes, sorting=options.sorting or sorted_by.get(part[0]))
                 write_frame(kept, target, after, own, mode="append", strict=False, partition_by=[f.name for f in reader.partitions if f.name in after.names])
                 files["rewritten"] += len(part)

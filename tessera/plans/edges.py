@@ -531,6 +531,49 @@ def key_properties(spark, d):
     return _rows(spark, rows, "case string, said string")
 
 
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_custkey < 100 THEN 0.0 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_custkey <> 77")
+def encrypted_redaction(spark, d):
+    """An encrypted input is redacted into files that are encrypted alike."""
+    source, target, footer, price = scratch(spark, "encrypted"), scratch(spark, "encrypted"), K.Key.generate(), K.Key.generate(128)
+    e = K.Encryption(footer, {"o_totalprice": price}, aad_prefix=b"orders")
+    K.write_encrypted(plain(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), source, e)
+    Redaction().where(o_custkey=77).delete().where(o_custkey=between(None, 100, exclusive=True)).replace(o_totalprice=0.0).run(spark, Reader(spark, source, keys=[footer, price]), target)
+    out = Reader(spark, target, keys=[footer, price])
+    if out.secrets.encryption != e:
+        raise AssertionError("encrypted otherwise")
+    return out.read()
+
+
+@query("SELECT * FROM nation UNION ALL SELECT * FROM nation")
+def encrypted_combination(spark, d):
+    """Inputs that are encrypted alike are copied byte for byte."""
+    source, target, key = scratch(spark, "encrypted"), scratch(spark, "encrypted"), K.Key.generate()
+    K.write_encrypted(plain(spark, d, "nation"), source, K.Encryption(key))
+    r = Reader(spark, source, keys=[key])
+    report = C.combine(spark, [r, r], target)
+    if not all(x.groups_copied and not x.groups_rewritten for x in report.inputs):
+        raise AssertionError("rewritten")
+    return Reader(spark, target, keys=[key]).read()
+
+
+_WAYS = ("uniform", "columns", "readable footer", "ctr", "prefix", "prefix left out")
+
+
+@query("SELECT way, count(*) AS n, sum(s_acctbal) AS total FROM supplier, (VALUES " + ", ".join(f"({w!r})" for w in _WAYS) + ") t(way) WHERE s_suppkey >= 20 GROUP BY 1")
+def encrypted_ways(spark, d):
+    """Every way to encrypt, read with a condition that is pushed down to the encrypted files."""
+    footer, one = K.Key.generate(), K.Key.generate()
+    ways = dict(zip(_WAYS, (K.Encryption(footer), K.Encryption(footer, {"s_acctbal": one}), K.Encryption(footer, {"s_acctbal": one}, plaintext_footer=True), K.Encryption(footer, {"s_acctbal": one}, algorithm="AES_GCM_CTR_V1"), K.Encryption(footer, aad_prefix=b"supplier"), K.Encryption(footer, aad_prefix=b"supplier", store_aad_prefix=False))))
+    out = None
+    for way, e in ways.items():
+        path = scratch(spark, "way")
+        K.write_encrypted(plain(spark, d, "supplier"), path, e)
+        df = K.read_encrypted(spark, path, {footer.id: footer, one.id: one}.get, aad_prefix=None if e.store_aad_prefix else e.aad_prefix)
+        found = df.filter("s_suppkey >= 20").agg(F.count("*").alias("n"), F.sum("s_acctbal").alias("total")).select(F.lit(way).alias("way"), "n", "total")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 # the command line
 
 
@@ -547,6 +590,15 @@ def cli_cat(spark, d):
     return _rows(spark, [(r["n_nationkey"], r["n_name"]) for r in rows], "n_nationkey int, n_name string")
 
 
+@query("SELECT n_nationkey, n_name FROM nation")
+def cli_keys(spark, d):
+    """Encrypted by one command and read by another."""
+    out, key = scratch(spark, "combined"), K.Key.generate()
+    _run(spark, "combine", f"{d.rstrip('/')}/nation.parquet", "--output", out, "--encrypt-key", "hex:" + key.hex())
+    rows = [json.loads(x) for x in _run(spark, "cat", out, "--key", key.hex()).splitlines()]
+    return _rows(spark, [(r["n_nationkey"], r["n_name"]) for r in rows], "n_nationkey int, n_name string")
+
+
 @query("SELECT * FROM region UNION ALL SELECT * FROM region")
 def cli_combine(spark, d):
     out, path = scratch(spark, "combined"), f"{d.rstrip('/')}/region.parquet"

@@ -116,14 +116,19 @@ def _rethrow(error: Exception, path: str):
 
 
 class Footer:
-    """An open file's metadata.  Use it as a context manager."""
+    """An open file's metadata.  Use it as a context manager.  secrets: a Described, for an encrypted file."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, secrets: Any = None):
         self.spark, self.path, self.jvm = spark, path, spark._jvm
         try:
             conf = spark._jsc.hadoopConfiguration()
             self.input = self.jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(self.jvm.org.apache.hadoop.fs.Path(path), conf)
-            self.reader = self.jvm.org.apache.parquet.hadoop.ParquetFileReader.open(self.input)
+            open_file = self.jvm.org.apache.parquet.hadoop.ParquetFileReader.open
+            if secrets is None:
+                self.reader = open_file(self.input)
+            else:
+                options = self.jvm.org.apache.parquet.HadoopReadOptions.builder(conf).withDecryption(secrets.properties(self.jvm)).build()
+                self.reader = open_file(self.input, options)
         except Exception as e:  # noqa: BLE001
             _rethrow(e, path)
         meta = self.reader.getFooter()
@@ -349,6 +354,6 @@ def _inner(p) -> Type:
 
 
 @contextmanager
-def opened(spark: SparkSession, path: str):
-    with Footer(spark, path) as f:
+def opened(spark: SparkSession, path: str, secrets: Any = None):
+    with Footer(spark, path, secrets) as f:
         yield f

@@ -1,25 +1,33 @@
-"""Keys of encrypted files, and Parquet modular encryption by pyarrow on local-size files.
+"""Keys of encrypted files, and Parquet modular encryption by Spark's own reader and writer.
 
-Spark's own encrypted reads need a JVM class on the executors' class path when the session starts, so files here are
-written and read in Python tasks instead; a missing or wrong key raises DecryptionError.
+Parquet asks a class of the executors for a file's keys.  That class is compiled here, once for an application, with the
+compiler that Spark has for its generated code, and sent to the executors as a jar; so encrypted files are read with
+column pruning and pushdown like any others.  Keys are told to it by options whose names Spark hides in its listings.
+A missing or wrong key raises DecryptionError.
 """
 
 from __future__ import annotations
 
 import base64
+import binascii
 import hashlib
 import hmac
+import io
 import secrets
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+import uuid
+import zipfile
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 from typing import Any
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import DecryptionError, UnsupportedError
 from ..schema import Schema
+from . import thrift
 from .footer import files_of
+from .storage import scratch
 
 SIZES = (128, 192, 256)
 
@@ -45,6 +53,23 @@ class Key:
         except ValueError as e:
             raise ValueError("not the hex digits of a key") from e
 
+    @classmethod
+    def parse(cls, text: str) -> Key:
+        """A key from hex digits, or from hex:..., base64:... or raw:... ."""
+        kind, colon, rest = text.partition(":")
+        if not colon:
+            return cls.from_hex(text)
+        if kind == "hex":
+            return cls.from_hex(rest)
+        if kind == "raw":
+            return cls(rest.encode())
+        if kind == "base64":
+            try:
+                return cls(base64.b64decode(rest, validate=True))
+            except binascii.Error as e:
+                raise ValueError("not the base64 of a key") from e
+        raise ValueError(f"no notation {kind!r} for keys")
+
     @property
     def bits(self) -> int:
         return 8 * len(self.raw)
@@ -68,138 +93,313 @@ class Key:
 
 @dataclass(frozen=True)
 class Encryption:
-    """How a sink encrypts: the footer's key, keys of single columns, and whether the footer stays readable."""
+    """How files are encrypted: the footer's key, keys of single columns (none: all have the footer's), whether the footer
+    stays readable, and a prefix of what is authenticated, which may be left out of the files."""
 
     footer: Key
     columns: dict[str, Key] = field(default_factory=dict)
     plaintext_footer: bool = False
     algorithm: str = "AES_GCM_V1"
+    aad_prefix: bytes | None = None
+    store_aad_prefix: bool = True
 
     def __post_init__(self):
-        if self.algorithm not in ("AES_GCM_V1", "AES_GCM_CTR_V1"):
+        if self.algorithm not in ALGORITHMS:
             raise UnsupportedError(f"no algorithm {self.algorithm!r}")
         if any(k.bits == 192 for k in (self.footer, *self.columns.values())):
             raise ValueError("192-bit keys aren't portable; use 128 or 256 bits")
+        if not self.store_aad_prefix and not self.aad_prefix:
+            raise ValueError("there is no prefix to leave out")
 
+    def only(self, names: list[str]) -> Encryption:
+        """The same for files that have these columns only."""
+        return replace(self, columns={c: k for c, k in self.columns.items() if c in names or c.split(".")[0] in names})
 
-#: keys: a list of Keys, or a function of a key's id.
-Keyring = list[Key] | Callable[[str], Key | None]
-
-
-def _factory(keys: Keyring):
-    import pyarrow.parquet.encryption as pe
-
-    find = keys if callable(keys) else {k.id: k for k in keys}.get
 
-    class Client(pe.KmsClient):
-        """Wraps data keys by the master keys of a keyring."""
+ALGORITHMS = ("AES_GCM_V1", "AES_GCM_CTR_V1")
+#: keys: a list of Keys, or a function of a key's metadata in the file (for files written here, the key's id).
+Keyring = list[Key] | Callable[[str], Key | None]
 
-        def __init__(self, _config):
-            super().__init__()
+FACTORY = "tessera.Keys"
+_SOURCE = """
+package tessera;
+
+import java.util.HashMap;
+import java.util.Map;
+import org.apache.hadoop.conf.Configuration;
+import org.apache.hadoop.fs.Path;
+import org.apache.parquet.crypto.*;
+import org.apache.parquet.hadoop.api.WriteSupport;
+import org.apache.parquet.hadoop.metadata.ColumnPath;
+
+public class Keys implements EncryptionPropertiesFactory, DecryptionPropertiesFactory, DecryptionKeyRetriever {
+  private final Map known = new HashMap();
+
+  static byte[] bytes(String hex) {
+    byte[] out = new byte[hex.length() / 2];
+    for (int i = 0; i < out.length; i++) out[i] = (byte) Integer.parseInt(hex.substring(2 * i, 2 * i + 2), 16);
+    return out;
+  }
+
+  static String hex(byte[] raw) {
+    StringBuilder out = new StringBuilder();
+    for (int i = 0; i < raw.length; i++) out.append(String.format("%02x", new Object[] {Integer.valueOf(raw[i] & 255)}));
+    return out.toString();
+  }
+
+  static String text(String hex) {
+    try {
+      return new String(bytes(hex), "UTF-8");
+    } catch (java.io.UnsupportedEncodingException e) {
+      throw new RuntimeException(e);
+    }
+  }
+
+  public byte[] getKey(byte[] metadata) throws KeyAccessDeniedException {
+    Object found = metadata == null ? null : known.get(hex(metadata));
+    if (found == null) throw new KeyAccessDeniedException("no key for one of the columns or the footer");
+    return (byte[]) found;
+  }
+
+  public FileEncryptionProperties getFileEncryptionProperties(Configuration conf, Path file, WriteSupport.WriteContext context) {
+    String footer = conf.get("tessera.secret.footer");
+    if (footer == null) return null;
+    String[] parts = footer.split("=");
+    FileEncryptionProperties.Builder b = FileEncryptionProperties.builder(bytes(parts[0])).withFooterKeyMetadata(bytes(parts[1])).withAlgorithm(ParquetCipher.valueOf(conf.get("tessera.secret.algorithm")));
+    if (conf.getBoolean("tessera.secret.plaintext", false)) b.withPlaintextFooter();
+    String columns = conf.get("tessera.secret.columns", "");
+    if (columns.length() > 0) {
+      Map encrypted = new HashMap();
+      String[] each = columns.split(";");
+      for (int i = 0; i < each.length; i++) {
+        String[] x = each[i].split("=");
+        ColumnPath path = ColumnPath.fromDotString(text(x[0]));
+        encrypted.put(path, ColumnEncryptionProperties.builder(path).withKey(bytes(x[1])).withKeyMetaData(bytes(x[2])).build());
+      }
+      b.withEncryptedColumns(encrypted);
+    }
+    String aad = conf.get("tessera.secret.aad");
+    if (aad != null) {
+      b.withAADPrefix(bytes(aad));
+      if (!conf.getBoolean("tessera.secret.aad.stored", true)) b.withoutAADPrefixStorage();
+    }
+    return b.build();
+  }
+
+  public FileDecryptionProperties getFileDecryptionProperties(Configuration conf, Path file) {
+    String keys = conf.get("tessera.secret.keys");
+    if (keys == null) return null;
+    String[] each = keys.split(";");
+    for (int i = 0; i < each.length; i++) {
+      String[] x = each[i].split("=");
+      if (x.length == 2) known.put(x[0], bytes(x[1]));
+    }
+    FileDecryptionProperties.Builder b = FileDecryptionProperties.builder().withKeyRetriever(this).withPlaintextFilesAllowed();
+    String aad = conf.get("tessera.secret.aad");
+    if (aad != null) b.withAADPrefix(bytes(aad));
+    if (conf.getBoolean("tessera.secret.unsigned", false)) b.withoutFooterSignatureVerification();
+    return b.build();
+  }
+}
+"""
+_installed: set[str] = set()
+
+
+def install(spark: SparkSession) -> None:
+    """Compiles the class that knows keys and sends it to the executors, once for an application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _installed:
+        return
+    jvm = spark._jvm
+    compiler = jvm.org.codehaus.janino.SimpleCompiler()
+    compiler.setParentClassLoader(jvm.java.lang.Thread.currentThread().getContextClassLoader())
+    compiler.cook(_SOURCE)
+    codes, jar = compiler.getBytecodes(), io.BytesIO()
+    _define(spark, codes)
+    with zipfile.ZipFile(jar, "w") as z:
+        for name in codes:
+            z.writestr(name.replace(".", "/") + ".class", bytes(codes[name]))
+    path = scratch(spark, f"keys-{uuid.uuid4().hex}") + ".jar"
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(jpath)
+    out.write(jar.getvalue())
+    out.close()
+    fs.deleteOnExit(jpath)
+    spark._jsc.addJar(path)
+    _installed.add(sc.applicationId)
+
+
+def _define(spark: SparkSession, codes) -> None:
+    """Makes the class known to the driver, whose configurations look it up beside Parquet's own classes."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    of = jvm.java.lang.Class.forName
+    home = of("org.apache.parquet.crypto.FileDecryptionProperties").getClassLoader()
+    kinds, args = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+    number = of("java.lang.Integer").getField("TYPE").get(None)
+    for k, kind in enumerate((of("java.lang.String"), of("[B"), number, number)):
+        kinds[k] = kind
+    define = of("java.lang.ClassLoader").getDeclaredMethod("defineClass", kinds)
+    define.setAccessible(True)
+    for name in codes:
+        code = bytes(codes[name])
+        for k, x in enumerate((name, code, 0, len(code))):
+            args[k] = x
+        define.invoke(home, args)
+
+
+def write_options(e: Encryption) -> dict[str, str]:
+    out = {
+        "parquet.crypto.factory.class": FACTORY,
+        "tessera.secret.footer": f"{e.footer.hex()}={e.footer.id.encode().hex()}",
+        "tessera.secret.algorithm": e.algorithm,
+        "tessera.secret.plaintext": str(e.plaintext_footer).lower(),
+        "tessera.secret.columns": ";".join(f"{c.encode().hex()}={k.hex()}={k.id.encode().hex()}" for c, k in e.columns.items()),
+    }
+    if e.aad_prefix:
+        out |= {"tessera.secret.aad": e.aad_prefix.hex(), "tessera.secret.aad.stored": str(e.store_aad_prefix).lower()}
+    return out
 
-        def _stream(self, key: Key, nonce: bytes, n: int) -> bytes:
-            out = b"".join(hmac.new(key.raw, b"wrap" + nonce + i.to_bytes(4, "big"), hashlib.sha256).digest() for i in range(-(-n // 32)))
-            return out[:n]
 
-        def wrap_key(self, data: bytes, master: str) -> bytes:
-            key, nonce = find(master), secrets.token_bytes(16)
+@dataclass(frozen=True)
+class Described:
+    """What a file tells of its encryption, with the keys that a keyring has.  ring: (key metadata, key); missing: columns without a
+    key; unsigned: the footer is readable and its key unknown, so that its signature can't be verified."""
+
+    encryption: Encryption
+    ring: tuple[tuple[bytes, Key], ...]
+    missing: tuple[str, ...]
+    unsigned: bool
+
+    def read_options(self) -> dict[str, str]:
+        e = self.encryption
+        out = {"parquet.crypto.factory.class": FACTORY, "tessera.secret.keys": ";".join(f"{m.hex()}={k.hex()}" for m, k in self.ring)}
+        if self.unsigned:
+            out["tessera.secret.unsigned"] = "true"
+        return out | ({"tessera.secret.aad": e.aad_prefix.hex()} if e.aad_prefix and not e.store_aad_prefix else {})
+
+    def properties(self, jvm):
+        """The same for Parquet's library on the driver."""
+        crypto, b = jvm.org.apache.parquet.crypto, jvm.org.apache.parquet.crypto.FileDecryptionProperties.builder()
+        b = b.withFooterKey(self.encryption.footer.raw)
+        if self.encryption.columns:
+            keys = jvm.java.util.HashMap()
+            for c, k in self.encryption.columns.items():
+                path = jvm.org.apache.parquet.hadoop.metadata.ColumnPath.fromDotString(c)
+                keys.put(path, crypto.ColumnDecryptionProperties.builder(path).withKey(k.raw).build())
+            b = b.withColumnKeys(keys)
+        if self.encryption.aad_prefix and not self.encryption.store_aad_prefix:
+            b = b.withAADPrefix(self.encryption.aad_prefix)
+        if self.unsigned:
+            b = b.withoutFooterSignatureVerification()
+        return b.withPlaintextFilesAllowed().build()
+
+
+def _end_of(spark: SparkSession, path: str) -> tuple[bytes, bytes]:
+    """A file's magic at its end, and its footer."""
+    jvm = spark._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = fs.getFileStatus(jpath).getLen()
+    f = fs.open(jpath)
+    try:
+        f.seek(max(0, size - 8))
+        tail = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(f, min(8, size)))
+        n = int.from_bytes(tail[:4], "little")
+        if len(tail) < 8 or n > size - 8:
+            return tail[4:], b""
+        f.seek(size - 8 - n)
+        return tail[4:], bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(f, n))
+    finally:
+        f.close()
+
+
+def finder(keys: Keyring) -> Callable[[str], Key | None]:
+    return keys if callable(keys) else {k.id: k for k in keys}.get
+
+
+def describe(spark: SparkSession, path: str, keys: Keyring, aad_prefix: bytes | None = None) -> Described | None:
+    """A file's encryption, by its own notes; None for a plain file.  The footer's key must be known, unless its footer is readable."""
+    magic, raw = _end_of(spark, path)
+    find = finder(keys)
+    if magic not in (b"PAR1", b"PARE"):
+        return None
+
+    def key_of(metadata: bytes | None) -> Key | None:
+        return find(metadata.decode("utf-8", "replace")) if metadata is not None else None
+
+    decoder = thrift.Decoder(raw)
+    first = decoder.record()
+    hidden = magic == b"PARE"
+    algorithm_field, key_field = (1, 2) if hidden else (8, 9)
+    if algorithm_field not in first:
+        return None
+    kind, (_, details) = next(iter(first[algorithm_field][1].items()))
+    stored, unique = (details[n][1] if n in details else b"" for n in (1, 2))
+    prefix = stored or aad_prefix
+    if 3 in details and details[3][1] and not aad_prefix:
+        raise DecryptionError(f"{path}: it needs the prefix of its authenticated data")
+    metadata = first[key_field][1] if key_field in first else None
+    footer_key = key_of(metadata)
+    if footer_key is None and hidden:
+        raise DecryptionError(f"{path}: no key for the footer")
+    if hidden:
+        module = raw[decoder.at :]
+        crypto = spark._jvm.javax.crypto
+        cipher = crypto.Cipher.getInstance("AES/GCM/NoPadding")
+        try:
+            cipher.init(2, crypto.spec.SecretKeySpec(footer_key.raw, "AES"), crypto.spec.GCMParameterSpec(128, module[4:16]))
+            cipher.updateAAD((prefix or b"") + unique + b"\0")
+            first = thrift.Decoder(bytes(cipher.doFinal(module[16 : 4 + int.from_bytes(module[:4], "little")]))).record()
+        except Exception as e:
+            raise DecryptionError(f"{path}: the footer's key is wrong") from e
+    ring = {} if footer_key is None or metadata is None else {metadata: footer_key}
+    columns, missing = {}, []
+    for group in first[thrift.ROW_GROUPS][1][1][:1]:
+        for chunk in group[1][1][1]:
+            union = chunk[8][1] if 8 in chunk else {}
+            if 2 not in union:
+                continue
+            own = union[2][1]
+            name, meta = ".".join(x.decode() for x in own[1][1][1]), own[2][1] if 2 in own else None
+            key = key_of(meta)
             if key is None:
-                raise KeyError(master)
-            body = bytes(a ^ b for a, b in zip(data, self._stream(key, nonce, len(data))))
-            return base64.b64encode(nonce + body + hmac.new(key.raw, b"tag" + nonce + body, hashlib.sha256).digest())
-
-        def unwrap_key(self, wrapped: bytes, master: str) -> bytes:
-            key, raw = find(master), base64.b64decode(wrapped)
-            nonce, body, tag = raw[:16], raw[16:-32], raw[-32:]
-            if key is None or not hmac.compare_digest(tag, hmac.new(key.raw, b"tag" + nonce + body, hashlib.sha256).digest()):
-                raise KeyError(f"no key with id {master}")
-            return bytes(a ^ b for a, b in zip(body, self._stream(key, nonce, len(body))))
-
-    return pe.CryptoFactory(lambda config: Client(config)), pe.KmsConnectionConfig()
+                missing.append(name)
+            else:
+                columns[name], ring[meta] = key, key
+    found = Encryption(footer_key or Key(bytes(16)), columns, not hidden, ALGORITHMS[kind - 1], prefix or None, bool(stored) or not prefix)
+    return Described(found, tuple(ring.items()), tuple(missing), footer_key is None)
 
 
 def write_encrypted(df: DataFrame, folder: str, encryption: Encryption) -> int:
-    """Writes each partition of df as an encrypted file below folder; returns the number of rows.
-
-    A task writes under a name of its own and renames at its end, so that a lost executor leaves no file behind.
-    """
-    import re
-    import uuid
-
-    names = df.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.fs
-        import pyarrow.parquet as pq
-        import pyarrow.parquet.encryption as pe
-
-        fs, path = pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
-        fs.create_dir(path, recursive=True)
-        name, rows, writer = f"part-{uuid.uuid4().hex}.parquet", 0, None
-        factory, connection = _factory([encryption.footer, *encryption.columns.values()])
-        grouped: dict[str, list[str]] = {}
-        for column, key in encryption.columns.items():
-            grouped.setdefault(key.id, []).append(column)
-        uniform = {} if grouped else {"uniform_encryption": True}
-        config = pe.EncryptionConfiguration(footer_key=encryption.footer.id, column_keys=grouped, plaintext_footer=encryption.plaintext_footer, encryption_algorithm=encryption.algorithm, double_wrapping=False, **uniform)
-        for b in batches:
-            if writer is None:
-                sink = fs.open_output_stream(f"{path}/.{name}")
-                writer = pq.ParquetWriter(sink, b.schema, encryption_properties=factory.file_encryption_properties(connection, config))
-            writer.write_batch(b)
-            rows += b.num_rows
-        if writer is not None:
-            writer.close()
-            sink.close()
-            fs.move(f"{path}/.{name}", f"{path}/{name}")
-        yield pa.RecordBatch.from_pydict({"rows": [rows]}, schema=pa.schema([("rows", pa.int64())]))
-
-    unknown = [c for c in encryption.columns if c not in names]
+    """Writes df as encrypted files below folder; returns the number of rows.  The output appears as a whole or not at all."""
+    unknown = [c for c in encryption.columns if c.split(".")[0] not in df.columns]
     if unknown:
         raise ValueError(f"no column {unknown[0]!r}")
-    return df.mapInArrow(run, "rows long").agg({"rows": "sum"}).first()[0] or 0
-
+    install(df.sparkSession)
+    counted = Observation()
+    df.observe(counted, F.count(F.lit(1)).alias("rows")).write.options(**write_options(encryption)).parquet(folder)
+    return counted.get["rows"]
 
-def read_encrypted(spark: SparkSession, path: str, keys: Keyring, schema: Schema | None = None, columns: list[str] | None = None) -> DataFrame:
-    """A DataFrame over encrypted files; each task decrypts some of them.  Columns that aren't asked for need no key."""
-    import re
 
+def read_encrypted(spark: SparkSession, path: str, keys: Keyring, schema: Schema | None = None, columns: list[str] | None = None, aad_prefix: bytes | None = None) -> DataFrame:
+    """A DataFrame over encrypted files, whose filters and columns are pushed down.  Columns that aren't asked for need no key."""
+    install(spark)
     files = files_of(spark, path)
-    shared = keys
-
-    def open_file(file: str):
-        import pyarrow.fs
-        import pyarrow.parquet as pq
-        import pyarrow.parquet.encryption as pe
-
-        fs, name = pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", file))
-        factory, connection = _factory(shared)
-        try:
-            # the factory has to outlive the file
-            return pq.ParquetFile(fs.open_input_file(name), decryption_properties=factory.file_decryption_properties(connection, pe.DecryptionConfiguration())), factory
-        except Exception as e:
-            raise DecryptionError(f"{file}: {str(e).splitlines()[0]}") from e
-
-    first, held = open_file(files[0])
-    arrow = first.schema_arrow
-    wanted = columns or arrow.names
-    from pyspark.sql.pandas.types import from_arrow_schema
-
-    spark_schema = schema.to_spark() if schema else from_arrow_schema(pa.schema([arrow.field(n) for n in wanted]))
+    found = [describe(spark, f, keys, aad_prefix) for f in files]
+    ring = tuple({m: k for d in found if d for m, k in d.ring}.items())
+    options = replace(next(d for d in found if d), ring=ring, unsigned=any(d.unsigned for d in found if d)).read_options() if any(found) else {}
+    missing = {c for d in found if d for c in d.missing}
+    read = spark.read.options(**options)
     try:
-        next(first.iter_batches(1, columns=wanted), None)
+        df = (read.schema(schema.to_spark()) if schema else read).parquet(*files)
     except Exception as e:
-        raise DecryptionError(f"{files[0]}, columns {', '.join(wanted)}: {str(e).splitlines()[0]}") from e
-    del held
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for file in b.column(0).to_pylist():
-                f, _factory_alive = open_file(file)
-                yield from f.iter_batches(10_000, columns=wanted)
-
-    paths = spark.createDataFrame([(f,) for f in files], "path string").repartition(len(files), "path")
-    return paths.mapInArrow(run, spark_schema)
+        raise DecryptionError(f"{path}: {str(e).splitlines()[0]}") from e
+    wanted = columns or df.columns
+    hidden = [c for c in wanted if any(m == c or m.startswith(c + ".") for m in missing)]
+    if hidden:
+        raise DecryptionError(f"{path}: no key for the columns {', '.join(hidden)}")
+    return df.select(*(F.col(f"`{c}`") for c in wanted))
 
 
 def keyring(keys: Any) -> Keyring:

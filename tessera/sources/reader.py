@@ -19,6 +19,7 @@ from ..operators.filters import compile_where
 from ..schema import Field, Schema, spark_type
 from . import pruning
 from .footer import Stats, below, files_of, folder_of, opened, partition_values, partitions_of, uri_of
+from .keys import describe, install
 
 BATCH_ROWS = 1024
 #: A row's file and place in it, under names that no column has.
@@ -104,10 +105,11 @@ class Reader:
 
     Reader(spark, path).read(columns=[...], where={...}, start=0, limit=None) is a DataFrame; rows(), batches(),
     arrays() and each_batch() bring results to the driver.  start counts rows of the input before the filter,
-    limit those after it; both go by file order.
+    limit those after it; both go by file order.  keys (a list or a function) opens encrypted files, which have one
+    encryption throughout.
     """
 
-    def __init__(self, spark: SparkSession, path: str, time_zone: Any = None, schema: Schema | None = None, folder: str | None = None):
+    def __init__(self, spark: SparkSession, path: str, time_zone: Any = None, schema: Schema | None = None, folder: str | None = None, keys: Any = None):
         self.spark, self.path = spark, path
         self.zone = zone_of(time_zone)
         self.files = files_of(spark, path)
@@ -115,7 +117,13 @@ class Reader:
             raise FormatError(f"{path}: no Parquet file")
         #: The folder that partition columns start from.
         self.folder = folder or folder_of(spark, path)
-        with opened(spark, self.files[0]) as f:
+        self.keys, self.secrets = keys, None
+        if keys is not None:
+            install(spark)
+            self.secrets = describe(spark, self.files[0], keys)
+            if self.secrets and (self.secrets.missing or self.secrets.unsigned):
+                raise DecryptionError(f"{path}: no key for {', '.join(self.secrets.missing) or 'the footer'}; read_encrypted() reads what needs none")
+        with opened(spark, self.files[0], self.secrets) as f:
             stored = f.schema
             relative = [below(x, self.folder) for x in self.files] if self.folder else []
             self.partitions = partitions_of(relative, stored.names)
@@ -139,7 +147,7 @@ class Reader:
 
     def _footers(self):
         for f in self.files:
-            with opened(self.spark, f) as footer:
+            with opened(self.spark, f, self.secrets) as footer:
                 yield footer
 
     @property
@@ -157,12 +165,12 @@ class Reader:
         if self._by_row:
             conf.set("spark.sql.parquet.enableVectorizedReader", "false")
         fields = [T.StructField(f.name, physical(f), True) for f in self._stored]
-        read = self.spark.read.schema(T.StructType(fields))
+        read = self.spark.read.schema(T.StructType(fields)).options(**(self.secrets.read_options() if self.secrets else {}))
         return (read.option("basePath", self.folder) if self.partitions else read).parquet(*self.files)
 
     def source_of(self, files: list[str]) -> DataFrame:
         """All columns of some of the files."""
-        part = Reader(self.spark, files[0], self.zone, self.schema, self.folder)
+        part = Reader(self.spark, files[0], self.zone, self.schema, self.folder, self.keys)
         part.files, part.partitions = files, self.partitions
         return part.read()
 
@@ -203,7 +211,7 @@ class Reader:
         """Rows at or after a place of the whole input.  Footers are read up to the file that has it, and one comparison of paths tells the rest."""
         base = 0
         for path in self.files:
-            with opened(self.spark, path) as f:
+            with opened(self.spark, path, self.secrets) as f:
                 rows = f.num_rows
             if base + rows > start:
                 here = uri_of(self.spark, path)
@@ -222,7 +230,7 @@ class Reader:
         for path in self.files:
             if left == 0:
                 return
-            one = self if len(self.files) == 1 else Reader(self.spark, path, self.zone, self.schema, self.folder)
+            one = self if len(self.files) == 1 else Reader(self.spark, path, self.zone, self.schema, self.folder, self.keys)
             rows = one.num_rows
             if start >= rows:
                 start -= rows
@@ -292,7 +300,7 @@ class Reader:
         mine = {f.name: f for f in self.partitions}
         inside = {k: v for k, v in (where or {}).items() if str(k) not in mine}
         for path in self.files:
-            with opened(self.spark, path) as f:
+            with opened(self.spark, path, self.secrets) as f:
                 if self._partition_may_match(path, f.num_rows, {k: v for k, v in (where or {}).items() if str(k) in mine}):
                     for p in pruning.scan_plan(f, inside, max(0, start - base)):
                         out.append(p | {"row_group": p["row_group"] + group})

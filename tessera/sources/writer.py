@@ -18,6 +18,7 @@ from ..errors import EncodeError, MissingCodecError, SchemaMismatch, Unsupported
 from ..functions import coerce
 from ..schema import Builder, Field, Schema, Type, infer
 from .footer import files_of
+from .keys import install, write_options
 from .notes import add_notes
 
 INFERENCE_ROWS = 1000
@@ -51,6 +52,9 @@ class Options:
     #: Key/value metadata of the footers, and the columns by which rows are sorted: names, or (name, descending, nulls first).
     metadata: dict[str, str] | None = None
     sorting: list | None = None
+    #: How files are encrypted (an Encryption); plaintext: not at all, where inputs are.
+    encryption: Any = None
+    plaintext: bool = False
 
     def spark_options(self, schema: Schema, distinct: dict[str, int] | None = None) -> dict[str, str]:
         codec = str(self.compression).lower()
@@ -124,10 +128,11 @@ class Options:
 
 
 def like(reader, schema: Schema) -> Options:
-    """Options that keep the codec and the bloom filters of a reader's files, for columns that schema still has."""
+    """Options that keep the codec, the encryption and the bloom filters of a reader's files, for columns that schema still has."""
     codec = {"lz4": "lz4_hadoop", "lzo": "snappy", "uncompressed": "none"}.get(reader.codec, reader.codec)
     leaves = dict(leaf_paths(schema))
-    return Options(compression=codec if codec in CODECS else "snappy", bloom_filters=[p for p in reader.blooms if p in leaves] or None)
+    encryption = reader.secrets.encryption.only(schema.names) if reader.secrets else None
+    return Options(compression=codec if codec in CODECS else "snappy", bloom_filters=[p for p in reader.blooms if p in leaves] or None, encryption=encryption)
 
 
 def leaf_paths(schema: Schema) -> Iterator[tuple[str, Type]]:
@@ -208,12 +213,18 @@ def write_frame(df: DataFrame, path: str, schema: Schema | None = None, options:
     conf, jpath = spark.conf, spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
     fresh = not fs.exists(jpath)
+    secret = {}
+    if options.encryption:
+        if options.metadata or options.sorting:
+            raise UnsupportedError("footers of encrypted files can't be annotated")
+        install(spark)
+        secret = write_options(options.encryption)
     sorting_places(schema, options.sorting, partition_by or [])
     there = set() if fresh or not (options.metadata or options.sorting) else set(files_of(spark, path))
     before = conf.get("spark.sql.parquet.outputTimestampType")
     conf.set("spark.sql.parquet.outputTimestampType", timestamp_form(schema))
     try:
-        shaped.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode(mode).options(**options.spark_options(schema, distinct)).partitionBy(*(partition_by or [])).parquet(path)
+        shaped.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode(mode).options(**options.spark_options(schema, distinct), **secret).partitionBy(*(partition_by or [])).parquet(path)
     except Exception as e:
         if fresh:
             fs.delete(jpath, True)

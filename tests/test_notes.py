@@ -75,3 +75,83 @@ def test_mismatching_bounds():
     chunk = Stats(10, 0, 5, 9)
     assert not beyond(Stats(5, 0, 5, 9), chunk) and beyond(Stats(5, 0, 4, 9), chunk) and beyond(Stats(5, 0, 5, 10), chunk)
     assert not beyond(Stats(5, 5), chunk) and not beyond(None, chunk) and not beyond(Stats(5, 0, "a" * 64, None), Stats(5, 0, "b", "c"))
+
+
+def test_every_way_to_encrypt(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tessera.errors import DecryptionError
+    from tessera.sources import keys as K
+
+    df = spark.range(1000).selectExpr("id", "concat('secret', id) s", "named_struct('a', id * 2, 'b', 'x') t")
+    footer, one, two = K.Key.generate(), K.Key.generate(128), K.Key.generate()
+    ways = {
+        "uniform": K.Encryption(footer), "columns": K.Encryption(footer, {"s": one, "t.a": two}), "readable": K.Encryption(footer, {"s": one}, plaintext_footer=True), "ctr": K.Encryption(footer, {"s": one}, algorithm="AES_GCM_CTR_V1"),
+        "prefix": K.Encryption(footer, aad_prefix=b"table 7"), "secret prefix": K.Encryption(footer, {"s": one}, aad_prefix=b"table 7", store_aad_prefix=False),
+    }
+    for name, e in ways.items():
+        path, aad = str(tmp_path / name), b"table 7" if name == "secret prefix" else None
+        assert K.write_encrypted(df, path, e) == 1000
+        assert not any(b"secret9" in f.read_bytes() for f in (tmp_path / name).glob("*.parquet")), name
+        got = K.read_encrypted(spark, path, [footer, one, two], aad_prefix=aad)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect())), name
+        assert got.filter(F.col("id") == 77).first().s == "secret77" and "EqualTo(id,77)" in got.filter(F.col("id") == 77)._jdf.queryExecution().toString()
+        assert K.describe(spark, K.files_of(spark, path)[0], [footer, one, two], aad).encryption == e, name
+        for ring in ([], [K.Key.generate()]):
+            with pytest.raises(DecryptionError):
+                K.read_encrypted(spark, path, ring, aad_prefix=aad).count()
+        assert footer.hex() not in got._jdf.queryExecution().toString()
+    with pytest.raises(DecryptionError):
+        K.read_encrypted(spark, str(tmp_path / "secret prefix"), [footer, one]).count()
+    with pytest.raises(DecryptionError):
+        K.read_encrypted(spark, str(tmp_path / "secret prefix"), [footer, one], aad_prefix=b"other").count()
+    assert K.read_encrypted(spark, str(tmp_path / "readable"), [], columns=["id"]).count() == 1000
+    assert K.read_encrypted(spark, str(tmp_path / "columns"), {footer.id: footer}.get, columns=["id"]).agg(F.sum("id")).first()[0] == 499500
+
+
+def test_encrypted_inputs_of_redaction_and_combination(spark, tmp_path):
+    import io
+
+    from tessera import cli
+    from tessera.errors import DecryptionError
+    from tessera.operators.combine import combine
+    from tessera.operators.redact import Redaction
+    from tessera.sources import keys as K
+
+    footer, one = K.Key.generate(), K.Key.generate(128)
+    ring, e = [footer, one], K.Encryption(footer, {"s": one}, aad_prefix=b"t")
+    for k in range(3):
+        K.write_encrypted(spark.range(100 * k, 100 * k + 100).selectExpr("id", "concat('secret', id) s").coalesce(1), str(tmp_path / f"in{k}"), e)
+        (tmp_path / "in").mkdir(exist_ok=True)
+        next((tmp_path / f"in{k}").glob("part-*")).rename(tmp_path / "in" / f"{k}.parquet")
+    source = str(tmp_path / "in")
+    r = Reader(spark, source, keys=ring)
+    assert r.num_rows == 300 and [x["id"] for x in r.rows(start=150, limit=3)] == [150, 151, 152] and r.encrypted
+    assert len(r.scan_plan({"id": 205})) == 1 and r.rows(where={"s": "secret7"}) == [{"id": 7, "s": "secret7"}]
+    for bad in ([], [footer], [K.Key.generate()]):
+        with pytest.raises(DecryptionError):
+            Reader(spark, source, keys=bad)
+    # a redaction's output is encrypted like its input, in copied and rewritten files
+    report = Redaction().where(id=[5, 6]).delete().where(id=7).replace(s="-").run(spark, r, str(tmp_path / "out"))
+    assert (report.rows_read, report.rows_deleted, report.rows_changed, report.files) == (300, 2, 1, {"copied": 2, "rewritten": 1})
+    out = Reader(spark, str(tmp_path / "out"), keys=ring)
+    assert out.num_rows == 298 and all(K.describe(spark, f, ring).encryption == e for f in out.files)
+    report = Redaction().where(id=5).delete().run(spark, r, str(tmp_path / "plain"), Options(plaintext=True))
+    assert report.files == {"copied": 0, "rewritten": 3} and Reader(spark, str(tmp_path / "plain")).num_rows == 299
+    # combination: alike stays alike, copied byte for byte; else it must be said
+    report = combine(spark, [r, r], str(tmp_path / "both"))
+    assert report.inputs[0].groups_copied == 3 and Reader(spark, str(tmp_path / "both"), keys=ring).num_rows == 600
+    with pytest.raises(ValueError, match="encrypted differently"):
+        combine(spark, [r, Reader(spark, str(tmp_path / "plain"))], str(tmp_path / "mixed"))
+    combine(spark, [r, Reader(spark, str(tmp_path / "plain"))], str(tmp_path / "mixed"), options=Options(encryption=K.Encryption(one)))
+    assert Reader(spark, str(tmp_path / "mixed"), keys=[one]).num_rows == 599
+    # the command line
+    run = lambda *a: (cli.main(list(a), spark, o := io.StringIO()), o.getvalue())
+    flags = ("--key", footer.hex(), "--key", "base64:" + __import__("base64").b64encode(one.raw).decode())
+    assert run("cat", source, "2", *flags) == (0, '{"id":0,"s":"secret0"}\n{"id":1,"s":"secret1"}\n')
+    assert run("cat", source)[0] == 1 and run("cat", source, "--key", "hex:00")[0] == 1
+    assert run("combine", source, source, "--output", str(tmp_path / "cli"), "--plaintext", *flags) == (0, "600 rows\n")
+    assert Reader(spark, str(tmp_path / "cli")).num_rows == 600
+    assert run("combine", str(tmp_path / "cli"), "--output", str(tmp_path / "cli2"), "--encrypt-key", one.hex()) == (0, "600 rows\n")
+    assert Reader(spark, str(tmp_path / "cli2"), keys=[one]).num_rows == 600
+    assert cli.key_of("-", lambda _: one.hex()) == one and cli.key_of("raw:" + "k" * 16).bits == 128
