@@ -133,6 +133,7 @@ def combine(spark: SparkSession, inputs: list[Any], target: str, schema: Any = N
     Inputs that are encrypted alike give an output of the same kind; for others options must say how it is encrypted.
     File names keep the order of the inputs.
     """
+    from ..sources.footer import copy_files
     from ..sources.reader import Reader
     from ..sources.writer import like, write_frame
 
@@ -149,7 +150,7 @@ def combine(spark: SparkSession, inputs: list[Any], target: str, schema: Any = N
         raise ValueError("the inputs are encrypted differently: give an encryption, or plaintext")
     else:
         encryption = encryptions[0] and encryptions[0].only(out.names)
-    hadoop, jpath, util = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path, spark._jvm.org.apache.hadoop.fs.FileUtil
+    hadoop, jpath = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
     fs = jpath(target).getFileSystem(hadoop)
     if fs.exists(jpath(target)):
         raise ValueError(f"{target} exists")
@@ -160,9 +161,7 @@ def combine(spark: SparkSession, inputs: list[Any], target: str, schema: Any = N
             report = InputReport()
             _changes(r.schema.fields, out.fields, "", report)
             if r.schema == out and not r.partitions and encryptions[k] == encryption:
-                for n, path in enumerate(r.files):
-                    src = jpath(path)
-                    util.copy(src.getFileSystem(hadoop), src, fs, jpath(f"{target}/part-{k:05d}-{n:05d}.parquet"), False, hadoop)
+                copy_files(spark, {path: f"{target}/part-{k:05d}-{n:05d}.parquet" for n, path in enumerate(r.files)})
                 groups = r.row_groups
                 report.rows, report.groups_copied = sum(groups), len(groups)
             else:

@@ -206,7 +206,7 @@ class Redaction:
         A file that no statement affects is copied as it is, to the same place below target; rewritten rows keep the folders of
         their partition columns, rewritten files their metadata and what still holds of their sorting columns.  Counters come along with the write, and must add up to the rows of the files.
         """
-        from ..sources.footer import below, opened
+        from ..sources.footer import below, copy_files
         from ..sources.notes import kept_metadata, sorting_of
         from ..sources.reader import Reader
         from ..sources.writer import like, write_frame
@@ -228,18 +228,11 @@ class Redaction:
         files = {"copied": 0, "rewritten": 0}
         try:
             fs.mkdirs(jpath(target))
-            expected = 0
-            for path in reader.files:
-                with opened(spark, path, reader.secrets) as f:
-                    rows = f.num_rows
-                expected += rows
-                if path not in touched:
-                    src, dst = jpath(path), jpath(f"{target}/{below(path, reader.folder) if reader.folder else jpath(path).getName()}")
-                    fs.mkdirs(dst.getParent())
-                    # refuses to overwrite
-                    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(src.getFileSystem(hadoop), src, fs, dst, False, False, hadoop)
-                    files["copied"] += 1
-                    totals[0] += rows
+            counts = dict(zip(reader.files, reader.rows_by_file()))
+            expected = sum(counts.values())
+            copied = {p: f"{target}/{below(p, reader.folder) if reader.folder else jpath(p).getName()}" for p in reader.files if p not in touched}
+            copy_files(spark, copied)
+            files["copied"], totals[0] = len(copied), sum(counts[p] for p in copied)
             rest = [p for p in reader.files if p in touched]
             # rows keep their order within a file, so files with sorting columns are rewritten one by one
             changed = [*self.drops, *(p for s in self.statements for p in s.values)]

@@ -8,6 +8,7 @@ from __future__ import annotations
 import datetime
 import decimal
 import re
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Any
@@ -82,6 +83,23 @@ def below(path: str, folder: str) -> str:
     return path[len(folder) :]
 
 
+def copy_files(spark: SparkSession, targets: dict[str, str]) -> None:
+    """Copies files byte for byte, some at once; refuses to overwrite."""
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def copy(pair: tuple[str, str]) -> None:
+        src, dst = (jvm.org.apache.hadoop.fs.Path(x) for x in pair)
+        fs = dst.getFileSystem(hadoop)
+        fs.mkdirs(dst.getParent())
+        jvm.org.apache.hadoop.fs.FileUtil.copy(src.getFileSystem(hadoop), src, fs, dst, False, False, hadoop)
+
+    with ThreadPoolExecutor(COPIES) as pool:
+        for _ in pool.map(copy, targets.items()):
+            pass
+
+
+#: Files that are copied at once.
+COPIES = 16
 NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 
 
@@ -136,6 +154,7 @@ class Footer:
         self.blocks = list(meta.getBlocks())
         self.schema = Schema(_field(self.file.getSchema().getType(i)) for i in range(self.file.getSchema().getFieldCount()))
         self.leaves = {".".join(c.getPath()): c for c in self.file.getSchema().getColumns()}
+        self._places = {path: k for k, path in enumerate(self.leaves)}
 
     def __enter__(self) -> Footer:
         return self
@@ -160,7 +179,8 @@ class Footer:
         return self.file.getEncryptionType().toString() != "UNENCRYPTED"
 
     def chunk(self, group: int, path: str):
-        return next((c for c in self.blocks[group].getColumns() if c.getPath().toDotString() == path), None)
+        at = self._places.get(path)  # chunks stand in the order of the schema's leaves
+        return None if at is None else self.blocks[group].getColumns()[at]
 
     def leaf_type(self, path: str) -> Type:
         return _leaf(self.leaves[path].getPrimitiveType())

@@ -18,12 +18,14 @@ from ..errors import DecryptionError, FormatError, MissingCodecError, TesseraErr
 from ..operators.filters import compile_where
 from ..schema import Field, Schema, spark_type
 from . import pruning
-from .footer import Stats, below, files_of, folder_of, opened, partition_values, partitions_of, uri_of
+from .footer import Stats, below, files_of, folder_of, one_slash, opened, partition_values, partitions_of, uri_of
 from .keys import describe, install
 
 BATCH_ROWS = 1024
 #: A row's file and place in it, under names that no column has.
 FILE, ROW = "place: file", "place: row"
+#: Files whose footers are read one by one on the driver.
+DRIVER_FILES = 16
 #: Codecs that Spark's reader lacks.
 UNREADABLE = {"LZO": UnsupportedError, "BROTLI": MissingCodecError}
 
@@ -142,6 +144,7 @@ class Reader:
                     codec = c.getCodec().toString()
                     if codec in UNREADABLE:
                         raise UNREADABLE[codec](f"{path}: codec {codec.lower()} of column {c.getPath().toDotString()}")
+        self._rows: list[int] | None = None
         names = {x.name: x for x in stored.fields}
         self._stored = [names.get(x.name, x) for x in self.schema.fields]
 
@@ -150,9 +153,20 @@ class Reader:
             with opened(self.spark, f, self.secrets) as footer:
                 yield footer
 
+    def rows_by_file(self) -> list[int]:
+        """The rows of each file; of many files, counted by a job that reads no column."""
+        if self._rows is None:
+            if len(self.files) <= DRIVER_FILES:
+                self._rows = [f.num_rows for f in self._footers()]
+            else:
+                counts = self.source().groupBy(F.col("_metadata.file_path").alias(FILE)).agg(F.count("*").alias("n"))
+                found = {one_slash(r[0]): r[1] for r in counts.toLocalIterator()}
+                self._rows = [found.get(uri_of(self.spark, f), 0) for f in self.files]
+        return self._rows
+
     @property
     def num_rows(self) -> int:
-        return sum(f.num_rows for f in self._footers())
+        return sum(self.rows_by_file())
 
     @property
     def row_groups(self) -> list[int]:
@@ -171,7 +185,7 @@ class Reader:
     def source_of(self, files: list[str]) -> DataFrame:
         """All columns of some of the files."""
         part = Reader(self.spark, files[0], self.zone, self.schema, self.folder, self.keys)
-        part.files, part.partitions = files, self.partitions
+        part.files, part.partitions, part._rows = files, self.partitions, None
         return part.read()
 
     def _shaped(self, raw: DataFrame, names: list[str]) -> DataFrame:
@@ -208,11 +222,9 @@ class Reader:
         return df.select(*(F.col(f"`{n}`").alias(n, metadata=meta[n]) for n in names))
 
     def _from(self, start: int) -> Column:
-        """Rows at or after a place of the whole input.  Footers are read up to the file that has it, and one comparison of paths tells the rest."""
+        """Rows at or after a place of the whole input: one comparison of paths, and of row numbers in the file that has the place."""
         base = 0
-        for path in self.files:
-            with opened(self.spark, path, self.secrets) as f:
-                rows = f.num_rows
+        for path, rows in zip(self.files, self.rows_by_file()):
             if base + rows > start:
                 here = uri_of(self.spark, path)
                 return (F.col(FILE) > here) | ((F.col(FILE) == here) & (F.col(ROW) >= start - base))

@@ -160,6 +160,17 @@ def test_partition_columns(spark, partitioned):
     assert [x.asDict() for x in r.read(where={"v": "v3"}, start=200, limit=9).collect()] == [x for x in everything[200:] if x["v"] == "v3"][:9]
 
 
+def test_rows_of_many_files(spark, partitioned, monkeypatch):
+    """Counted by a job, they are what the footers say, and offsets go by them."""
+    from tessera.sources import reader as module
+
+    by_footer = Reader(spark, partitioned).rows_by_file()
+    monkeypatch.setattr(module, "DRIVER_FILES", 2)
+    r = Reader(spark, partitioned)
+    assert r.rows_by_file() == by_footer == [100] * 6 and r.num_rows == 600
+    assert [x.id for x in r.read(columns=["id"], start=250, limit=20).collect()] == [x["id"] for x in r.rows()[250:270]]
+
+
 @pytest.mark.parametrize(
     "declare, want, files",
     [
