@@ -18,6 +18,7 @@ from pyspark.sql import SparkSession
 
 from ..errors import DecryptionError, FormatError
 from ..schema import Field, Schema, Type, type_of
+from . import thrift
 
 
 @dataclass(frozen=True)
@@ -83,6 +84,52 @@ def below(path: str, folder: str) -> str:
     return path[len(folder) :]
 
 
+def end_of(spark: SparkSession, path: str) -> tuple[bytes, bytes]:
+    """A file's magic at its end, and its footer."""
+    jvm = spark._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = fs.getFileStatus(jpath).getLen()
+    f = fs.open(jpath)
+    try:
+        f.seek(max(0, size - 8))
+        tail = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(f, min(8, size)))
+        n = int.from_bytes(tail[:4], "little")
+        if len(tail) < 8 or n > size - 8:
+            return tail[4:], b""
+        f.seek(size - 8 - n)
+        return tail[4:], bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(f, n))
+    finally:
+        f.close()
+
+
+#: Codecs and the encoding that the vectorized reader lacks, by their numbers in the format (fixed values).
+CODEC_NAMES = ("UNCOMPRESSED", "SNAPPY", "GZIP", "LZO", "BROTLI", "LZ4", "ZSTD", "LZ4_RAW")
+BYTE_STREAM_SPLIT = 9
+
+
+@dataclass(frozen=True)
+class Chunk:
+    column: str
+    codec: str
+    split: bool
+    bloom: bool
+
+
+def chunks_of(spark: SparkSession, path: str) -> list[Chunk]:
+    """What the footer of a file that isn't encrypted says of its chunks, read at once."""
+    magic, raw = end_of(spark, path)
+    if magic != b"PAR1":
+        return []
+    out = []
+    for group in thrift.Decoder(raw).record()[thrift.ROW_GROUPS][1][1]:
+        for chunk in group[1][1][1]:
+            meta = chunk[3][1] if 3 in chunk else {}
+            if meta:
+                out.append(Chunk(".".join(x.decode() for x in meta[3][1][1]), CODEC_NAMES[meta[4][1]], BYTE_STREAM_SPLIT in meta[2][1][1], 14 in meta))
+    return out
+
+
 def copy_files(spark: SparkSession, targets: dict[str, str]) -> None:
     """Copies files byte for byte, some at once; refuses to overwrite."""
     jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..errors import DecryptionError, UnsupportedError
 from ..schema import Schema
 from . import thrift
-from .footer import files_of
+from .footer import end_of, files_of
 from .storage import scratch
 
 SIZES = (128, 192, 256)
@@ -295,32 +295,13 @@ class Described:
         return b.withPlaintextFilesAllowed().build()
 
 
-def _end_of(spark: SparkSession, path: str) -> tuple[bytes, bytes]:
-    """A file's magic at its end, and its footer."""
-    jvm = spark._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    size = fs.getFileStatus(jpath).getLen()
-    f = fs.open(jpath)
-    try:
-        f.seek(max(0, size - 8))
-        tail = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(f, min(8, size)))
-        n = int.from_bytes(tail[:4], "little")
-        if len(tail) < 8 or n > size - 8:
-            return tail[4:], b""
-        f.seek(size - 8 - n)
-        return tail[4:], bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(f, n))
-    finally:
-        f.close()
-
-
 def finder(keys: Keyring) -> Callable[[str], Key | None]:
     return keys if callable(keys) else {k.id: k for k in keys}.get
 
 
 def describe(spark: SparkSession, path: str, keys: Keyring, aad_prefix: bytes | None = None) -> Described | None:
     """A file's encryption, by its own notes; None for a plain file.  The footer's key must be known, unless its footer is readable."""
-    magic, raw = _end_of(spark, path)
+    magic, raw = end_of(spark, path)
     find = finder(keys)
     if magic not in (b"PAR1", b"PARE"):
         return None

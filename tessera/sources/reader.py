@@ -18,7 +18,7 @@ from ..errors import DecryptionError, FormatError, MissingCodecError, TesseraErr
 from ..operators.filters import compile_where
 from ..schema import Field, Schema, spark_type
 from . import pruning
-from .footer import Stats, below, files_of, folder_of, one_slash, opened, partition_values, partitions_of, uri_of
+from .footer import Chunk, Stats, below, chunks_of, files_of, folder_of, one_slash, opened, partition_values, partitions_of, uri_of
 from .keys import describe, install
 
 BATCH_ROWS = 1024
@@ -97,11 +97,6 @@ def declared(footer) -> Schema:
     return Schema(known[f.name] if same(f) else f for f in footer.schema.fields)
 
 
-def needs_row_reader(footer) -> bool:
-    """Whether a file uses an encoding that the vectorized reader lacks."""
-    return any("BYTE_STREAM_SPLIT" in e.toString() for b in footer.blocks for c in b.getColumns() for e in c.getEncodings())
-
-
 class Reader:
     """A file, or a folder of files with one schema; folders below it named column=value give further columns.
 
@@ -134,16 +129,19 @@ class Reader:
                 self.partitions = [known.get(x.name, x) for x in self.partitions]
             self.schema = schema or Schema([*declared(f).fields, *self.partitions])
             self.metadata, self.encrypted = f.metadata, f.encrypted
-            self._by_row = needs_row_reader(f)
-            chunks = [c for b in f.blocks for c in b.getColumns()]
-            #: What a rewrite of these files keeps: their codec and the columns with bloom filters.
-            self.codec = chunks[0].getCodec().toString().lower() if chunks else "snappy"
-            self.blooms = sorted({c.getPath().toDotString() for c in chunks if c.getBloomFilterOffset() > 0})
-            for b in f.blocks:
-                for c in b.getColumns():
-                    codec = c.getCodec().toString()
-                    if codec in UNREADABLE:
-                        raise UNREADABLE[codec](f"{path}: codec {codec.lower()} of column {c.getPath().toDotString()}")
+            hidden = [c for b in f.blocks for c in b.getColumns()] if self.secrets else []
+            chunks = [Chunk(c.getPath().toDotString(), c.getCodec().toString(), any(e.toString() == "BYTE_STREAM_SPLIT" for e in c.getEncodings()), c.getBloomFilterOffset() > 0) for c in hidden]
+        if not self.secrets:
+            chunks = chunks_of(spark, self.files[0])
+        #: What a rewrite of these files keeps: their codec and the columns with bloom filters.
+        self.codec = chunks[0].codec.lower() if chunks else "snappy"
+        self.blooms = sorted({c.column for c in chunks if c.bloom})
+        if not self.secrets and len(self.files) <= DRIVER_FILES:
+            chunks += [c for x in self.files[1:] for c in chunks_of(spark, x)]
+        self._by_row = any(c.split for c in chunks)
+        for c in chunks:
+            if c.codec in UNREADABLE:
+                raise UNREADABLE[c.codec](f"{path}: codec {c.codec.lower()} of column {c.column}")
         self._rows: list[int] | None = None
         names = {x.name: x for x in stored.fields}
         self._stored = [names.get(x.name, x) for x in self.schema.fields]
