@@ -352,11 +352,10 @@ def sink_inferred_rows(spark, d):
 
 @query("SELECT event_id, ts, value FROM events WHERE value > 50")
 def stream_scan(spark, d):
-    """The table as a stream of files, filtered, appended to a folder exactly once, and read back."""
-    r = reader(spark, d, "events")
-    folder, out = r.files[0].rsplit("/", 1)[0], scratch(spark, "stream")
-    df = spark.readStream.schema(r.schema.to_spark()).option("pathGlobFilter", "events.parquet" if r.files[0].endswith("/events.parquet") else "*").parquet(folder)
-    found = df.filter(F.col("value") > 50).select("event_id", "ts", "value")
+    """The table's files as a stream, filtered, appended to a folder exactly once, and read back."""
+    r, source, out = reader(spark, d, "events"), scratch(spark, "stream"), scratch(spark, "stream")
+    W.write_frame(r.read(), source)
+    found = streams.scan_stream(spark, source, r.schema, columns=["event_id", "ts", "value"], where={"value": lambda c: c > 50})
     streams.write_stream(found, f"{out}/data", f"{out}/checkpoint").awaitTermination()
     return Reader(spark, f"{out}/data").read()
 
