@@ -20,6 +20,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -235,6 +236,12 @@ def _define(spark: SparkSession, codes) -> None:
     jvm, gateway = spark._jvm, spark.sparkContext._gateway
     of = jvm.java.lang.Class.forName
     home = of("org.apache.parquet.crypto.FileDecryptionProperties").getClassLoader()
+    try:
+        of(FACTORY, False, home)
+        return  # an earlier application in this JVM has defined it
+    except Py4JJavaError as e:
+        if "ClassNotFoundException" not in str(e.java_exception):
+            raise
     kinds, args = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
     number = of("java.lang.Integer").getField("TYPE").get(None)
     for k, kind in enumerate((of("java.lang.String"), of("[B"), number, number)):
