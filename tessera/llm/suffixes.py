@@ -34,17 +34,28 @@ def smaller_than_next(t: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(raw: bytes, depth: int) -> np.ndarray:
-    """Starts of all suffixes, sorted by their first depth bytes (and further ones as far as that costs nothing)."""
+def suffix_array(raw: bytes, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Starts of all suffixes, sorted by their first depth bytes (and further ones as far as that costs nothing).
+
+    wanted: a mask of the starts that are of use; others are sorted only where a wanted one follows from them.
+    """
     t = np.frombuffer(raw, np.uint8)
     n = len(t)
     if not n:
         return np.zeros(0, np.int64)
     direct = smaller_than_next(t)
-    stage_one = np.array(sorted(np.flatnonzero(direct).tolist(), key=lambda i: raw[i : i + depth]), np.int64)
-    sizes = np.bincount(t, minlength=256)
+    if wanted is None:
+        wanted = np.ones(n, bool)
+    # an induced suffix follows from its successor, and so on up to the next one that is sorted directly
+    at = np.arange(n)
+    last = np.maximum.accumulate(np.where(wanted, at, -1))
+    before = np.cumsum(direct) - direct
+    needed = (last >= 0) & (before == before[last])
+    induced = needed & ~direct
+    stage_one = np.array(sorted(np.flatnonzero(direct & needed).tolist(), key=lambda i: raw[i : i + depth]), np.int64)
+    sizes = np.bincount(t[needed], minlength=256)
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    out = np.full(n, -1, np.int64)
+    out = np.full(sizes.sum(), -1, np.int64)
     first = t[stage_one]
     ones = np.bincount(first, minlength=256)
     for c in np.flatnonzero(ones):  # they are the larger ones of their bucket
@@ -62,7 +73,8 @@ def suffix_array(raw: bytes, depth: int) -> np.ndarray:
             out[fill[c] : fill[c] + k] = suffixes[a : a + k]
             fill[c] += k
 
-    place(np.array([n - 1]))  # the last suffix follows the empty one
+    if needed[-1]:
+        place(np.array([n - 1]))  # the last suffix follows the empty one
     for c in np.flatnonzero(sizes).tolist():
         # induced suffixes of this bucket that its own suffixes induce come in waves, one byte of a run each
         a = starts[c]
@@ -70,11 +82,11 @@ def suffix_array(raw: bytes, depth: int) -> np.ndarray:
             z = fill[c] if a < fill[c] else starts[c] + sizes[c]
             here = out[a:z]
             before = here[here > 0] - 1
-            before = before[~direct[before]]
+            before = before[induced[before]]
             if len(before):
                 place(before)
             a = z
-    return out
+    return out[wanted[out]]
 
 
 def common_prefixes(raw: bytes, array: np.ndarray, depth: int) -> np.ndarray:
@@ -119,9 +131,7 @@ def shard_masks(contents: list[tuple[bytes, int, int]], window: int = WINDOW_BYT
     """
     raw = b"".join(body for body, _, _ in contents)
     ends = np.cumsum([len(body) for body, _, _ in contents], dtype=np.int64)
-    array = suffix_array(raw, window)
-    whole = np.repeat(ends, np.diff(ends, prepend=0))[array] - array >= window
-    array = array[whole]
+    array = suffix_array(raw, window, np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(raw)) >= window)
     same = common_prefixes(raw, array, window) >= window if len(array) else np.zeros(0, bool)
     same[same] = equal_bytes(raw, array[:-1][same[1:]], array[1:][same[1:]], window)
     twice = np.zeros(len(raw), bool)
