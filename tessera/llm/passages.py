@@ -5,9 +5,8 @@ wherever the window occurs.  Consecutive windows with one minimizer form a segme
 than windows, and equal windows always lie in segments with equal minimizers.  Then:
 
 * a minimizer that occurs once proves its windows unique;
-* a minimizer all of whose segments have one content proves them repeated;
-* the rest, contested segments, are compared by content.  Each distinct content travels once, to the shard of its
-  minimizer, and a shard has a bounded size.  A minimizer with too many distinct contents for a shard (a common
+* all others are compared by content.  Each distinct content travels once, with a note whether it has copies, to the
+  shard of its minimizer, and a shard has a bounded size.  A minimizer with too many distinct contents for a shard (a common
   line in ever different surroundings) has its windows divided by the place of the minimizer in them, in halves
   again and again: the windows of one part share a core; a part whose core occurs once is settled, and of equal
   parts one goes on for all.  Surroundings that differ so fall away in a few rows per content, in any number of tasks.
@@ -186,10 +185,10 @@ def release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
-_CONTENT = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("least", pa.int64()), ("copies", pa.int64()), ("shard", pa.int64()), ("hot", pa.bool_()), ("body", pa.binary())])
-CONTENT = "key long, content long, least long, copies long, shard long, hot boolean, body binary"
-_FOUND = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("runs", pa.binary())])
-FOUND = "key long, content long, runs binary"
+_CONTENT = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("least", pa.int64()), ("again", pa.bool_()), ("shard", pa.int64()), ("hot", pa.bool_()), ("body", pa.binary())])
+CONTENT = "key long, content long, least long, again boolean, shard long, hot boolean, body binary"
+_FOUND = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("runs", pa.binary()), ("later", pa.binary())])
+FOUND = "key long, content long, runs binary, later binary"
 
 
 def runs_of(mask: np.ndarray) -> bytes:
@@ -198,45 +197,38 @@ def runs_of(mask: np.ndarray) -> bytes:
     return np.stack([edge[::2], edge[1::2] - edge[::2]], 1).astype("<i4").tobytes()
 
 
-def repeated_windows(texts: DataFrame, kind: Kind, ordered: bool, shard: Callable[[list], list[np.ndarray]]) -> DataFrame:
+def repeated_windows(texts: DataFrame, kind: Kind, ordered: bool, shard: Callable[[list], list[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
     """(ord, sum, spans): per text the runs (first window, number of windows) of its repeated windows.
 
     ordered: only an occurrence in a text with a smaller ord counts, and the first text's own windows stay; else any
-    second occurrence counts.  shard gets one shard's contents, (body, least ord, copies) each, and returns for each
-    a mask of the windows that another content (with a smaller ord, if ordered) or itself at another place has.
+    second occurrence counts.  shard gets one shard's contents, (body, least ord, whether it has copies: with a larger ord, if
+    ordered) each, and returns for each two masks of the repeated windows: at its first place and at its copies'.
     """
     bounded_batches(texts.sparkSession)
     all_segments = written(segments(texts, kind), "segments")
 
-    stats = all_segments.groupBy("key").agg(F.min("content").alias("c1"), F.max("content").alias("c2"), F.min("ord").alias("o1"), F.max("ord").alias("o2"), F.count("*").alias("rows"), F.max("twice").alias("twice"))
-    if ordered:
-        stats = stats.filter("o1 < o2").select("key", (F.col("c1") != F.col("c2")).alias("contested"), "o1")
-    else:
-        stats = stats.filter("rows > 1 or twice").select("key", ((F.col("c1") != F.col("c2")) | F.col("twice")).alias("contested"), "o1")
+    stats = all_segments.groupBy("key").agg(F.min("ord").alias("o1"), F.max("ord").alias("o2"), F.count("*").alias("rows"), F.max("twice").alias("twice"))
+    stats = stats.filter("o1 < o2" if ordered else "rows > 1 or twice").select("key")
     # stored, so that the join has an exchange of its own on either side, which Spark can split for a hot minimizer
     stats = written(stats, "stats")
-    shared = written(all_segments.join(stats, "key").select("key", "content", "ord", "sum", "start", "n", "contested", "o1"), "shared")
+    shared = written(all_segments.join(stats, "key").select("key", "content", "ord", "sum", "start", "n"), "shared")
     discard(all_segments, stats)
     release(texts)
 
-    whole = shared.filter("not contested")
-    if ordered:
-        whole = whole.filter("ord > o1")
-
-    contested = shared.filter("contested").select("key", "content", "ord", "sum", "start", "n")
-    contents = written(contested.groupBy("key", "content").agg(F.min(F.struct("ord", "sum", "start", "n")).alias("at"), F.count("*").alias("copies")), "contents")
+    again = F.max("ord") > F.min("ord") if ordered else F.count("*") > 1
+    contents = written(shared.groupBy("key", "content").agg(F.min(F.struct("ord", "sum", "start", "n")).alias("at"), again.alias("again")), "contents")
     # stored, like all that is joined to rows of a hot minimizer, so that Spark can split the join
     many = written(contents.groupBy("key").agg(F.count("*").alias("contents")).filter(F.col("contents") > MOST_CONTENTS).select("key", F.lit(True).alias("hot")), "many")
-    size = contents.agg(F.sum(F.col("at.n") + kind.window)).first()[0] or 0
+    size = contents.agg(F.sum((F.col("at.n") + kind.window) * F.when(F.col("again"), 2).otherwise(1))).first()[0] or 0
     shards = max(1, size * (7 if kind.words else 1) // SHARD_BYTES)
-    placed = contents.join(many, "key", "left").select("at.*", "key", "content", "copies", F.coalesce("hot", F.lit(False)).alias("hot"), F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
-    by_text = placed.groupBy("ord", "sum").agg(F.collect_list(F.struct("key", "content", "start", "n", "copies", "shard", "hot")).alias("wanted"))
+    placed = contents.join(many, "key", "left").select("at.*", "key", "content", "again", F.coalesce("hot", F.lit(False)).alias("hot"), F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"))
+    by_text = placed.groupBy("ord", "sum").agg(F.collect_list(F.struct("key", "content", "start", "n", "again", "shard", "hot")).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for order, raw, wanted in zip(*(b.column(k).to_pylist() for k in ("ord", "text", "wanted"))):
                 x = kind.symbols(raw)
-                rows = [(w["key"], w["content"], order, w["copies"], w["shard"], w["hot"], kind.join(x[w["start"] : w["start"] + w["n"] + kind.window - 1])) for w in wanted]
+                rows = [(w["key"], w["content"], order, w["again"], w["shard"], w["hot"], kind.join(x[w["start"] : w["start"] + w["n"] + kind.window - 1])) for w in wanted]
                 for at in range(0, len(rows), 4096):
                     yield batch(_CONTENT, *zip(*rows[at : at + 4096]))
 
@@ -248,22 +240,23 @@ def repeated_windows(texts: DataFrame, kind: Kind, ordered: bool, shard: Callabl
         x = group.sort_by([("least", "ascending"), ("key", "ascending"), ("content", "ascending")])
         key, content = x["key"].to_numpy(), x["content"].to_numpy()
         x = x.filter(pa.array(np.r_[True, (key[1:] != key[:-1]) | (content[1:] != content[:-1])]))
-        masks = shard(list(zip(*(x[k].to_pylist() for k in ("body", "least", "copies")))))
-        return pa.Table.from_arrays([x["key"].combine_chunks(), x["content"].combine_chunks(), pa.array([runs_of(m) for m in masks], pa.binary())], schema=_FOUND)
+        runs, later = zip(*((runs_of(one), runs_of(other)) for one, other in shard(list(zip(*(x[k].to_pylist() for k in ("body", "least", "again")))))))
+        return pa.Table.from_arrays([x["key"].combine_chunks(), x["content"].combine_chunks(), pa.array(runs, pa.binary()), pa.array(later, pa.binary())], schema=_FOUND)
 
     # a task has TASK_SHARDS shards or so, however many there are
     tasks = max(2 * slots(texts.sparkSession), -(-shards // TASK_SHARDS))
-    in_shards = bodies.filter("not hot").select("shard", "key", "content", "least", "copies", "body").repartition(tasks, "shard").groupBy("shard").applyInArrow(in_shard, FOUND)
+    in_shards = bodies.filter("not hot").select("shard", "key", "content", "least", "again", "body").repartition(tasks, "shard").groupBy("shard").applyInArrow(in_shard, FOUND)
 
     hot, parts = divided(bodies.filter("hot").select("key", "content", "least", "body").dropDuplicates(["key", "content"]), kind, ordered)
     found = written(in_shards.union(hot), "found")
     release(texts)
 
-    verdicts = written(contents.select("key", "content", F.col("at.ord").alias("first"), "copies").join(found, ["key", "content"], "left"), "verdicts")
-    judged = contested.join(verdicts, ["key", "content"])
-    entire = (F.col("ord") > F.col("first")) if ordered else (F.col("copies") > 1)
-    # repeated rows of a text find the same spans, which count once
-    spans = whole.select("ord", "sum", "start", "n", F.lit(None).cast("binary").alias("runs")).union(judged.select("ord", "sum", "start", "n", F.when(~entire, F.coalesce("runs", F.lit(b""))).alias("runs")).filter("runs is null or length(runs) > 0"))
+    verdicts = written(contents.select("key", "content", F.col("at.ord").alias("first"), "again").join(found, ["key", "content"], "left"), "verdicts")
+    judged = shared.join(verdicts, ["key", "content"])
+    copy = F.col("ord") > F.col("first") if ordered else F.col("again")
+    # null runs are whole segments: copies of a hot minimizer's contents, which no shard has.  Repeated rows of a text find
+    # the same spans, which count once
+    spans = judged.select("ord", "sum", "start", "n", F.when(copy, F.col("later")).otherwise(F.coalesce("runs", F.lit(b""))).alias("runs")).filter("runs is null or length(runs) > 0")
     out = written(spans.groupBy("ord", "sum").agg(F.collect_set(F.struct("start", "n", "runs")).alias("spans")), "spans")
     discard(shared, contents, many, bodies, found, verdicts, *parts)
     return out
@@ -340,7 +333,7 @@ def divided(bodies: DataFrame, kind: Kind, ordered: bool) -> tuple[DataFrame, li
                 for x in places:
                     mask[x["low"] : x["high"]] = True
                 out.append(runs_of(mask))
-            yield batch(_FOUND, b.column("key"), b.column("content"), out)
+            yield batch(_FOUND, b.column("key"), b.column("content"), out, [None] * len(out))
 
     found = settled.groupBy("key", "content").agg(F.collect_list(F.struct("low", "high")).alias("places")).mapInArrow(packed, FOUND)
     return found, tables

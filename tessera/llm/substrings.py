@@ -99,15 +99,20 @@ class Automaton:
         return out
 
 
-def shard_masks(contents: list[tuple[bytes, int, int]], window: int = WINDOW_WORDS) -> list[np.ndarray]:
-    """For each (body, first document, copies), in ascending order of documents, its windows that an earlier document has."""
+def shard_masks(contents: list[tuple[bytes, int, bool]], window: int = WINDOW_WORDS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each (body, first document, whether later ones have it), in ascending order of documents, its windows that a
+    document before the first one has, and those that one before the next has."""
     number: dict[bytes, int] = {}
     texts = [[number.setdefault(w, len(number)) for w in body.split()] for body, _, _ in contents]
     automaton = Automaton()
     for text, (_, doc, _) in zip(texts, contents):
         automaton.add(text, doc)
     automaton.finish()
-    return [automaton.earlier(text, doc, window) for text, (_, doc, _) in zip(texts, contents)]
+    out = []
+    for text, (_, doc, again) in zip(texts, contents):
+        mask = automaton.earlier(text, doc, window)
+        out.append((mask, automaton.earlier(text, doc + 1, window) if again else mask))
+    return out
 
 
 def remove_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW_WORDS, gram: int = GRAM_WORDS, keep_text: bool = True) -> DataFrame:

@@ -124,19 +124,22 @@ def equal_bytes(raw: bytes, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarr
     return np.concatenate([(rows[a[k : k + 4096]] == rows[b[k : k + 4096]]).all(axis=1) for k in range(0, len(a), 4096)])
 
 
-def shard_masks(contents: list[tuple[bytes, int, int]], window: int = WINDOW_BYTES) -> list[np.ndarray]:
-    """For each (body, first document, copies) its windows that occur at another place of the shard.
+def shard_masks(contents: list[tuple[bytes, int, bool]], window: int = WINDOW_BYTES) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each (body, first document, whether it has copies) its windows that occur at another place, for itself and its copies.
 
-    Bodies are laid end to end; a window never reaches over the end of its body, so only places with a whole window count.
+    Bodies are laid end to end, those with copies twice; a window never reaches over the end of its body, so only places with a
+    whole window count.
     """
-    raw = b"".join(body for body, _, _ in contents)
-    ends = np.cumsum([len(body) for body, _, _ in contents], dtype=np.int64)
+    raw = b"".join(body * (1 + again) for body, _, again in contents)
+    ends = np.cumsum([len(body) for body, _, again in contents for _ in range(1 + again)], dtype=np.int64)
     array = suffix_array(raw, window, np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(raw)) >= window)
     same = common_prefixes(raw, array, window) >= window if len(array) else np.zeros(0, bool)
     same[same] = equal_bytes(raw, array[:-1][same[1:]], array[1:][same[1:]], window)
     twice = np.zeros(len(raw), bool)
     twice[array] = same | np.r_[same[1:], False]
-    return [twice[end - len(body) : end - window + 1] for (body, _, _), end in zip(contents, ends)]
+    last = ends[np.cumsum([1 + again for _, _, again in contents], dtype=np.int64) - 1]
+    masks = [twice[end - len(body) : end - window + 1] for (body, _, _), end in zip(contents, last)]
+    return list(zip(masks, masks))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW_BYTES, gram: int = GRAM_BYTES, keep_bytes: bool = True) -> DataFrame:

@@ -141,15 +141,26 @@ def test_suffix_array(raw, depth):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet="abc", max_size=25), max_size=6), st.integers(1, 6))
 def test_automaton(texts, window):
-    contents = [(" ".join(t).encode(), i // 2, 1) for i, t in enumerate(texts)]
-    for (_, doc, _), t, mask in zip(contents, texts, substrings.shard_masks(contents, window)):
+    contents = [(" ".join(t).encode(), i // 2, i % 2 == 0) for i, t in enumerate(texts)]
+    for (_, doc, again), t, (mask, later) in zip(contents, texts, substrings.shard_masks(contents, window)):
         want = [any(t[k : k + window] in u for u, (_, d, _) in zip(texts, contents) if d < doc) for k in range(len(t) - window + 1)]
         assert mask.tolist() == want
+        assert later.all() if again else later.tolist() == want
 
 
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet="ab", min_size=5, max_size=25).map(str.encode), max_size=5))
 def test_shard_of_suffixes(bodies):
-    times = Counter(b[k : k + 5] for b in bodies for k in range(len(b) - 4))
-    for b, mask in zip(bodies, suffixes.shard_masks([(b, 0, 1) for b in bodies], 5)):
-        assert mask.tolist() == [times[b[k : k + 5]] > 1 for k in range(len(b) - 4)]
+    contents = [(b, 0, k % 3 == 2) for k, b in enumerate(bodies)]
+    times = Counter(b[k : k + 5] for b, _, again in contents for k in range(len(b) - 4) for _ in range(1 + again))
+    for b, (mask, later) in zip(bodies, suffixes.shard_masks(contents, 5)):
+        assert mask.tolist() == later.tolist() == [times[b[k : k + 5]] > 1 for k in range(len(b) - 4)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(b"ab"), st.booleans()), max_size=60), st.integers(1, 80))
+def test_suffix_array_of_wanted_starts(places, depth):
+    raw, wanted = bytes(b for b, _ in places), np.array([w for _, w in places], bool)
+    got = suffixes.suffix_array(raw, depth, wanted).tolist()
+    assert sorted(got) == np.flatnonzero(wanted).tolist()
+    assert [raw[i : i + depth] for i in got] == sorted(raw[i : i + depth] for i in got)
