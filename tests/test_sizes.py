@@ -1,5 +1,11 @@
 """What larger tables showed: many tasks, tasks without rows, files of many row groups, executors of their own."""
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
+import pyspark
 import pytest
 
 from tessera.operators.redact import Redaction
@@ -34,3 +40,25 @@ def test_the_codec_of_files_of_which_the_first_is_empty(spark, tmp_path):
     assert r.rows_by_file()[0] == 0 and (r.codec, r.blooms) == ("zstd", ["name"])
     Redaction().where(id=150).delete().run(spark, r, str(tmp_path / "out"))
     assert {x.codec for x in Inspector(spark, str(tmp_path / "out")).chunks().select("codec").collect()} == {"ZSTD"}
+
+
+def test_a_shipped_table_is_open_to_other_processes(spark, tmp_path):
+    """An executor of its own reads it, beside the driver."""
+    script = tmp_path / "run.py"
+    script.write_text(
+        "from pyspark.sql import SparkSession\n"
+        "from tessera.plans import edges, registry\n"
+        f"s = SparkSession.builder.master('local-cluster[2,1,900]').config('spark.executor.memory', '900m').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', 'file://{tmp_path}/shared').getOrCreate()\n"
+        "for _ in range(2):\n"
+        "    df = registry.QUERIES['relational_table'](s, '/root/testdata/sf0.001')\n"
+        "    print(df.rdd.getNumPartitions(), len(set(df.collect())))\n"
+        "s.stop()\n"
+    )
+    home = tmp_path / "home"  # executors work in a folder of Spark's home
+    (home / "work").mkdir(parents=True)
+    for p in Path(pyspark.__file__).parent.iterdir():
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    env = {k: v for k, v in os.environ.items() if not k.startswith("PYSPARK_GATEWAY")} | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYSPARK_PYTHON": sys.executable}
+    done = subprocess.run([sys.executable, str(script)], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.stdout.split() == ["3", "25", "3", "25"], done.stderr[-2000:]
