@@ -9,6 +9,7 @@ import pyspark
 import pytest
 
 from tessera.operators.redact import Redaction
+from tessera.plans import registry
 from tessera.sources import keys as K
 from tessera.sources.inspect import Inspector
 from tessera.sources.reader import Reader
@@ -62,3 +63,9 @@ def test_a_shipped_table_is_open_to_other_processes(spark, tmp_path):
     env = {k: v for k, v in os.environ.items() if not k.startswith("PYSPARK_GATEWAY")} | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYSPARK_PYTHON": sys.executable}
     done = subprocess.run([sys.executable, str(script)], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert done.stdout.split() == ["3", "25", "3", "25"], done.stderr[-2000:]
+
+
+def test_zeros_and_values_just_above_the_bound_match(spark, tmp_path):
+    values = [0.0, -0.0, 7.0, 14.0, 90.0, 90.00000001, 91.0, 92.5, None]
+    spark.createDataFrame(list(enumerate(values)), "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    assert sorted(r.event_id for r in registry.QUERIES["where_float_nan_guard"](spark, str(tmp_path)).collect()) == [0, 1, 5, 7]
