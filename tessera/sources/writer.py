@@ -202,9 +202,10 @@ def write_frame(df: DataFrame, path: str, schema: Schema | None = None, options:
     distinct = None
     bloom = options.bloom_filters
     auto = [] if not bloom else [p for p, t in leaf_paths(schema) if "." not in p and t.kind != "boolean"] if bloom is True else [p for p in bloom if "." not in p and not (isinstance(bloom, dict) and bloom[p].get("ndv"))]
-    if auto:  # a filter is sized by the distinct values that there are
+    if auto:  # a filter is sized by the distinct values that there are, of which a row group has no more than rows
         found = df.agg(*(F.approx_count_distinct(F.col(f"`{p}`")).alias(p) for p in auto if p in types)).first()
-        distinct = {p: max(1, found[p]) for p in auto if p in types}
+        most = options.row_group_rows or 1 << 62
+        distinct = {p: min(most, max(1, found[p])) for p in auto if p in types}
     counted = Observation()
     shaped = df.select(out)
     if files:

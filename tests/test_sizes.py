@@ -9,7 +9,7 @@ import pyspark
 import pytest
 
 from tessera.operators.redact import Redaction
-from tessera.plans import registry
+from tessera.plans import edges, registry
 from tessera.sources import keys as K
 from tessera.sources.inspect import Inspector
 from tessera.sources.reader import Reader
@@ -69,3 +69,14 @@ def test_zeros_and_values_just_above_the_bound_match(spark, tmp_path):
     values = [0.0, -0.0, 7.0, 14.0, 90.0, 90.00000001, 91.0, 92.5, None]
     spark.createDataFrame(list(enumerate(values)), "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
     assert sorted(r.event_id for r in registry.QUERIES["where_float_nan_guard"](spark, str(tmp_path)).collect()) == [0, 1, 5, 7]
+
+
+def test_a_bloom_filter_is_sized_by_its_row_group(spark, tmp_path):
+    """Filters of all distinct values in every row group are held together until their file ends."""
+    for name, rows in (("many", 100), ("one", None)):
+        write_frame(spark.range(0, 20_000, 1, 1).selectExpr("id"), str(tmp_path / name), options=Options(bloom_filters=["id"], row_group_rows=rows))
+    size = {name: sum(p.stat().st_size for p in (tmp_path / name).glob("*.parquet")) for name in ("many", "one")}
+    r = Reader(spark, str(tmp_path / "many"))
+    assert len(r.row_groups) == 200 and size["many"] < 5 * size["one"]
+    asked = r.bloom_filter(3, "id")
+    assert all(asked(n) for n in range(300, 400)) and sum(asked(n) for n in range(1000, 2000)) < 100
