@@ -8,6 +8,7 @@ from pathlib import Path
 import pyspark
 import pytest
 
+from tessera.operators.filters import between
 from tessera.operators.redact import Redaction
 from tessera.plans import edges, registry
 from tessera.sources import keys as K
@@ -80,3 +81,15 @@ def test_a_bloom_filter_is_sized_by_its_row_group(spark, tmp_path):
     assert len(r.row_groups) == 200 and size["many"] < 5 * size["one"]
     asked = r.bloom_filter(3, "id")
     assert all(asked(n) for n in range(300, 400)) and sum(asked(n) for n in range(1000, 2000)) < 100
+
+
+def test_rows_in_a_zone_are_shown_by_tasks(spark, tmp_path, monkeypatch):
+    df = spark.range(3000).selectExpr("id", "timestamp_seconds(id * 3600) at", "cast(timestamp_seconds(id) as timestamp_ntz) local", "if(id % 2 = 0, null, array(id)) more")
+    write_frame(df, str(tmp_path / "x"))
+    r = Reader(spark, str(tmp_path / "x"), "+05:30")
+    shown = lambda x: (x["id"], str(x["at"]), str(x["local"]), x["more"])
+    want = sorted(map(shown, r.each_row(where={"id": between(10, 2500)})))
+    monkeypatch.setattr(Reader, "tables", None)  # which bring rows to the driver
+    found = r.map_rows(shown, "id long, at string, local string, more array<long>", where={"id": between(10, 2500)})
+    assert sorted(map(tuple, found.collect())) == want and len(want) == 2491
+    assert registry.QUERIES["rows_in_a_time_zone"](spark, "/root/testdata/sf0.001").count() > 0
