@@ -1,30 +1,33 @@
 """Inspection: what files hold, as DataFrames of files, row groups, chunks and pages, with totals and reports.
 
-Footers are read by the executors, a task for some files each, so that a dataset of many files is inspected in
-parallel; only a page listing is read on the driver, file by file.
+Footers, page indexes and page headers are read by the executors, a task for some files each, so that a dataset of many
+files is inspected in parallel; what they list comes in batches of BATCH_ROWS rows.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, islice
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import to_dict
-from .footer import files_of, opened
-from .thrift import Decoder
+from ..schema import Type, to_dict, type_of
+from .footer import decode, files_of, opened, raw_value
+from .thrift import ROW_GROUPS, Decoder
 
 CHUNKS = "file string, row_group int, column string, physical string, logical string, codec string, encodings array<string>, values long, nulls long, compressed long, uncompressed long, data_offset long, dictionary_offset long, low string, high string, has_index boolean, rows long, created_by string"
 HEADERS = "file string, row_group int, column string, page int, kind string, offset long, header int, compressed int, uncompressed int, values int, encoding string, checksum string"
 #: Names of the format's page types and encodings (fixed values).
 PAGE_KINDS = {0: "data", 1: "index", 2: "dictionary", 3: "data v2"}
 PAGE_ENCODINGS = {0: "PLAIN", 2: "PLAIN_DICTIONARY", 3: "RLE", 4: "BIT_PACKED", 5: "DELTA_BINARY_PACKED", 6: "DELTA_LENGTH_BYTE_ARRAY", 7: "DELTA_BYTE_ARRAY", 8: "RLE_DICTIONARY", 9: "BYTE_STREAM_SPLIT"}
+BATCH_ROWS = 10_000
 PAGES = "file string, row_group int, column string, page int, first_row long, rows long, offset long, size long, nulls long, low string, high string"
 
 
@@ -32,6 +35,92 @@ def _shown(v: Any) -> str | None:
     return None if v is None else v.hex() if isinstance(v, bytes) else str(v)
 
 
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    rows = iter(rows)
+    while part := list(islice(rows, BATCH_ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*part), schema)], schema=schema)
+
+
+def _file(path: str):
+    """An open file, for the executors."""
+    import pyarrow.fs
+
+    fs, name = pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return fs.open_input_file(name)
+
+
+def leaf_of(c) -> Type:
+    """The type of a leaf of Arrow's Parquet schema, as footer.Footer has it."""
+    note = json.loads(c.logical_type.to_json())
+    name = note["Type"]
+    if name == "Int":
+        return Type("int", bits=note["bitWidth"], signed=note["isSigned"])
+    if name == "Decimal":
+        return Type("decimal", precision=note["precision"], scale=note["scale"])
+    if name in ("Timestamp", "Time"):
+        return Type(name.lower(), unit=note["timeUnit"].replace("seconds", "s"), utc=note["isAdjustedToUTC"])
+    if name == "Float16":
+        return Type("float", bits=16)
+    if name in ("String", "Enum", "JSON", "BSON", "Date", "UUID"):
+        return Type(name.lower())
+    if name not in ("None", "Undefined") or c.converted_type == "INTERVAL":
+        return Type("other", name=name.lower())
+    if c.physical_type == "FIXED_LEN_BYTE_ARRAY":
+        return Type("fixed", length=c.length)
+    return type_of({"INT32": "int32", "INT64": "int64", "FLOAT": "float", "DOUBLE": "double", "BOOLEAN": "boolean", "INT96": "int96", "BYTE_ARRAY": "binary"}[c.physical_type])
+
+
+def _listed(path: str) -> Iterator[tuple]:
+    """The pages in a file's page index, a row of PAGES each."""
+    import pyarrow.parquet as pq
+
+    with _file(path) as f:
+        schema = pq.read_metadata(f).schema
+        leaves = [schema.column(k) for k in range(len(schema))]
+        types = [leaf_of(c) for c in leaves]
+        size = f.size()
+        f.seek(size - 8)
+        length = int.from_bytes(f.read(4), "little")
+        f.seek(size - 8 - length)
+        for g, group in enumerate(Decoder(f.read(length)).record()[ROW_GROUPS][1][1]):
+            rows = group[3][1]
+            for chunk, leaf, t in zip(group[1][1][1], leaves, types):
+                try:
+                    found = _pages_of(f, chunk, rows, leaf, t)
+                except (ValueError, IndexError, KeyError, TypeError, OSError, struct.error):  # a damaged index lists nothing
+                    continue
+                for k, page in enumerate(found):
+                    yield path, g, leaf.path, k, *page
+
+
+def _pages_of(f, chunk: dict, rows: int, leaf, t: Type) -> list[tuple]:
+    """(first row, rows, offset, size, nulls, low, high) of the pages of a chunk."""
+    if 4 not in chunk:
+        return []
+
+    def record(at: int, size: int) -> dict:
+        f.seek(chunk[at][1])
+        return Decoder(f.read(chunk[size][1])).record()
+
+    places = record(4, 5)[1][1][1]
+    index = record(6, 7) if 6 in chunk and leaf.physical_type != "INT96" else None  # INT96 has no order, and so no bounds
+    kind = leaf.physical_type
+    shown = lambda raw: _shown(decode(raw_value(kind, raw), t))
+    out = []
+    for k, place in enumerate(places):
+        first = place[3][1]
+        n = (places[k + 1][3][1] if k + 1 < len(places) else rows) - first
+        stats = (None, None, None)
+        if index is not None:
+            if index[1][1][1][k]:
+                stats = (n, None, None)
+            else:
+                nulls = index[5][1][1][k] if 5 in index else None
+                stats = (nulls, shown(index[2][1][1][k]), shown(index[3][1][1][k]))
+        out.append((first, n, place[1][1], place[2][1], *stats))
+    return out
+
+
 def _bounds(s) -> tuple[Any, Any]:
     """Least and greatest value of a chunk; unknown for kinds that have no order (INT96)."""
     try:
@@ -52,24 +141,23 @@ class Inspector:
         paths = self._per_file()
         schema = pa.schema([("file", pa.string()), ("row_group", pa.int32()), ("column", pa.string()), ("physical", pa.string()), ("logical", pa.string()), ("codec", pa.string()), ("encodings", pa.list_(pa.string())), ("values", pa.int64()), ("nulls", pa.int64()), ("compressed", pa.int64()), ("uncompressed", pa.int64()), ("data_offset", pa.int64()), ("dictionary_offset", pa.int64()), ("low", pa.string()), ("high", pa.string()), ("has_index", pa.bool_()), ("rows", pa.int64()), ("created_by", pa.string())])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import pyarrow.fs
+        def walk(path: str) -> Iterator[tuple]:
             import pyarrow.parquet as pq
 
+            with _file(path) as f:
+                meta = pq.read_metadata(f)
+                for g in range(meta.num_row_groups):
+                    group = meta.row_group(g)
+                    for k in range(group.num_columns):
+                        c = group.column(k)
+                        s = c.statistics if c.is_stats_set else None
+                        low, high = _bounds(s)
+                        yield (path, g, c.path_in_schema, c.physical_type, str(meta.schema.column(k).logical_type), c.compression, list(c.encodings), c.num_values, s.null_count if s is not None and s.has_null_count else None, c.total_compressed_size, c.total_uncompressed_size, c.data_page_offset, c.dictionary_page_offset, _shown(low), _shown(high), c.has_offset_index, group.num_rows, meta.created_by)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = []
                 for path in b.column(0).to_pylist():
-                    fs, name = pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-                    meta = pq.read_metadata(name, filesystem=fs)
-                    for g in range(meta.num_row_groups):
-                        group = meta.row_group(g)
-                        for k in range(group.num_columns):
-                            c = group.column(k)
-                            s = c.statistics if c.is_stats_set else None
-                            low, high = _bounds(s)
-                            rows.append((path, g, c.path_in_schema, c.physical_type, str(meta.schema.column(k).logical_type), c.compression, list(c.encodings), c.num_values, s.null_count if s is not None and s.has_null_count else None, c.total_compressed_size, c.total_uncompressed_size, c.data_page_offset, c.dictionary_page_offset, _shown(low), _shown(high), c.has_offset_index, group.num_rows, meta.created_by))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+                    yield from _batches(walk(path), schema)
 
         self._chunks = paths.mapInArrow(run, CHUNKS)
         return self._chunks
@@ -109,15 +197,30 @@ class Inspector:
 
     def pages(self) -> DataFrame:
         """A row for each page that a page index lists."""
-        rows = []
-        for path in self.files:
-            with opened(self.spark, path) as f:
-                for g in range(len(f.blocks)):
-                    for column in f.leaves:
-                        for k, p in enumerate(f.pages(g, column) or ()):
-                            s = p.stats
-                            rows.append((path, g, column, k, p.first_row, p.rows, p.offset, p.size, s.nulls if s else None, _shown(s.low) if s else None, _shown(s.high) if s else None))
-        return self.spark.createDataFrame(rows, PAGES)
+        schema = pa.schema([("file", pa.string()), ("row_group", pa.int32()), ("column", pa.string()), ("page", pa.int32()), ("first_row", pa.int64()), ("rows", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("nulls", pa.int64()), ("low", pa.string()), ("high", pa.string())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for path in b.column(0).to_pylist():
+                    yield from _batches(_listed(path), schema)
+
+        return self._per_file().mapInArrow(run, PAGES)
+
+    def numbered(self, listed: DataFrame) -> DataFrame:
+        """listed, with row groups counted over all files in their order, as Reader counts them."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import pyarrow.parquet as pq
+
+            for b in batches:
+                for path in b.column(0).to_pylist():
+                    with _file(path) as f:
+                        yield pa.RecordBatch.from_pydict({"file": [path], "n": [pq.read_metadata(f).num_row_groups]})
+
+        groups = {r.file: r.n for r in self._per_file().mapInArrow(run, "file string, n long").toLocalIterator()}
+        before = accumulate((groups[f] for f in self.files), initial=0)
+        first = self.spark.createDataFrame(list(zip(self.files, before)), "file string, before long")
+        return listed.join(F.broadcast(first), "file").withColumn("row_group", F.col("row_group") + F.col("before")).drop("before")
 
     def mismatches(self) -> list[str]:
         """Where a page index contradicts its chunk: rows that don't add up, bounds beyond the chunk's."""
@@ -162,11 +265,9 @@ class Inspector:
         schema = pa.schema([("file", pa.string()), ("row_group", pa.int32()), ("column", pa.string()), ("page", pa.int32()), ("kind", pa.string()), ("offset", pa.int64()), ("header", pa.int32()), ("compressed", pa.int32()), ("uncompressed", pa.int32()), ("values", pa.int32()), ("encoding", pa.string()), ("checksum", pa.string())])
 
         def walk(path: str) -> Iterator[tuple]:
-            import pyarrow.fs
             import pyarrow.parquet as pq
 
-            fs, name = pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-            with fs.open_input_file(name) as f:
+            with _file(path) as f:
                 meta = pq.read_metadata(f)
                 for g in range(meta.num_row_groups):
                     for k in range(meta.row_group(g).num_columns):
@@ -192,11 +293,10 @@ class Inspector:
             for b in batches:
                 for path in b.column(0).to_pylist():
                     try:
-                        rows = list(walk(path))
+                        found = list(_batches(walk(path), schema))  # whether a file can be walked shows at its end
                     except (ValueError, IndexError, OSError, KeyError):
-                        rows = [(path, None, None, None, "unreadable", *[None] * 7)]
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+                        found = list(_batches(iter([(path, None, None, None, "unreadable", *[None] * 7)]), schema))
+                    yield from found
 
         return self._per_file().mapInArrow(run, HEADERS)
 
@@ -228,7 +328,7 @@ class Inspector:
         out = {"path": self.path, "schema": schema, "metadata": metadata}
         tables = {"files": self.summary().orderBy("file"), "row_groups": self.row_groups().orderBy("file", "row_group"), "columns": self.columns().orderBy("column"), "chunks": self.chunks().orderBy("file", "row_group", "data_offset")}
         if pages:
-            tables["pages"] = self.pages()
+            tables["pages"] = self.pages().orderBy("file", "row_group", "offset")
         if verify:
             tables["checksums"] = self.checksums()
         return out | {k: [r.asDict(recursive=True) for r in t.collect()] for k, t in tables.items()}

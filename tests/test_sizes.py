@@ -5,14 +5,17 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pyspark
 import pytest
 
 from tessera.operators.filters import between
 from tessera.operators.redact import Redaction
 from tessera.plans import edges, registry
+from tessera.sources import inspect
 from tessera.sources import keys as K
-from tessera.sources.inspect import Inspector
+from tessera.sources.footer import opened
+from tessera.sources.inspect import Inspector, _shown, leaf_of
 from tessera.sources.reader import Reader
 from tessera.sources.writer import Options, write_frame
 
@@ -93,3 +96,23 @@ def test_rows_in_a_zone_are_shown_by_tasks(spark, tmp_path, monkeypatch):
     found = r.map_rows(shown, "id long, at string, local string, more array<long>", where={"id": between(10, 2500)})
     assert sorted(map(tuple, found.collect())) == want and len(want) == 2491
     assert registry.QUERIES["rows_in_a_time_zone"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_pages_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """As the driver's own reading of the page index has them, for all types."""
+    df = spark.range(2000).selectExpr(
+        "id", "cast(id as int) i", "cast(id % 100 as byte) b", "id / 7 x", "cast(id as float) f", "id % 3 = 0 flag", "concat('é', id) text", "cast(cast(id as string) as binary) raw", "date_add(date'2020-01-01', cast(id as int)) day", "timestamp_seconds(id) at", "cast(timestamp_seconds(id) as timestamp_ntz) local",
+        "cast(id as decimal(9, 2)) d9", "cast(id as decimal(18, 2)) d18", "cast(id as decimal(30, 5)) d30", "if(id < 500, null, id) late", "array(id, null) list", "named_struct('a', id, 'b', null) s", "map(id, 'x') m", "cast(null as string) none",
+    )
+    write_frame(df, str(tmp_path / "x"), options=Options(page_rows=100, row_group_rows=700))
+    i, want = Inspector(spark, str(tmp_path / "x")), []
+    for path in i.files:
+        with opened(spark, path) as f:
+            arrow = pq.read_metadata(path.removeprefix("file:")).schema
+            assert [leaf_of(arrow.column(k)) for k in range(len(arrow))] == [f.leaf_type(x) for x in f.leaves]
+            for g in range(len(f.blocks)):
+                for column in f.leaves:
+                    want += [(path, g, column, k, p.first_row, p.rows, p.offset, p.size, p.stats and p.stats.nulls, p.stats and _shown(p.stats.low), p.stats and _shown(p.stats.high)) for k, p in enumerate(f.pages(g, column))]
+    monkeypatch.setattr(inspect, "opened", None)  # which opens footers on the driver
+    found = list(map(tuple, i.pages().collect()))
+    assert sorted(found, key=str) == sorted(want, key=str) and len(want) == 21 * 20
