@@ -14,7 +14,7 @@ from tessera.operators.redact import Redaction
 from tessera.plans import edges, registry
 from tessera.sources import inspect
 from tessera.sources import keys as K
-from tessera.sources.footer import opened
+from tessera.sources.footer import copy_changed, opened
 from tessera.sources.inspect import Inspector, _shown, leaf_of
 from tessera.sources.reader import Reader
 from tessera.sources.writer import Options, write_frame
@@ -116,3 +116,10 @@ def test_pages_are_listed_by_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(inspect, "opened", None)  # which opens footers on the driver
     found = list(map(tuple, i.pages().collect()))
     assert sorted(found, key=str) == sorted(want, key=str) and len(want) == 21 * 20
+
+
+def test_one_byte_is_changed_in_a_copy(spark, tmp_path):
+    raw = bytes(range(256)) * 40
+    (tmp_path / "a").write_bytes(raw)
+    copy_changed(spark, f"file:{tmp_path}/a", f"file:{tmp_path}/in/b", 9000)
+    assert (tmp_path / "in" / "b").read_bytes() == raw[:9000] + bytes([raw[9000] ^ 255]) + raw[9001:]
