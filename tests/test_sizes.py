@@ -5,6 +5,7 @@ import subprocess
 import sys
 from pathlib import Path
 
+import duckdb
 import pyarrow.parquet as pq
 import pyspark
 import pytest
@@ -19,6 +20,8 @@ from tessera.sources.inspect import Inspector, _shown, leaf_of
 from tessera.sources.reader import Reader
 from tessera.sources.writer import Options, write_frame
 
+from .test_queries import D, normal
+
 
 def late(spark, n=400):
     """Rows of which the first task has none, so that the first file has no row group."""
@@ -123,3 +126,17 @@ def test_one_byte_is_changed_in_a_copy(spark, tmp_path):
     (tmp_path / "a").write_bytes(raw)
     copy_changed(spark, f"file:{tmp_path}/a", f"file:{tmp_path}/in/b", 9000)
     assert (tmp_path / "in" / "b").read_bytes() == raw[:9000] + bytes([raw[9000] ^ 255]) + raw[9001:]
+
+
+@pytest.mark.parametrize("name", ["batches_with_offset_and_limit", "inspect_page_headers", "inspect_checksum_tally", "inspect_pages", "scan_bloom_filter", "scan_page_index", "scan_plan_prunes", "scan_row_groups", "sink_statistics", "batches_are_full"])
+def test_row_groups_of_many_files(spark, monkeypatch, name):
+    """No task sorts more than a few files' rows, and row groups are counted over all files."""
+    monkeypatch.setattr(edges, "FILE_GROUPS", 2)
+    r = Reader(spark, edges._grouped(spark, D))
+    assert len(r.files) >= 5 and max(r.rows_by_file()) <= 4000 and r.num_rows == 15_000 and set(r.row_groups) == {1000}
+    assert [x["o_orderkey"] for x in r.rows(columns=["o_orderkey"])] == list(range(15_000))
+    df = registry.QUERIES[name](spark, D)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{D}/orders.parquet'")
+    found = con.execute(registry.SQL[name])
+    assert normal(df.collect(), df.columns) == normal(found.fetchall(), [x[0] for x in found.description])
