@@ -6,7 +6,8 @@ import datetime
 import decimal
 import re
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 from itertools import chain, islice
 from typing import Any
 
@@ -17,13 +18,16 @@ from pyspark.sql import types as T
 from ..errors import EncodeError, MissingCodecError, SchemaMismatch, UnsupportedError
 from ..functions import coerce
 from ..schema import Builder, Field, Schema, Type, infer
-from .footer import files_of
+from .footer import COPIES, below, files_of, folder_of
 from .keys import install, write_options
 from .notes import add_notes
+from .storage import scratch
 
 INFERENCE_ROWS = 1000
 #: Rows that go to Spark at once from Python.
 CHUNK_ROWS = 50_000
+#: Rows of a range that one task sorts, and folders into which one task writes at once before it sorts rows by folder.
+RANGE_ROWS, OPEN_FILES = 500_000, 32
 CODECS = {"none": "uncompressed", "uncompressed": "uncompressed", "snappy": "snappy", "gzip": "gzip", "lz4": "lz4_raw", "lz4_raw": "lz4_raw", "lz4_hadoop": "lz4", "zstd": "zstd", "brotli": "brotli"}
 #: Levels that a codec takes (fixed values).
 LEVELS = {"zstd": (-131072, 22), "gzip": (0, 9), "brotli": (0, 11)}
@@ -222,8 +226,11 @@ def write_frame(df: DataFrame, path: str, schema: Schema | None = None, options:
         secret = write_options(options.encryption)
     sorting_places(schema, options.sorting, partition_by or [])
     there = set() if fresh or not (options.metadata or options.sorting) else set(files_of(spark, path))
-    before = conf.get("spark.sql.parquet.outputTimestampType")
-    conf.set("spark.sql.parquet.outputTimestampType", timestamp_form(schema))
+    # with a few folders' files open at once a task needn't sort its rows by folder, and keeps their order
+    own = {"spark.sql.parquet.outputTimestampType": timestamp_form(schema), "spark.sql.maxConcurrentOutputFileWriters": str(OPEN_FILES)}
+    before = {k: conf.get(k) for k in own}
+    for k, v in own.items():
+        conf.set(k, v)
     try:
         shaped.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode(mode).options(**options.spark_options(schema, distinct), **secret).partitionBy(*(partition_by or [])).parquet(path)
     except Exception as e:
@@ -235,12 +242,47 @@ def write_frame(df: DataFrame, path: str, schema: Schema | None = None, options:
             raise EncodeError(m[1].split("SQLSTATE")[0].strip()) from e
         raise
     finally:
-        conf.set("spark.sql.parquet.outputTimestampType", before)
+        for k, v in before.items():
+            conf.set(k, v)
     if options.metadata or options.sorting:
         add_notes(spark, [f for f in files_of(spark, path) if f not in there], options.metadata, sorting_places(schema, options.sorting, partition_by or []))
     return counted.get["rows"]
 
 
+def write_sorted(df: DataFrame, path: str, by: list[str], rows: int, options: Options | None = None, partition_by: list[str] | None = None) -> None:
+    """Writes one file for each folder of partition_by (one in all without), its rows in the order of by, whatever its size.
+
+    Ranges of about RANGE_ROWS of the rows are sorted and written by a task each; then their row groups are appended, byte for byte.
+    All files have one base name.  The output appears as a whole or not at all.
+    """
+    from ..operators.combine import merge_files
+
+    options, spark, keys = options or Options(), df.sparkSession, [*(partition_by or []), *by]
+    parts, hadoop = scratch(spark, "ranges"), spark._jsc.hadoopConfiguration()
+    target, between = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, parts))
+    if target.getFileSystem(hadoop).exists(target):
+        raise ValueError(f"{path} exists")
+    sorting_places(Schema.from_spark(df.schema), options.sorting, partition_by or [])
+    ranges = df.repartitionByRange(max(1, -(-rows // RANGE_ROWS)), *keys).sortWithinPartitions(*keys)
+    write_frame(ranges, parts, options=replace(options, metadata=None, sorting=None), partition_by=partition_by)
+    folder, folders = folder_of(spark, parts), {}
+    for f in files_of(spark, parts):
+        folders.setdefault(below(f, folder).rpartition("/")[0], []).append(f)
+    made = {"/".join(x for x in (path.rstrip("/"), name, "part-00000.parquet") if x): inputs for name, inputs in folders.items()}
+    try:
+        target.getFileSystem(hadoop).mkdirs(target)
+        with ThreadPoolExecutor(COPIES) as pool:
+            for _ in pool.map(lambda x: merge_files(spark, x[1], x[0]), made.items()):
+                pass
+        if options.metadata or options.sorting:
+            add_notes(spark, files_of(spark, path), options.metadata, sorting_places(Schema.from_spark(df.schema), options.sorting, partition_by or []))
+    except BaseException:
+        target.getFileSystem(hadoop).delete(target, True)
+        raise
+    finally:
+        between.getFileSystem(hadoop).delete(between, True)
+
+
 def sorting_places(schema: Schema, sorting: list | None, partition_by: list[str]) -> list[tuple[int, bool, bool]]:
     """Sorting columns by the places of their leaves in a file."""
     leaves = [p for p, _ in leaf_paths(schema) if p not in partition_by]

@@ -10,15 +10,17 @@ import pyarrow.parquet as pq
 import pyspark
 import pytest
 
+from tessera.operators import combine
 from tessera.operators.filters import between
 from tessera.operators.redact import Redaction
 from tessera.plans import edges, registry
-from tessera.sources import inspect
+from tessera.sources import inspect, writer
 from tessera.sources import keys as K
-from tessera.sources.footer import copy_changed, opened
+from tessera.sources.footer import below, copy_changed, opened
 from tessera.sources.inspect import Inspector, _shown, leaf_of
+from tessera.sources.notes import sorting_of
 from tessera.sources.reader import Reader
-from tessera.sources.writer import Options, write_frame
+from tessera.sources.writer import Options, write_frame, write_sorted
 
 from .test_queries import D, normal
 
@@ -140,3 +142,31 @@ def test_row_groups_of_many_files(spark, monkeypatch, name):
     con.execute(f"CREATE VIEW orders AS SELECT * FROM '{D}/orders.parquet'")
     found = con.execute(registry.SQL[name])
     assert normal(df.collect(), df.columns) == normal(found.fetchall(), [x[0] for x in found.description])
+
+
+def test_sorted_files_are_written_by_ranges(spark, tmp_path, monkeypatch):
+    """One file for each folder, under one name, though no task sorts more than a range."""
+    monkeypatch.setattr(writer, "RANGE_ROWS", 1000)
+    sizes, whole = [], combine.merge_files
+    monkeypatch.setattr(combine, "merge_files", lambda s, inputs, target: (sizes.extend(one for x in inputs for one in Reader(s, x).rows_by_file()), whole(s, inputs, target)))
+    df = spark.range(10_000).selectExpr("(id * 7919) % 10000 id", "id % 3 part", "cast(id as string) text")
+    write_sorted(df, str(tmp_path / "x"), ["id"], 10_000, Options(metadata={"owner": "us"}, sorting=["id"]), ["part"])
+    r = Reader(spark, str(tmp_path / "x"))
+    assert [below(f, r.folder) for f in r.files] == [f"part={k}/part-00000.parquet" for k in range(3)]
+    assert len(sizes) >= 8 and max(sizes) <= 2500 and sum(sizes) == 10_000
+    for f in r.files:
+        ids = [x["id"] for x in Reader(spark, f).rows()]
+        assert ids == sorted(ids) and Reader(spark, f).metadata["owner"] == "us" and sorting_of(spark, f) == [("id", False, True)]
+    assert sorted(map(tuple, r.read(columns=["id", "part", "text"]).collect())) == sorted(map(tuple, df.collect()))
+    with pytest.raises(ValueError, match="exists"):
+        write_sorted(df, str(tmp_path / "x"), ["id"], 10_000)
+
+
+@pytest.mark.parametrize("name", ["redact_partitioned", "redact_partitioned_copies", "redact_tiers", "scan_offset_partitioned", "scan_partition_columns", "redact_keeps_metadata_and_sorting"])
+def test_sorted_files_of_many_ranges(spark, monkeypatch, name):
+    monkeypatch.setattr(writer, "RANGE_ROWS", 1000)
+    df = registry.QUERIES[name](spark, D)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{D}/orders.parquet'")
+    found = con.execute(registry.SQL[name])
+    assert normal(df.collect(), df.columns) == normal(found.fetchall(), [x[0] for x in found.description])
