@@ -234,7 +234,7 @@ class Redaction:
             copy_files(spark, copied)
             files["copied"], totals[0] = len(copied), sum(counts[p] for p in copied)
             rest = [p for p in reader.files if p in touched]
-            # rows keep their order within a file, so files with sorting columns are rewritten one by one
+            # rows keep their order within a file, so files with sorting columns are rewritten one by one, into one file each
             changed = [*self.drops, *(p for s in self.statements for p in s.values)]
             sorted_by = {p: self._kept_sorting(sorting_of(spark, p), changed) for p in rest if not reader.encrypted}
             for part in [[p] for p in rest if sorted_by.get(p)] + [[p for p in rest if not sorted_by.get(p)]]:
@@ -245,7 +245,7 @@ class Redaction:
                 kept = _dropped(marked.filter(~F.col(DELETED)).drop(DELETED, CHANGED), reader.schema, self.drops)
                 notes = {} if options.encryption else kept_metadata(reader.metadata, after == reader.schema) | (options.metadata or {})
                 own = replace(options, metadata=notes, sorting=options.sorting or sorted_by.get(part[0]))
-                write_frame(kept, target, after, own, mode="append", strict=False, partition_by=[f.name for f in reader.partitions if f.name in after.names])
+                write_frame(kept, target, after, own, mode="append", files=1 if sorted_by.get(part[0]) else None, strict=False, partition_by=[f.name for f in reader.partitions if f.name in after.names])
                 files["rewritten"] += len(part)
                 totals = [a + seen.get[k] for a, k in zip(totals, ("read", "deleted", "changed"))]
             if totals[0] != expected:

@@ -170,3 +170,23 @@ def test_sorted_files_of_many_ranges(spark, monkeypatch, name):
     con.execute(f"CREATE VIEW orders AS SELECT * FROM '{D}/orders.parquet'")
     found = con.execute(registry.SQL[name])
     assert normal(df.collect(), df.columns) == normal(found.fetchall(), [x[0] for x in found.description])
+
+
+def test_a_sorted_file_in_several_splits_is_rewritten_as_one(spark, tmp_path):
+    """With its order, for which no task sorts."""
+    write_sorted(spark.range(20_000).selectExpr("id", "id % 2 part", "cast(id * 7 as string) text"), str(tmp_path / "in"), ["id"], 20_000, Options(sorting=["id"]), ["part"])
+    own = spark.newSession()
+    for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        own.conf.set(k, "20000")
+    source = Reader(own, str(tmp_path / "in"))
+    assert source.source_of(source.files[:1]).rdd.getNumPartitions() > 2
+    seen = []
+    own_frame = writer.write_frame
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(writer, "write_frame", lambda df, *a, **b: (seen.append(df), own_frame(df, *a, **b))[1])
+        Redaction().where(id=between(None, 50)).replace(text="-").run(own, source, str(tmp_path / "out"))
+    out = Reader(spark, str(tmp_path / "out"))
+    assert len(out.files) == len(seen) == 2
+    for f in out.files:
+        ids = [x["id"] for x in Reader(spark, f).rows()]
+        assert ids == sorted(ids) and len(ids) == 10_000 and sorting_of(spark, f) == [("id", False, True)]
